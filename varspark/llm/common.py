@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +57,8 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def in_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes of text, so that array work stays small; a longer text is alone."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.array([len(x) for x in as_bytes(column)] or [0]) + 1
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         part, first = np.cumsum(sizes) // most, 0
         for last in [*(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]:
             if last > first:
@@ -64,8 +66,9 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20)
             first = last
 
 
-def map_blocks(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def row_numbers(first: int, n: int) -> np.ndarray:
+    """Numbers for the rows of this task that no other task gives; stable once they are written to a table."""
+    return (TaskContext.get().partitionId() << 40) + np.arange(first, first + n)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspark.llm import secrets, sharding
+from varspark.llm import lm, secrets, sharding
+from varspark.llm.common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 7) == 2
+    scores = lm.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = {f"n_{name}": secrets.count_of(F.col("base"), k) for k, name in enumerate(secrets.KINDS)}
@@ -25,7 +32,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op10_secrets)}
+    return {f.__name__: f for f in (op2_sharding, op5_lm_scores, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
