@@ -100,3 +100,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = saved(small)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, each: int) -> tuple[DataFrame, dict[int, int]]:
+    """About `each` rows (key, text, label) of each label, and the number of rows of each label. labels: (key, label int).
+
+    Distinct texts of a label are taken whose hash falls below the share that leaves `each`, so copies count once and no other
+    column has a say. They are found from hashes alone; the sample's keys (bounded by `each`) are then broadcast to fetch the texts.
+    """
+    short = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    known = short.join(labels.select(key, "label").where("label IS NOT NULL"), key)
+    known = saved(known.groupBy("label", "h").agg(F.min(key).alias(key), F.count("*").alias("rows")))
+    counts = known.groupBy("label").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts")).collect()
+    limit = F.lit(0.0)
+    for c in counts:
+        limit = F.when(F.col("label") == c.label, F.lit(each / c.texts)).otherwise(limit)
+    picked = known.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < limit).select(key, "label")
+    texts = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), key).dropDuplicates([key])
+    return texts, {c.label: c.rows for c in counts}

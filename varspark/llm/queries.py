@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspark.llm import lm, secrets, sharding
+from varspark.llm import lm, quality, secrets, sharding, toxicity
 from varspark.llm.common import crc_mod
 
 
@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labels_outside(spark: SparkSession, sf_dir: str, column: str, n: int, fold: int) -> DataFrame:
+    """(doc_id, label) of the rows of labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where(crc_mod("doc_id", n) != fold).select("doc_id", F.col(column).cast("int").alias("label"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, labels_outside(spark, sf_dir, "quality", 4, 2))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -25,6 +36,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, labels_outside(spark, sf_dir, "toxic", 5, 0))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = {f"n_{name}": secrets.count_of(F.col("base"), k) for k, name in enumerate(secrets.KINDS)}
@@ -32,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op5_lm_scores, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op5_lm_scores, op7_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
