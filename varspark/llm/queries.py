@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspark.llm import lm, quality, secrets, sharding, toxicity
+from varspark.llm import jaccard, lm, quality, secrets, sharding, toxicity
 from varspark.llm.common import crc_mod
 
 
@@ -36,6 +36,10 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, labels_outside(spark, sf_dir, "toxic", 5, 0))
@@ -49,7 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op5_lm_scores, op7_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op5_lm_scores, op6_jaccard, op7_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
