@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspark.llm import jaccard, lm, quality, secrets, sharding, toxicity
+from varspark.llm import decontaminate, jaccard, lm, pieces, quality, secrets, sharding, toxicity
 from varspark.llm.common import crc_mod
 
 
@@ -30,6 +30,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 7) == 2
     scores = lm.score_texts(table(spark, sf_dir, "documents"), ~held_out)
@@ -53,7 +64,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op5_lm_scores, op6_jaccard, op7_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_decontamination, op4_pieces, op5_lm_scores, op6_jaccard, op7_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
