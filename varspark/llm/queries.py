@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspark.llm import decontaminate, forest, jaccard, lm, pieces, quality, secrets, sharding, toxicity
+from varspark.llm import decontaminate, forest, jaccard, lm, pieces, quality, secrets, sharding, suffixes, toxicity
 from varspark.llm.common import crc_mod
 
 
@@ -57,6 +57,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -68,7 +73,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_decontamination, op4_pieces, op5_lm_scores, op6_jaccard, op7_toxicity, op9_forest, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_decontamination, op4_pieces, op5_lm_scores, op6_jaccard, op7_toxicity, op8_suffixes, op9_forest, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
