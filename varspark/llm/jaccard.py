@@ -9,7 +9,8 @@ Any order gives the same links; this one keeps what many texts share at the end
    that two or more representatives hold make the candidates; sizes and positions (the most that can still follow) cut them down.
 3. Dense groups would make the square of their size in pairs. So first every n-gram's holders are compared with one of them only, the
    leader, twice with different leaders; those linked are joined into components. Then the pairs that are left are those of holders
-   in different components; pairs within one can't change the result. This loses no link between components.
+   in different components; pairs within one can't change the result. This loses no link between components. A pair of these goes on
+   if its shared prefix n-grams, and all that can follow, still reach the limit.
 4. Overlap of a pair: the global order is cut into FRAGMENTS by hash; every fragment of one set meets the same fragment of the other,
    the partial overlaps are counted separately and summed per pair; the sum decides exactly.
 5. Components of the links, by minima.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspark.llm.common import as_bytes, connected_components, in_blocks, mix64, saved, words_of
+from varspark.llm.common import as_bytes, connected_components, discard, in_blocks, mix64, release, saved, words_of
 
 BUCKETS = 18
 FRAGMENTS = 8
@@ -108,44 +109,57 @@ def sets_of(docs: DataFrame, key: str, text: str, gram: int, percent: int, table
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(block, f"id {kind}, n long, signature binary, prefix array<long>")
 
 
-def fragments_of(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
-    """(id, fragment, part): each set cut into FRAGMENTS ranges of hashes, empty ones left out."""
+def fragments_of(texts: DataFrame, gram: int) -> DataFrame:
+    """(x, y, text) to (x, y, fragment, part): the set of the text cut into FRAGMENTS ranges of hashes, empty ones left out."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(gram)
         bounds = np.linspace(-(1 << 63), (1 << 63) - 1, FRAGMENTS + 1)[1:-1].astype(np.int64)
         for batch in in_blocks(batches, "text"):
-            ids, numbers, parts = [], [], []
-            for doc, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                h = shingles.of(t)
-                for k, part in enumerate(np.split(h, np.searchsorted(h, bounds))):
+            rows, numbers, parts, last = [], [], [], (None, None)
+            for row, t in enumerate(as_bytes(batch.column(2))):
+                if t != last[0]:
+                    h = shingles.of(t)
+                    last = t, np.split(h, np.searchsorted(h, bounds))
+                for k, part in enumerate(last[1]):
                     if len(part):
-                        ids.append(doc)
+                        rows.append(row)
                         numbers.append(k)
                         parts.append(part)
+            own = batch.take(pa.array(rows, pa.int64()))
             cut = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(parts or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), values], ["id", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(numbers, pa.int32()), values], ["x", "y", "fragment", "part"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(block, f"id {kind}, fragment int, part array<long>")
+    kind = texts.schema["x"].dataType.simpleString()
+    return texts.mapInArrow(block, f"x {kind}, y {kind}, fragment int, part array<long>")
 
 
-def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (x, y, nx, ny) those that are links: partial overlaps by fragment, summed per pair."""
-    left = parts.select(F.col("id").alias("x"), "fragment", F.col("part").alias("px"))
-    right = parts.select(F.col("id").alias("y"), "fragment", F.col("part").alias("py"))
-    partial = pairs.join(left, "x").join(right, ["y", "fragment"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("px", "py")).alias("c"))
-    both = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
+def linked(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
+    """Of the candidate pairs (x, y, nx, ny) those that are links: partial overlaps by fragment, summed per pair. texts: (own, text)."""
+    one = pairs.join(texts, pairs.x == texts.own).select("x", "y", "text")
+    two = pairs.select("y").distinct().join(texts, F.col("y") == texts.own).select(F.col("y").alias("x"), "y", "text")
+    left = fragments_of(one, gram).withColumnRenamed("part", "px")
+    right = fragments_of(two, gram).select("y", "fragment", F.col("part").alias("py"))
+    partial = left.join(right, ["y", "fragment"]).select("x", "y", F.size(F.array_intersect("px", "py")).alias("c"))
+    both = partial.groupBy("x", "y").agg(F.sum("c").alias("c")).join(pairs, ["x", "y"])
     return both.where(100 * F.col("c") >= percent * (F.col("nx") + F.col("ny") - F.col("c"))).select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
+def needed(percent: int) -> str:
+    """The least overlap of sets of nx and ny that are linked."""
+    return f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
+
+
 def possible(percent: int) -> str:
     """Whether holders x (the smaller or equal) and y of one prefix n-gram can be linked, by sizes, positions and prefix kinds."""
-    whole = 100 + percent
-    need = f"(({percent} * (nx + ny) + {whole - 1}) div {whole})"
-    index = f"(nx - (({2 * percent} * nx + {whole - 1}) div {whole}) + 1)"
-    return f"100 * nx >= {percent} * ny AND ax < {index} AND 1 + least(nx - ax - 1, ny - ay - 1) >= {need}"
+    index = f"(nx - (({2 * percent} * nx + {99 + percent}) div {100 + percent}) + 1)"
+    return f"100 * nx >= {percent} * ny AND ax < {index} AND 1 + least(nx - ax - 1, ny - ay - 1) >= {needed(percent)}"
+
+
+def enough(percent: int) -> str:
+    """Whether c shared n-grams of the two prefixes leave a link possible: what lies behind one of the prefixes is all that can be added."""
+    return f"c + greatest(({percent} * nx + 99) div 100, ({percent} * ny + 99) div 100) - 1 >= {needed(percent)}"
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80) -> DataFrame:
@@ -159,6 +173,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(bucket_counts(docs, text, gram))
     sets = saved(sets_of(docs, key, text, gram, percent, counts))
+    release(spark)
 
     # 1. classes of equal sets, each by its least id
     reps = saved(sets.where("n > 0 AND id IS NOT NULL").groupBy("signature", "n").agg(F.min("id").alias("rep")))
@@ -168,9 +183,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     index = firsts.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.posexplode("prefix").alias("ax", "h"))
     several = index.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     index = saved(index.join(several, "h"))
+    release(spark)
     holders = index.select(F.col("x").alias("own")).distinct()
-    texts = docs.select(F.col(key).alias("own"), F.col(text).alias("text")).join(holders, "own")
-    parts = saved(fragments_of(texts, "own", "text", gram))
+    texts = saved(docs.select(F.col(key).alias("own"), F.col(text).alias("text")).join(holders, "own"))
+    release(spark)
 
     # 3. two turns against leaders, then every pair of unlike components
     edges, component = None, None
@@ -182,14 +198,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if turn < 2:
             met = held.join(mixed.select("h", "l"), "h").where("c != l.c")
             own, other = F.struct("nx", "x", "ax"), F.struct(F.col("l.nx").alias("nx"), F.col("l.x").alias("x"), F.col("l.ax").alias("ax"))
-            met = met.select(F.least(own, other).alias("a"), F.greatest(own, other).alias("b"))
-            met = met.select(F.col("a.x").alias("x"), F.col("a.nx").alias("nx"), F.col("a.ax").alias("ax"), F.col("b.x").alias("y"), F.col("b.nx").alias("ny"), F.col("b.ax").alias("ay")).where(possible(percent))
+            met = met.select("x", F.col("l.x").alias("l"), F.least(own, other).alias("a"), F.greatest(own, other).alias("b"))
+            met = met.select(F.col("x").alias("f"), "l", F.col("a.x").alias("x"), F.col("a.nx").alias("nx"), F.col("b.x").alias("y"), F.col("b.nx").alias("ny")).where(f"100 * nx >= {percent} * ny")
+            # each holder is compared with the leader that shares most with it
+            best = met.groupBy("f", "l", "x", "y", "nx", "ny").agg(F.count("*").alias("c")).groupBy("f").agg(F.max_by(F.struct("x", "y", "nx", "ny"), F.struct("c", "l")).alias("p"))
+            pairs = best.select("p.*").distinct()
         else:
-            one = held.join(mixed.select("h"), "h")
+            one = saved(held.join(mixed.select("h"), "h"))
             two = one.select(F.col("h").alias("h2"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("c").alias("cy"))
-            met = one.join(two, F.expr(f"h = h2 AND c != cy AND (nx < ny OR nx = ny AND x < y) AND {possible(percent)}"))
-        found = linked(saved(met.select("x", "y", "nx", "ny").distinct()), parts, percent)
+            near = f"(nx < ny OR nx = ny AND x < y) AND 100 * nx >= {percent} * ny"
+            met = one.join(two, F.expr(f"h = h2 AND c != cy AND {near}")).withColumn("first", F.expr(possible(percent)))
+            pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("first").alias("first")).where(f"first AND {enough(percent)}").select("x", "y", "nx", "ny")
+        found = linked(saved(pairs), texts, gram, percent)
         edges = saved(found if edges is None else edges.union(found))
+        discard(held)
+        release(spark)
         component = connected_components(edges)
 
     groups = component.select(F.col("id").alias("rep"), "component_id")
