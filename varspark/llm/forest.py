@@ -21,29 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspark.llm.common import connected_components, saved
+from varspark.llm.common import connected_components, release, saved
 
 TREES = 8
 SAMPLE = 20_000
 LEAF = 512
 LEAST_SAMPLE = 64
-SPILL = 0.25
+SPILL = 0.1
 LEVELS = 24
 
 
-def unit_rows(x: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors as doubles and which rows are usable: not null, with components that are all finite, not all zero, of the usual width."""
+def usable(x: list) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as doubles and which rows are usable: not null, with components that are all finite, not all zero, of the usual width."""
     width = max((len(v) for v in x if v is not None), default=0)
     good = np.array([v is not None and len(v) == width and width > 0 and all(c is not None for c in v) for v in x], dtype=bool)
     out = np.zeros((len(x), width))
     if good.any():
         out[good] = np.array([v for v, g in zip(x, good, strict=True) if g], dtype=np.float64)
-    with np.errstate(over="ignore", invalid="ignore"):
-        out = np.where(np.isfinite(out).all(1)[:, None], out, 0.0)
-        out = out / np.maximum(np.abs(out).max(1, initial=0), 1e-300)[:, None]
-        size = np.sqrt((out * out).sum(1))
-    good &= size > 0
-    return out / np.where(size > 0, size, 1)[:, None], good
+    return out, good & np.isfinite(out).all(1) & (out != 0).any(1)
+
+
+def matrix(v: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors as doubles, from the bytes of their components."""
+    if not v:
+        return np.zeros((0, 0))
+    x = np.frombuffer(b"".join(v), dtype=kind).reshape(len(v), -1).astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 class Tree:
@@ -84,24 +88,24 @@ def direction(seed: int, node: int, width: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum())
 
 
-def as_points(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, v, rows): usable unit vectors, one per distinct one."""
+def as_points(vectors: DataFrame, key: str, column: str, kind: str) -> DataFrame:
+    """(id, v): usable vectors as the bytes of their components."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, good = unit_rows(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["id", "v"])
+            x, good = usable(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.astype(kind).tobytes() for v in x[good]], pa.binary())], ["id", "v"])
 
     return vectors.select(F.col(key).alias("id"), F.col(column).alias("v")).where("id IS NOT NULL").mapInArrow(block, "id long, v binary")
 
 
-def in_leaves(points: DataFrame, trees: list[Tree]) -> DataFrame:
+def in_leaves(points: DataFrame, trees: list[Tree], kind: str) -> DataFrame:
     shared = points.sparkSession.sparkContext.broadcast(trees)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column(1).to_pylist())
+                x = matrix(batch.column(1).to_pylist(), kind)
                 for k, tree in enumerate(shared.value):
                     rows, leaves = tree.leaves(x)
                     some = batch.take(pa.array(rows))
@@ -110,17 +114,13 @@ def in_leaves(points: DataFrame, trees: list[Tree]) -> DataFrame:
     return points.mapInArrow(block, "id long, v binary, tree int, leaf long")
 
 
-def matrix(v: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1) if v else np.zeros((0, 0))
-
-
-def projected(leaf: DataFrame) -> DataFrame:
+def projected(leaf: DataFrame, kind: str) -> DataFrame:
     """The rows with `at`, their place on the next random direction of their leaf."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, tree, node = matrix(batch.column(1).to_pylist()), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                x, tree, node = matrix(batch.column(1).to_pylist(), kind), batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 at = np.zeros(len(x))
                 for t, n in set(zip(tree.tolist(), node.tolist(), strict=True)):
                     own = (tree == t) & (node == n)
@@ -130,10 +130,10 @@ def projected(leaf: DataFrame) -> DataFrame:
     return leaf.mapInArrow(block, "id long, v binary, tree int, leaf long, at double")
 
 
-def close(group: Iterator[pd.DataFrame] | pd.DataFrame, limit: float) -> pd.DataFrame:
+def close(group: pd.DataFrame, limit: float, kind: str) -> pd.DataFrame:
     """Pairs of a block pair (side 0 against side 1; a block with itself has side 2 only) whose cosine is `limit` or more."""
     a, b = group[group.side != 1], group[group.side != 0]
-    x, y = matrix(a.v.tolist()), matrix(b.v.tolist())
+    x, y = matrix(a.v.tolist(), kind), matrix(b.v.tolist(), kind)
     if not len(x) or not len(y):
         return pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64)})
     i, j = np.nonzero(x @ y.T >= limit - 1e-9)
@@ -151,14 +151,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     each give a row; other columns are left out. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    rows = saved(as_points(vectors, key, column))
+    kind = "<f4" if "float" in vectors.schema[column].dataType.simpleString() else "<f8"
+    rows = saved(as_points(vectors, key, column, kind))
     points = saved(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
     n = points.count()
     sample = points.select("v").where(F.shiftrightunsigned(F.xxhash64("v"), 11) / F.lit(float(1 << 53)) < F.lit(SAMPLE / max(n, 1))).toArrow()
-    x = matrix(sample["v"].to_pylist())
+    x = matrix(sample["v"].to_pylist(), kind)
     x = x[np.lexsort(x.T)] if len(x) else x
     trees = [Tree(x, seed) for seed in range(TREES)]
-    leaves = saved(in_leaves(points.select("id", "v"), trees))
+    leaves = saved(in_leaves(points.select("id", "v"), trees, kind))
 
     # leaves that are too large for the whole table are split on, at their own medians
     done = []
@@ -168,7 +169,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
         if large.isEmpty():
             break
         done.append(leaves.join(large, ["tree", "leaf"], "left_anti").select("id", "v", "tree", "leaf"))
-        at = saved(projected(leaves.join(large, ["tree", "leaf"]).select("id", "v", "tree", "leaf")))
+        at = saved(projected(leaves.join(large, ["tree", "leaf"]).select("id", "v", "tree", "leaf"), kind))
         middle = at.groupBy("tree", "leaf").agg(F.percentile_approx("at", 0.5, 1000).alias("middle"), F.stddev_pop("at").alias("spread"), F.count("*").alias("size"))
         halves = at.join(middle, ["tree", "leaf"])
         low, high = F.col("at") <= F.col("middle") + SPILL * F.col("spread"), F.col("at") > F.col("middle") - SPILL * F.col("spread")
@@ -182,8 +183,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     dealt = leaves.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("id", "v", "tree", "leaf", "block", other).select("id", "v", "tree", "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("CASE WHEN block < other THEN 0 WHEN block > other THEN 1 ELSE 2 END").alias("side"))
-    links = dealt.groupBy("tree", "leaf", "i", "j").applyInPandas(lambda g: close(g, limit), "src long, dst long")
+    links = dealt.groupBy("tree", "leaf", "i", "j").applyInPandas(lambda g: close(g, limit, kind), "src long, dst long")
     links = saved(links.distinct())
+    release(spark)
     component = connected_components(links)
 
     own = points.select(F.col("id").alias("rep"), "rows")
