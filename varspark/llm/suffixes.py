@@ -10,8 +10,9 @@ are one class, of which only the first place is kept.
 * Batches come in the order of their keys. A batch's suffixes are sorted (h, c) and merge-scanned with the levels of the family, a
   sort-merge join; a suffix whose class stands in a level, or earlier in the batch, has all its windows marked. New classes become
   a level. Before the next batch, levels of equal size merge, so there are no more than the logarithm of the number of batches.
-* Classes that share h but differ in c agree in some windows only. Their first places are looked up in the texts, and their windows
-  compared by hashes of LONG bytes (h, offset, hash): those not at the least place are marked.
+* Classes that share h but differ in c agree in some windows only. The bytes around their first places are fetched from the texts. Where
+  no more than FEW classes share h, they meet and are compared byte by byte to either side; where more do, each window goes by the hash
+  of its LONG bytes, and those not at the least place are marked.
 * Marks meet their text by key; the union of marked windows is cut out.
 
 No step needs all places of a hash in one task: least places are aggregates, combined before the shuffle, and joined back.
@@ -19,20 +20,21 @@ No step needs all places of a hash in one task: least places are aggregates, com
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspark.llm.common import as_bytes, discard, in_blocks, mix64, saved
+from varspark.llm.common import as_bytes, discard, in_blocks, mix64, release, saved
 
 LONG = 100
 GRAM = 24
 WINDOW = LONG - GRAM + 1
 BATCHES = 4
+FEW = 1024
 TURN_H, TURN_C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -95,12 +97,6 @@ def index_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(block, f"h long, c long, id {docs.schema['id'].dataType.simpleString()}, at long")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are done; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Family:
     """Levels (h, c, id, at) of first places, sorted by (h, c); classes are distinct over all levels."""
 
@@ -139,53 +135,104 @@ class Family:
         return seen
 
     def compare(self, docs: DataFrame) -> DataFrame:
-        """(id, start) of the windows, of first places of classes that share h with another class, that also start earlier."""
+        """(id, at) of windows, of first places of classes that share h with another class, that also start earlier."""
         every = self.classes()
-        unlike = every.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("h")
-        wanted = every.join(unlike, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
-        texts = docs.join(wanted, "id").select("id", "text", F.col("wanted.h").alias("h"), F.col("wanted.at").alias("at"))
-        windows = saved(texts.mapInArrow(windows_block, f"h long, offset int, w long, id {docs.schema['id'].dataType.simpleString()}, start long"))
+        sizes = every.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+        wanted = every.join(sizes, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", (F.col("m") <= FEW).alias("few"))).alias("w"))
+        texts = docs.join(wanted, "id").select("id", "text", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.few").alias("few"))
+        kind = docs.schema["id"].dataType.simpleString()
+        places = saved(texts.mapInArrow(contexts_block, f"h long, id {kind}, at long, context binary, windows array<long>"))
         release(docs.sparkSession)
-        first = windows.groupBy("h", "offset", "w").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        out = saved(windows.join(first, ["h", "offset", "w"]).where("struct(id, start) != first").select("id", "start"))
-        discard(windows)
+        few = places.where("context IS NOT NULL").repartition("h").sortWithinPartitions("h", "id", "at")
+        few = few.select("h", "id", "at", "context").mapInArrow(compare_block, f"id {kind}, at long")
+        many = places.where("windows IS NOT NULL").select("id", "at", F.posexplode("windows").alias("k", "w"))
+        # window k of a place begins at place - lo + k
+        many = many.select("w", "id", F.expr("((at >> 14) - ((at >> 7) & 127) + k)").alias("start"))
+        first = many.groupBy("w").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        again = many.join(first, "w").where("struct(id, start) != first").select("id", F.expr("start << 14").alias("at"))
+        out = saved(few.union(again))
+        discard(places)
         release(docs.sparkSession)
         return out
 
 
-def windows_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contexts_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is needed to compare each wanted place: the bytes its windows cover, or, where many places share h, a hash of each window."""
     for batch in in_blocks(batches, "text"):
         data, begin = joined(as_bytes(batch.column(1)))
-        counts = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(batch.num_rows), counts)
-        h, at = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-        place, lo, hi = at >> 14, at >> 7 & 127, at & 127
-        n = lo - hi + 1
-        of = np.repeat(np.arange(len(h)), n)
-        offset = lo[of] - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        start = place[of] - offset
-        absolute = begin[row[of]] + start
-        w = Rolling(data, TURN_C).of(absolute, absolute + LONG)
-        yield pa.RecordBatch.from_arrays([pa.array(h[of]), pa.array(offset.astype(np.int32)), pa.array(w.view(np.int64)), batch.column(0).take(pa.array(row[of])), pa.array(start)], ["h", "offset", "w", "id", "start"])
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+        h, at, few = (batch.column(k).flatten() for k in (2, 3, 4))
+        place, lo, hi = unpacked(at.to_numpy())
+        few = few.to_numpy(zero_copy_only=False)
+        spot = begin[row] + place
+        text = data.tobytes()
+        context = [text[s - a : s - b + LONG] if f else None for s, a, b, f in zip(spot, lo, hi, few, strict=True)]
+        n = np.where(few, 0, lo - hi + 1)
+        of = np.repeat(np.arange(len(n)), n)
+        start = spot[of] - lo[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        w = Rolling(data, TURN_C).of(start, start + LONG).view(np.int64)
+        windows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(w), mask=pa.array(few.astype(bool)))
+        yield pa.RecordBatch.from_arrays([h, batch.column(0).take(pa.array(row)), at, pa.array(context, pa.binary()), windows], ["h", "id", "at", "context", "windows"])
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 14, at >> 7 & 127, at & 127
+
+
+def compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h and place: which windows of a row stand in an earlier row of the same h. A group of h is small, and kept whole."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        h = rows[0].column(0).to_numpy()
+        last = int(np.searchsorted(h, h[-1]))
+        held = rows[0].slice(last)
+        if last:
+            yield compared(rows[0].slice(0, last))
+    if held is not None:
+        yield compared(held)
+
+
+def compared(rows: pa.RecordBatch) -> pa.RecordBatch:
+    h, (place, lo, hi) = rows.column(0).to_numpy(), unpacked(rows.column(2).to_numpy())
+    sizes = pc.binary_length(rows.column(3)).to_numpy()
+    data = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8)
+    # bytes of all rows, their places in one column
+    grid = np.full((len(h), WINDOW - 1 + LONG), -1, np.int16)
+    of = np.repeat(np.arange(len(h)), sizes)
+    grid[of, np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (WINDOW - 1 - lo)[of]] = data
+    who, marks, shift = [], [], 1
+    while True:
+        own = np.flatnonzero(h[shift:] == h[:-shift]) + shift
+        if not len(own):
+            break
+        same = (grid[own] == grid[own - shift]) & (grid[own] >= 0)
+        left = np.argmin(np.hstack([same[:, WINDOW - 2 :: -1], np.zeros((len(own), 1), bool)]), axis=1)
+        right = np.argmin(np.hstack([same[:, WINDOW - 1 :], np.zeros((len(own), 1), bool)]), axis=1)
+        most, least = np.minimum(lo[own], left), np.maximum(hi[own], LONG - right)
+        some = most >= least
+        who.append(own[some])
+        marks.append(place[own[some]] << 14 | most[some] << 7 | least[some])
+        shift += 1
+    none = np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(np.concatenate([none, *who]))), pa.array(np.concatenate([none, *marks]))], ["id", "at"])
 
 
 def cut_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, at, start) to (id, n_bytes, kept, n_removed, n_spans)."""
+    """(id, text, at) to (id, n_bytes, kept, n_removed, n_spans)."""
     for batch in in_blocks(batches, "text"):
         kept, removed, spans, sizes = [], [], [], []
-        for text, at, start in zip(as_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
-            at = at.values.to_numpy() if at.is_valid else np.empty(0, np.int64)
-            start = start.values.to_numpy() if start.is_valid else np.empty(0, np.int64)
+        for text, at in zip(as_bytes(batch.column(1)), batch.column(2), strict=True):
             sizes.append(len(text))
-            if not len(at) and not len(start):
+            if not at.is_valid:
                 kept.append(text)
                 removed.append(0)
                 spans.append(0)
                 continue
-            depth = np.zeros(len(text) + 1, np.int32)
-            place, lo, hi = at >> 14, at >> 7 & 127, at & 127
-            np.add.at(depth, np.concatenate([place - lo, start]), 1)
-            np.add.at(depth, np.concatenate([place - hi, start]) + LONG, -1)
+            place, lo, hi = unpacked(at.values.to_numpy())
+            depth = np.bincount(place - lo, minlength=len(text) + 1) - np.bincount(place - hi + LONG, minlength=len(text) + 1)
             gone = np.cumsum(depth[:-1]) > 0
             removed.append(int(gone.sum()))
             spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
@@ -208,11 +255,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bat
         part = keyed if low is None else keyed.where(F.col("id") > low)
         seen = family.add(part if high is None else part.where(F.col("id") <= high))
         marks = seen if marks is None else marks.union(seen)
-    windows = family.compare(keyed)
-    marks = marks.select("id", "at", F.lit(None).cast("long").alias("start")).union(windows.select("id", F.lit(None).cast("long"), "start"))
-    marks = marks.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("start").alias("start"))
+    marks = marks.union(family.compare(keyed)).groupBy("id").agg(F.collect_list("at").alias("at"))
     kind = docs.schema[key].dataType.simpleString()
-    out = own.join(marks, "id", "left").select("id", "text", "at", "start").mapInArrow(cut_block, f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long")
+    out = own.join(marks, "id", "left").select("id", "text", "at").mapInArrow(cut_block, f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long")
     return out.withColumnRenamed("id", key)
 
 
