@@ -45,11 +45,12 @@ def walk_steps(rows: int, seed: int) -> int:
     """The most passes that a row can need: one, and those from the numbers beyond rows (fewer than sqrt(rows) + 1)."""
     a, b = sides(rows)
     most = 0
-    for x in range(rows, a * b):
-        steps = 1
-        while (x := permute(x, rows, seed)) >= rows:
-            steps += 1
-        most = max(most, steps)
+    for start in range(rows, a * b) if rows else ():
+        x, steps = permute(start, rows, seed), 1
+        while x >= rows and x != start:
+            x, steps = permute(x, rows, seed), steps + 1
+        if x < rows:  # else the cycle lies beyond rows as a whole and no row comes by
+            most = max(most, steps)
     return 1 + most
 
 
