@@ -119,7 +119,7 @@ def test_secrets(spark, odd, texts):
             assert [(x.start, x.kind, x.end) for x in r.spans] == [(4, 3, 76)]
             assert r.clean == "see [secret] for it"
         elif r.doc_id < 1000:
-            assert r.spans == []
+            assert list(map(tuple, r.spans)) == list(map(tuple, r.base))
     assert secrets.scan_secrets(empty(spark)).count() == 0
 
 
