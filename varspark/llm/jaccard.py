@@ -11,6 +11,9 @@ Any order gives the same links; this one keeps what many texts share at the end
    leader, twice with different leaders; those linked are joined into components. Then the pairs that are left are those of holders
    in different components; pairs within one can't change the result. This loses no link between components. A pair of these goes on
    if its shared prefix n-grams, and all that can follow, still reach the limit.
+   Before a pair is verified, the sketches of its two sets are compared: SKETCH bits, each the parity of the n-grams that fall on it.
+   Bits that differ are at most the n-grams in one set only, so a pair goes only if it can't reach the limit. Pairs at random places of
+   a dense group that fall short of the limit end here, in the join's own condition, not as rows.
 4. Overlap of a pair: the global order is cut into FRAGMENTS by hash; every fragment of one set meets the same fragment of the other,
    the partial overlaps are counted separately and summed per pair; the sum decides exactly.
 5. Components of the links, by minima.
@@ -30,6 +33,7 @@ from varspark.llm.common import as_bytes, connected_components, discard, in_bloc
 
 BUCKETS = 18
 FRAGMENTS = 8
+SKETCH = 512
 MEMO = 400_000
 
 
@@ -65,6 +69,12 @@ def ordered(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, table[bucket_of(hashes)]))]
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits in 64-bit words: the parity of the n-grams that fall on each bit."""
+    odd = np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
     """How many of a set's first n-grams meet any partner's, and how many those of a partner that is as large or larger."""
     probe = n - -(-percent * n // 100) + 1
@@ -90,23 +100,25 @@ def bucket_counts(docs: DataFrame, text: str, gram: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, gram: int, percent: int, table) -> DataFrame:
-    """(id, n, signature, prefix): prefix is the start of the set in the global order."""
+    """(id, n, signature, sketch, prefix): prefix is the start of the set in the global order."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, ranks = Shingles(gram), table.value
         for batch in in_blocks(batches, "text"):
-            sizes, signs, prefixes = [], [], []
+            sizes, signs, sketches, prefixes = [], [], [], []
             for t in as_bytes(batch.column(1)):
                 h = shingles.of(t)
                 sizes.append(len(h))
                 signs.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sketches.append(sketch_of(h))
                 prefixes.append(ordered(h, ranks)[: prefix_sizes(len(h), percent)[0]] if len(h) else h)
             cut = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(prefixes or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), lists], ["id", "n", "signature", "prefix"])
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketches or [np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), words, lists], ["id", "n", "signature", "sketch", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(block, f"id {kind}, n long, signature binary, prefix array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(block, f"id {kind}, n long, signature binary, sketch array<long>, prefix array<long>")
 
 
 def fragments_of(texts: DataFrame, gram: int) -> DataFrame:
@@ -162,6 +174,12 @@ def enough(percent: int) -> str:
     return f"c + greatest(({percent} * nx + 99) div 100, ({percent} * ny + 99) div 100) - 1 >= {needed(percent)}"
 
 
+def alike(percent: int) -> str:
+    """Whether the sketches sx and sy leave a link possible: each bit that differs is an n-gram that only one of the sets has."""
+    differ = " + ".join(f"bit_count(sx[{k}] ^ sy[{k}])" for k in range(SKETCH // 64))
+    return f"nx + ny - ({differ}) >= 2 * {needed(percent)}"
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id): components of texts whose sets have 100 * overlap >= percent * union.
 
@@ -179,6 +197,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     reps = saved(sets.where("n > 0 AND id IS NOT NULL").groupBy("signature", "n").agg(F.min("id").alias("rep")))
     firsts = sets.join(reps, (sets.id == reps.rep) & (sets.signature == reps.signature), "left_semi").dropDuplicates(["id", "signature"])
 
+    sketches = saved(firsts.select("id", "n", "sketch"))
+    of_x, of_y = (sketches.select(F.col("id").alias(v), F.col("n").alias(f"n{v}"), F.col("sketch").alias(f"s{v}")) for v in "xy")
+
     # 2. prefix n-grams that several representatives hold
     index = firsts.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.posexplode("prefix").alias("ax", "h"))
     several = index.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
@@ -200,14 +221,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             own, other = F.struct("nx", "x", "ax"), F.struct(F.col("l.nx").alias("nx"), F.col("l.x").alias("x"), F.col("l.ax").alias("ax"))
             met = met.select("x", F.col("l.x").alias("l"), F.least(own, other).alias("a"), F.greatest(own, other).alias("b"))
             met = met.select(F.col("x").alias("f"), "l", F.col("a.x").alias("x"), F.col("a.nx").alias("nx"), F.col("b.x").alias("y"), F.col("b.nx").alias("ny")).where(f"100 * nx >= {percent} * ny")
-            # each holder is compared with the leader that shares most with it
-            best = met.groupBy("f", "l", "x", "y", "nx", "ny").agg(F.count("*").alias("c")).groupBy("f").agg(F.max_by(F.struct("x", "y", "nx", "ny"), F.struct("c", "l")).alias("p"))
+            # each holder is compared with the leader that shares most with it, of those whose sketch is like its own
+            met = met.groupBy("f", "l", "x", "y", "nx", "ny").agg(F.count("*").alias("c"))
+            met = met.join(of_x, ["x", "nx"]).join(of_y, ["y", "ny"]).where(alike(percent))
+            best = met.groupBy("f").agg(F.max_by(F.struct("x", "y", "nx", "ny"), F.struct("c", "l")).alias("p"))
             pairs = best.select("p.*").distinct()
         else:
-            one = saved(held.join(mixed.select("h"), "h"))
-            two = one.select(F.col("h").alias("h2"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("c").alias("cy"))
+            one = saved(held.join(mixed.select("h"), "h").join(of_x, ["x", "nx"]))
+            two = one.select(F.col("h").alias("h2"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("c").alias("cy"), F.col("sx").alias("sy"))
             near = f"(nx < ny OR nx = ny AND x < y) AND 100 * nx >= {percent} * ny"
-            met = one.join(two, F.expr(f"h = h2 AND c != cy AND {near}")).withColumn("first", F.expr(possible(percent)))
+            met = one.join(two, F.expr(f"h = h2 AND c != cy AND {near} AND {alike(percent)}")).withColumn("first", F.expr(possible(percent)))
             pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("first").alias("first")).where(f"first AND {enough(percent)}").select("x", "y", "nx", "ny")
         found = linked(saved(pairs), texts, gram, percent)
         edges = saved(found if edges is None else edges.union(found))
