@@ -34,7 +34,7 @@ from varspark.llm.common import as_bytes, connected_components, discard, in_bloc
 BUCKETS = 18
 FRAGMENTS = 8
 SKETCH = 512
-MEMO = 400_000
+MEMO = 50_000
 
 
 class Shingles:
@@ -138,7 +138,7 @@ def fragments_of(texts: DataFrame, gram: int) -> DataFrame:
                         rows.append(row)
                         numbers.append(k)
                         parts.append(part)
-            own = batch.take(pa.array(rows, pa.int64()))
+            own = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             cut = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(parts or [np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(numbers, pa.int32()), values], ["x", "y", "fragment", "part"])
