@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -413,6 +414,27 @@ def test_large_leaves_are_split(spark, odd, monkeypatch):
     assert sum(got[2 * k + 1] == got[2 * k] for k in range(60)) >= 57
 
 
+def with_a_dense_group(n, width=64, cosine=0.93):
+    """n vectors, the first third of them one group where nearly all pairs are near `cosine`; the links of each."""
+    draw = np.random.default_rng(17)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(draw.normal(size=(n, width)))
+    x[: n // 3] = unit(draw.normal(size=width)) + x[: n // 3] * np.sqrt(1 / cosine - 1)
+    x = x.astype(np.float32)
+    u = unit(x.astype(float))
+    return x, (u @ u.T >= 0.9).sum(1) - 1
+
+
+@pytest.mark.parametrize(("n", "sample"), [(9000, 20_000), (3000, 10)])
+def test_dense_group_is_linked(spark, monkeypatch, n, sample):
+    monkeypatch.setattr(forest, "SAMPLE", sample)
+    x, links = with_a_dense_group(n)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(df).collect()}
+    own = np.array([got[k] for k in range(n)])
+    assert links.sum() > (n // 3) ** 2 / 2 and (own <= links).all() and own.sum() >= 0.99 * links.sum()
+
+
 # pipeline and queries
 
 

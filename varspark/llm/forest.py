@@ -1,14 +1,20 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Equal vectors are gathered first: one point each, with the number of its rows. Every tree splits the unit vectors again and again by a
-random direction at a median; points within SPILL of the median (as a share of the spread) go to both sides. The top of each tree is
-fitted on a bounded sample of points (about SAMPLE, by hash). Leaves that hold more than LEAF points of the whole table are split on
-by further random directions at their own medians, round by round, each round one pass over the points of those leaves; a leaf that
-random directions do not take apart any more (LEVELS rounds) is compared as it is, in blocks. Points are compared within leaves, in
-double precision, and what reaches the limit is a link. Links of all trees are united; components follow by minima.
-
-Inside a leaf the comparisons go by blocks of rows against rows, so memory does not grow with the leaf; a leaf's rows are dealt over
-tasks: block i meets block j in the task of the pair (i, j).
+Equal vectors are gathered first: one point each, with the number of its rows. Medians fall inside dense groups and would cut them, so
+these are taken out before the trees, without loss: a point of a bounded sample (about SAMPLE, by hash) that is linked with CROWDED or
+more others leads a group, its core is every point of the table linked with it (each point belongs to the nearest leader), and what can
+be linked with the core lies within twice the limit's angle of the leader. Cores are compared with all of that, so every link with an end
+in a core is found, and counted where it is found: no pairs are written, only sums by point and an edge to the leader.
+
+The other points go to the trees. Every tree splits the unit vectors again and again by a random direction at a median; points within
+SPILL of the median (as a share of the spread) go to both sides. The top of each tree is fitted on the sample. Leaves that hold more
+than LEAF points of the whole table are split on by further random directions at their own medians, round by round, each round one pass
+over the points of those leaves; a leaf where a sample of pairs shows DENSE or more of them linked (a group too small for the sample to
+show), or that random directions do not take apart any more (LEVELS rounds), is compared as it is, in blocks. Points are compared within
+leaves, in double precision, and what reaches the limit is a link. Links of all trees are united; components follow by minima.
+
+Comparisons go by blocks of rows against rows, so memory does not grow with a leaf or a group, whose rows are dealt over tasks: block i
+meets block j in the task of the pair (i, j).
 """
 
 from __future__ import annotations
@@ -29,6 +35,10 @@ LEAF = 512
 LEAST_SAMPLE = 64
 SPILL = 0.1
 LEVELS = 24
+CROWDED = 32
+DENSE = 0.1
+BLOCK = 4096
+STRIP = 512
 
 
 def usable(x: list) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +153,98 @@ def close(group: pd.DataFrame, limit: float, kind: str) -> pd.DataFrame:
     return pd.DataFrame({"src": np.minimum(u, v)[keep], "dst": np.maximum(u, v)[keep]}).drop_duplicates()
 
 
+def leaders(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the sample that lead its dense groups, and which rows they cover: the one with the most links to rows not covered yet is
+    taken, while these are CROWDED or more. Single precision will do, as it only chooses."""
+    x = x.astype(np.float32)
+
+    def near(y: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x[k : k + STRIP] @ y.T >= limit).sum(1) for k in range(0, len(x), STRIP)])
+
+    out, covered = [], np.zeros(len(x), dtype=bool)
+    count = near(x) if len(x) else np.zeros(0, np.int64)
+    while len(x) and count.max() >= CROWDED:
+        k = int(count.argmax())
+        new = np.flatnonzero(~covered & (x @ x[k] >= limit))
+        if len(new) >= CROWDED:
+            out.append(k)
+            covered[new] = True
+            count -= near(x[new])
+        count[k] = -1
+    return np.array(out, dtype=np.int64), covered
+
+
+def placed(points: DataFrame, centres: np.ndarray, limit: float, kind: str) -> DataFrame:
+    """points with `home`, the nearest leader if linked with it, else -1, and `near`, the leaders within twice the limit's angle."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+    reach = np.cos(min(np.pi, 2 * np.arccos(limit))) - 1e-6
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = matrix(batch.column(1).to_pylist(), kind) @ shared.value.T
+                home = at.argmax(1)
+                home[at.max(1) < limit + 1e-9] = -1
+                row, group = np.nonzero(at >= reach)
+                cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(at)))]).astype(np.int32)
+                near = pa.ListArray.from_arrays(pa.array(cut), pa.array(group.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), near], ["id", "v", "rows", "home", "near"])
+
+    return points.select("id", "v", "rows").mapInArrow(block, "id long, v binary, rows long, home int, near array<int>")
+
+
+def count_links(pair: pd.DataFrame, names: np.ndarray, limit: float, kind: str) -> pd.DataFrame:
+    """(id, near, leader) of the points that have a link in a block of a core (side 0) against a block of its surroundings (side 1).
+
+    near: the rows that a point is linked with. A core's points have all their links counted at home, so as surroundings they count none.
+    """
+    a, b = pair[pair.side == 0], pair[pair.side == 1]
+    x, y = matrix(a.v.tolist(), kind), matrix(b.v.tolist(), kind)
+    own, other = np.zeros(len(a)), np.zeros(len(b))
+    linked = np.zeros(len(b), dtype=bool)
+    of_a, of_b, ids_a, ids_b = a.rows.to_numpy(float), b.rows.to_numpy(float), a.id.to_numpy(), b.id.to_numpy()
+    for first in range(0, len(a) if len(b) else 0, STRIP):
+        strip = slice(first, first + STRIP)
+        at = x[strip] @ y.T
+        hit = at >= limit
+        i, j = np.nonzero(np.abs(at - limit) < 1e-9)
+        hit[i, j] = np.einsum("ij,ij->i", x[strip][i], y[j]) >= limit
+        hit &= ids_a[strip, None] != ids_b
+        linked |= hit.any(0)
+        hit = hit.astype(float)
+        own[strip] = hit @ of_b
+        other += of_a[strip] @ hit
+    other[b.home.to_numpy() >= 0] = 0
+    ids, near = np.concatenate([ids_a[own > 0], ids_b[linked]]), np.concatenate([own[own > 0], other[linked]])
+    return pd.DataFrame({"id": ids, "near": near.astype(np.int64), "leader": np.full(len(ids), names[pair.group.iloc[0]] if len(pair) else 0, np.int64)})
+
+
+def core_links(points: DataFrame, names: np.ndarray, limit: float, kind: str) -> DataFrame:
+    """(id, near, leader) from all links with an end in a core; points: as placed() gives them."""
+    around = points.select("id", "v", "rows", "home", F.explode("near").alias("group"))
+    sizes = around.groupBy("group").agg(F.count("*").alias("size"), F.sum((F.col("home") == F.col("group")).cast("long")).alias("core"))
+    sizes = sizes.where("core > 0").select("group", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}_blocks") for c in ("core", "size")))
+    dealt = around.join(F.broadcast(sizes), "group")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    core = dealt.where("home = group").select("id", "v", "rows", "home", "group", block("core_blocks").alias("i"), each("size_blocks").alias("j"), F.lit(0).alias("side"))
+    other = dealt.select("id", "v", "rows", "home", "group", each("core_blocks").alias("i"), block("size_blocks").alias("j"), F.lit(1).alias("side"))
+    pairs = core.union(other).groupBy("group", "i", "j")
+    return pairs.applyInPandas(lambda g: count_links(g, names, limit, kind), "id long, near long, leader long")
+
+
+def dense(leaf: DataFrame, limit: float, kind: str) -> DataFrame:
+    """(tree, leaf) of the leaves where DENSE or more of the pairs of about 2 * LEAST_SAMPLE points are linked. leaf: with `size`."""
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        x = matrix(group.v.tolist(), kind)
+        pairs = len(x) * (len(x) - 1)
+        return group[["tree", "leaf"]].head(int(pairs > 0 and (x @ x.T >= limit).sum() - len(x) >= DENSE * pairs))
+
+    share = F.shiftrightunsigned(F.xxhash64("id", "tree", F.lit(7)), 11) / F.lit(float(1 << 53))
+    return leaf.where(share < F.lit(2.0 * LEAST_SAMPLE) / F.col("size")).select("v", "tree", "leaf").groupBy("tree", "leaf").applyInPandas(look, "tree int, leaf long")
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", limit: float = 0.9) -> DataFrame:
     """(key, n_links, component_id, kept): rows linked by a cosine of `limit` or more that the forest finds; never one below it.
 
@@ -155,19 +257,32 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     rows = saved(as_points(vectors, key, column, kind))
     points = saved(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
     n = points.count()
-    sample = points.select("v").where(F.shiftrightunsigned(F.xxhash64("v"), 11) / F.lit(float(1 << 53)) < F.lit(SAMPLE / max(n, 1))).toArrow()
-    x = matrix(sample["v"].to_pylist(), kind)
-    x = x[np.lexsort(x.T)] if len(x) else x
-    trees = [Tree(x, seed) for seed in range(TREES)]
-    leaves = saved(in_leaves(points.select("id", "v"), trees, kind))
-
-    # leaves that are too large for the whole table are split on, at their own medians
+    sample = points.select("id", "v").where(F.shiftrightunsigned(F.xxhash64("v"), 11) / F.lit(float(1 << 53)) < F.lit(SAMPLE / max(n, 1))).toArrow()
+    x, ids = matrix(sample["v"].to_pylist(), kind), sample["id"].to_numpy()
+    order = np.lexsort(x.T) if len(x) else np.arange(0)
+    x, ids = x[order], ids[order]
+
+    # dense groups: every link with an end in a core
+    lead, covered = leaders(x, limit)
+    cores = None
+    rest = points.select("id", "v")
+    if len(lead):
+        homes = saved(placed(points, x[lead], limit, kind))
+        cores = saved(core_links(homes, ids[lead], limit, kind))
+        rest = homes.where("home < 0").select("id", "v")
+
+    trees = [Tree(x[~covered], seed) for seed in range(TREES)]
+    leaves = saved(in_leaves(rest, trees, kind))
+
+    # leaves that are too large for the whole table are split on, at their own medians, but for dense ones
     done = []
     for _ in range(LEVELS):
         sizes = leaves.groupBy("tree", "leaf").agg(F.count("*").alias("size"))
-        large = sizes.where(F.col("size") > LEAF).select("tree", "leaf")
+        large = sizes.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
+        crowded = saved(dense(leaves.join(large, ["tree", "leaf"]), limit, kind))
+        large = large.join(crowded, ["tree", "leaf"], "left_anti").select("tree", "leaf")
         done.append(leaves.join(large, ["tree", "leaf"], "left_anti").select("id", "v", "tree", "leaf"))
         at = saved(projected(leaves.join(large, ["tree", "leaf"]).select("id", "v", "tree", "leaf"), kind))
         middle = at.groupBy("tree", "leaf").agg(F.percentile_approx("at", 0.5, 1000).alias("middle"), F.stddev_pop("at").alias("spread"), F.count("*").alias("size"))
@@ -186,11 +301,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     links = dealt.groupBy("tree", "leaf", "i", "j").applyInPandas(lambda g: close(g, limit, kind), "src long, dst long")
     links = saved(links.distinct())
     release(spark)
-    component = connected_components(links)
+    component = connected_components(links if cores is None else links.union(cores.select("id", "leader")))
 
     own = points.select(F.col("id").alias("rep"), "rows")
     both = links.union(links.select("dst", "src")).toDF("src", "dst")
     near = both.join(own, F.col("dst") == F.col("rep")).groupBy(F.col("src").alias("rep")).agg(F.sum("rows").alias("near"))
+    if cores is not None:
+        near = near.union(cores.select("id", "near")).groupBy("rep").agg(F.sum("near").alias("near"))
     each = own.join(near, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     each = each.select("rep", (F.coalesce("near", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     of_row = rows.join(points.select("v", F.col("id").alias("rep")), "v").join(each, "rep").select(F.col("id"), "n_links", "component_id").distinct()
