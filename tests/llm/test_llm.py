@@ -232,6 +232,46 @@ def test_tree_is_a_distribution(monkeypatch):
         assert tree.probability(context * 4 + np.arange(4)).sum() == pytest.approx(1)
 
 
+def test_gains_are_the_trees(spark):
+    draw = np.random.default_rng(2)
+    k = 6
+    symbols = [0, 0]
+    for _ in range(4000):
+        symbols.append(int((symbols[-1] * 2 + symbols[-2]) % k) if draw.random() < 0.7 else int(draw.integers(k)))
+    counts = Counter(symbols[i] * k * k + symbols[i + 1] * k + symbols[i + 2] for i in range(4000))
+    shares = np.bincount(symbols, minlength=k) + 1.0
+    shares /= shares.sum()
+    rows = {name: [] for name in ("depth", "pair", "n", "total", "kinds")}
+    for depth in (1, 2):
+        n = Counter()
+        for gram, m in counts.items():
+            n[gram % k ** (depth + 1)] += m
+        for pair, m in n.items():
+            own = [b for a, b in n.items() if a // k == pair // k]
+            for name, value in zip(rows, (depth, pair, m, sum(own), len(own)), strict=True):
+                rows[name].append(value)
+    tree = lm.Tree({name: np.array(v) for name, v in rows.items()}, shares)
+    asked = [(g, counts.get(g, 0)) for g in range(k**3)]
+    got = {r.gram: r.gain for r in lm.gains(spark.createDataFrame(asked, "gram long, n long"), spark.createDataFrame(list(enumerate(shares.tolist())), "next long, q double"), k).collect()}
+    codes = np.arange(k**3)
+    full = np.isin(codes // k, [c // k for c, m in counts.items() if m > 20])  # chance ones may fail the divergence test
+    want = np.log10(tree.probability(codes) / shares[codes % k])
+    assert full.sum() > 60 and len(got) == k**3 and np.allclose([got[c] for c in codes[full]], want[full])
+
+
+@pytest.mark.parametrize("common", [lm.COMMON, 2.0])
+def test_contexts_stay_as_the_corpus_grows(spark, monkeypatch, common):
+    """A context seen 40 times among 2.4 million tokens, and its entry, still tell what comes next; grams broadcast or joined."""
+    monkeypatch.setattr(lm, "COMMON", common)
+    draw = random.Random(8)
+    names = [chr(97 + i) + "x" for i in range(20)]
+    filler = [" ".join(draw.choice(names[:18]) for _ in range(20_000)) for _ in range(120)]
+    rows = [(k, t) for k, t in enumerate(filler)] + [(200 + k, " ".join([names[18], names[19]] * 10)) for k in range(2)] + [(300, f"{names[18]} {names[19]}"), (301, f"{names[19]} {names[18]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in lm.score_texts(df, F.col("doc_id") < 300).collect()}
+    assert got[200].score - got[200].base_score > 20 * 2
+
+
 # classifiers
 
 
