@@ -40,7 +40,7 @@ def test_identifiers(spark):
     assert value(spark, S.numeric_gene_id(F.lit("ENSG00000000042.3"))) == 42
     assert value(spark, S.ensembl_id(F.lit(42))) == "ENSG00000000042"
     assert value(spark, S.rcv_id(F.lit(7))) == "RCV000000007"
-    assert value(spark, S.significance_level(F.lit("Pathogenic/Likely pathogenic"))) == 5
+    assert value(spark, S.significance_level(F.lit("Pathogenic/Likely pathogenic"))) == 4
     assert value(spark, S.significance_level(F.lit("odd"))) is None
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from varspark.plans import registry
+from varspark.plans import more, registry  # noqa: F401  more registers its queries too
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "lineitem", "part")
@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))

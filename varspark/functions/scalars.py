@@ -27,8 +27,17 @@ INHERITANCE = {
     "HP:0001450": "YLinked",
     "HP:0001427": "Mitochondrial",
 }
-#: Classes of clinical significance, benign to pathogenic.
-SIGNIFICANCE = ("benign", "likely benign", "uncertain significance", "likely pathogenic", "pathogenic")
+#: Levels of clinical significance, 1 benign to 5 pathogenic.
+SIGNIFICANCE = {
+    "benign": 1,
+    "benign/likely benign": 1,
+    "likely benign": 2,
+    "uncertain significance": 3,
+    "conflicting classifications of pathogenicity": 3,
+    "likely pathogenic": 4,
+    "pathogenic/likely pathogenic": 4,
+    "pathogenic": 5,
+}
 CHROMOSOMES = tuple(str(k) for k in range(1, 23)) + ("X", "Y", "M")
 
 
@@ -95,11 +104,19 @@ def plain_genotype(gt: Column) -> Column:
     return F.when(gt == "1/0", "0/1").otherwise(gt)
 
 
+def spelled(plain: tuple[str, ...]) -> list[str]:
+    """All ways to write the plain genotypes: with phase, either allele first, with a leading separator."""
+    own = {"".join(x) for g in plain for a, sep, b in [g.partition("/")] for x in ([(a,)] if not sep else [(u, s, v) for s in "/|" for u, v in ((a, b), (b, a))])}
+    return sorted(lead + g for g in own for lead in ("", "/", "|"))
+
+
 def genotype_kind(gt: Column) -> Column:
     """HomRef, Het, HomAlt or WithNoCall; raises on anything else. Null stays null."""
-    gt = plain_genotype(gt)
-    known = F.when(gt.contains("."), "WithNoCall").when(gt.isin("0/0", "0"), "HomRef").when(gt == "0/1", "Het").when(gt.isin("1/1", "1"), "HomAlt")
-    return F.when(gt.isNull(), F.lit(None).cast("string")).when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("not a genotype: "), gt)))
+    names = {"HomRef": ("0/0", "0"), "Het": ("0/1",), "HomAlt": ("1/1", "1")}
+    out = F.when(gt.isNull(), F.lit(None).cast("string"))
+    for name, plain in names.items():
+        out = out.when(gt.isin(spelled(plain)), name)
+    return out.when(gt.contains("."), "WithNoCall").otherwise(F.raise_error(F.concat(F.lit("not a genotype: "), gt)))
 
 
 def is_no_call(gt: Column) -> Column:
@@ -137,11 +154,8 @@ def genome_bin(begin: Column, end: Column) -> Column:
 
 
 def significance_level(text: Column) -> Column:
-    """1 (benign) to 5 (pathogenic) of a class in words, combined classes by the stronger; null if unknown."""
-    low = F.lower(F.trim(text))
-    levels = F.create_map(*(F.lit(x) for k, c in enumerate(SIGNIFICANCE) for x in (c, k + 1)))
-    parts = F.transform(F.split(low, "/"), lambda c: F.try_element_at(levels, F.trim(c)))
-    return F.array_max(parts)
+    """1 (benign) to 5 (pathogenic) of a class in words; null if unknown."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in SIGNIFICANCE.items() for x in kv)), F.lower(F.trim(text)))
 
 
 def inheritance_mode(hpo: Column) -> Column:
@@ -164,20 +178,45 @@ def allele_frequency(an: Column, hom: Column, het: Column, hemi: Column | None =
     return F.coalesce(F.try_divide(carried.cast("double"), an.cast("double")), F.lit(0.0)).cast("float")
 
 
-#: Consequence terms that the output leaves out.
-UNMAPPED = (
-    "feature_elongation",
-    "feature_truncation",
-    "mature_miRNA_variant",
-    "TFBS_ablation",
-    "TFBS_amplification",
-    "TF_binding_site_variant",
-    "regulatory_region_ablation",
-    "regulatory_region_amplification",
-    "regulatory_region_variant",
-    "gene_variant",
+#: Consequence terms that the output knows; others are left out.
+CONSEQUENCES = (
+    "transcript_ablation",
+    "exon_loss_variant",
+    "splice_acceptor_variant",
+    "splice_donor_variant",
+    "stop_gained",
+    "frameshift_variant",
+    "stop_lost",
+    "start_lost",
+    "transcript_amplification",
+    "disruptive_inframe_insertion",
+    "disruptive_inframe_deletion",
+    "conservative_inframe_insertion",
+    "conservative_inframe_deletion",
+    "missense_variant",
+    "splice_donor_5th_base_variant",
+    "splice_region_variant",
+    "splice_donor_region_variant",
+    "splice_polypyrimidine_tract_variant",
+    "start_retained_variant",
+    "stop_retained_variant",
+    "synonymous_variant",
+    "coding_sequence_variant",
+    "5_prime_UTR_exon_variant",
+    "5_prime_UTR_intron_variant",
+    "3_prime_UTR_exon_variant",
+    "3_prime_UTR_intron_variant",
+    "non_coding_transcript_exon_variant",
+    "non_coding_transcript_intron_variant",
+    "upstream_gene_variant",
+    "downstream_gene_variant",
+    "intergenic_variant",
+    "intron_variant",
 )
 
 
 def shown_consequences(terms: Column) -> Column:
-    return F.filter(terms, lambda t: ~t.isin(*UNMAPPED))
+    """The names that the output gives to consequence terms: CONSEQUENCE_ and the term in capitals, its digits in words."""
+    known = F.filter(terms, lambda t: t.isin(*CONSEQUENCES))
+    spell = lambda t: F.replace(F.replace(F.replace(F.upper(t), F.lit("5_PRIME"), F.lit("FIVE_PRIME")), F.lit("3_PRIME"), F.lit("THREE_PRIME")), F.lit("5TH"), F.lit("FIFTH"))
+    return F.transform(known, lambda t: F.concat(F.lit("CONSEQUENCE_"), spell(t)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varspark.functions.scalars import allele_frequency, ensembl_id, location_of, rcv_id, reciprocal_overlap, shown_consequences
+from varspark.functions.scalars import allele_frequency, ensembl_id, genome_bin, location_of, rcv_id, reciprocal_overlap, shown_consequences
 from varspark.operators.intervals import nearest, range_join, sv_probe
 from varspark.operators.stats import any_disease_gene
 
@@ -24,7 +24,7 @@ def _ends(svs: DataFrame, slack: int) -> DataFrame:
     second = F.coalesce("chrom_no2", "chrom_no") if "chrom_no2" in svs.columns else F.col("chrom_no")
     point = around(F.col("chrom_no"), F.col("pos"))
     probes = F.when(F.col("sv_type") == "BND", F.array(point, around(second, F.col("sv_end")))).when(F.col("sv_type") == "INS", F.array(point)).otherwise(span)
-    return svs.select("sv_id", F.explode(probes).alias("p")).select("sv_id", "p.*")
+    return svs.select("sv_id", F.col("sv_type").isin("INS", "BND").alias("point"), F.explode(probes).alias("p")).select("sv_id", "point", "p.*")
 
 
 def overlapping_genes(svs: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -101,13 +101,21 @@ def tx_regions(exons: DataFrame, flank: int = 5000) -> DataFrame:
 
 
 def tx_effects(svs: DataFrame, regions: DataFrame) -> DataFrame:
-    """(sv_id, gene_id, effects): sorted distinct effects by gene; a variant over up- and downstream of a gene also has transcript_variant.
-    Variants without a gene are left out (intergenic)."""
+    """(sv_id, gene_id, effects): sorted distinct effects by gene. The span of a variant counts; of INS its point, of BND both ends, each on
+    its own contig. A span over up- and downstream of a gene also has transcript_variant. A variant that meets no gene has one row with a
+    null gene and intergenic_variant.
+
+    Effects are flags that combine before the shuffle, so the pairs of a gene never come together.
+    """
+    kinds = ("exon", "intron", "splice_region", "upstream", "downstream")
     known = regions.select("gene_id", F.col("chrom_no").alias("r_chrom"), "kind", F.col("b").alias("rb"), F.col("e").alias("re"))
-    hits = range_join(_probes(svs), known, {"own_chrom": "r_chrom"}, ("pb", "pe"), ("rb", "re"))
-    kinds = hits.groupBy("sv_id", "own_type", "gene_id").agg(F.collect_set(F.concat("kind", F.when(F.col("kind") == "splice_region", "_variant").otherwise("_variant"))).alias("effects"))
-    across = ~F.col("own_type").isin("INS", "BND") & F.array_contains("effects", "upstream_variant") & F.array_contains("effects", "downstream_variant")
-    return kinds.select("sv_id", "gene_id", F.array_sort(F.when(across, F.array_append("effects", F.lit("transcript_variant"))).otherwise(F.col("effects"))).alias("effects"))
+    hits = range_join(_ends(svs, 0), known, {"own_chrom": "r_chrom"}, ("pb", "pe"), ("rb", "re"))
+    flags = hits.groupBy("sv_id", "gene_id").agg(F.max("point").alias("point"), *(F.max(F.col("kind") == k).alias(k) for k in kinds))
+    names = {**{k: F.col(k) for k in kinds}, "transcript": ~F.col("point") & F.col("upstream") & F.col("downstream")}
+    effects = F.array_sort(F.array_compact(F.array(*(F.when(test, f"{k}_variant") for k, test in names.items()))))
+    found = flags.select("sv_id", "gene_id", effects.alias("effects"))
+    none = svs.select("sv_id").distinct().join(flags.select("sv_id").distinct(), "sv_id", "left_anti")
+    return found.union(none.select("sv_id", F.lit(None).cast("string"), F.array(F.lit("intergenic_variant"))))
 
 
 def gene_details(ids: DataFrame, xlink: DataFrame, acmg: DataFrame, disease: DataFrame) -> DataFrame:
@@ -119,26 +127,34 @@ def gene_details(ids: DataFrame, xlink: DataFrame, acmg: DataFrame, disease: Dat
 
 
 def annotate_genes(df: DataFrame, genes: DataFrame) -> DataFrame:
-    """df with `gene`: identity, consequences, location and transcript of the first annotation, and the gene table's columns (by hgnc_id);
-    scores that are null there count as 0."""
+    """df with `gene`: identity, consequences, location, transcript and rank (ordinal and total) of the first annotation, and the gene
+    table's columns (by hgnc_id, which must be unique); scores that are null there count as 0."""
     first = F.try_element_at("ann", F.lit(1))
+    fields = df.schema["ann"].dataType.elementType.fieldNames()
+    own = lambda name: first[name] if name in fields else F.lit(None).cast("string")
+    rank = F.split(own("rank"), "/")
     scores = [f.name for f in genes.schema if f.dataType.simpleString() == "double"]
     rest = [c for c in genes.columns if c not in ("hgnc_id", *scores)]
     joined = df.withColumn("_gene", first["gene_id"]).join(genes.withColumnsRenamed({c: f"_g_{c}" for c in genes.columns}), F.col("_gene") == F.col("_g_hgnc_id"), "left")
-    gene = F.struct(F.col("_gene").alias("hgnc_id"), shown_consequences(first["consequences"]).alias("consequences"), location_of(first["consequences"]).alias("location"), *(F.coalesce(f"_g_{c}", F.lit(0.0)).alias(c) for c in scores), *(F.col(f"_g_{c}").alias(c) for c in rest))
+    ranked = F.when(own("rank").isNotNull(), F.struct(F.get(rank, F.lit(0)).try_cast("int").alias("ord"), F.get(rank, F.lit(1)).try_cast("int").alias("total")))
+    gene = F.struct(F.col("_gene").alias("hgnc_id"), shown_consequences(first["consequences"]).alias("consequences"), location_of(first["consequences"]).alias("location"), own("feature_id").alias("tx_accession"), ranked.alias("rank"), *(F.coalesce(f"_g_{c}", F.lit(0.0)).alias(c) for c in scores), *(F.col(f"_g_{c}").alias(c) for c in rest))
     return joined.withColumn("gene", gene).drop("_gene", *(f"_g_{c}" for c in genes.columns))
 
 
 def annotate_variants(df: DataFrame, dbsnp: DataFrame, clinvar: DataFrame, scores: DataFrame) -> DataFrame:
-    """df with rs_id, frequency block, clinvar block and scores, by chrom, pos, ref, alt."""
+    """df with rs_id, frequency block, clinvar block and scores, by chrom, pos, ref, alt. Of several rows of a variant the least rs, the
+    first ClinVar record and the least scores count. The in-house block has no frequency of its own: 0."""
     key = ["chrom", "pos", "ref", "alt"]
     snp = dbsnp.groupBy(*key).agg(F.min("rs").alias("_rs"))
     cv = clinvar.groupBy(*key).agg(F.min_by(F.struct("vcv", "significance"), "record_no").alias("clinvar"))
     names = [c for c in scores.columns if c not in key]
-    sc = scores.groupBy(*key).agg(F.first(F.struct(*names)).alias("scores"))
-    af = lambda c: F.struct(allele_frequency(c["an"], c["hom"], c["het"], c["hemi"]).alias("af"), c["an"].alias("an"), c["hom"].alias("hom"), c["het"].alias("het"), c["hemi"].alias("hemi"))
+    sc = scores.groupBy(*key).agg(F.min(F.struct(*names)).alias("scores"))
+    zero = F.lit(0.0).cast("float")
+    nuclear = lambda c, af=None: F.struct((allele_frequency(c["an"], c["hom"], c["het"], c["hemi"]) if af is None else af).alias("af"), c["an"].alias("an"), c["hom"].alias("hom"), c["het"].alias("het"), c["hemi"].alias("hemi"))
+    mito = lambda c: F.struct(allele_frequency(c["an"], c["hom"], c["het"]).alias("af"), c["an"].alias("an"), c["hom"].alias("hom"), c["het"].alias("het"))
+    frequency = F.struct(nuclear(F.col("gnomad_exomes")).alias("exomes"), nuclear(F.col("gnomad_genomes")).alias("genomes"), mito(F.col("gnomad_mtdna")).alias("mtdna"), mito(F.col("helixmtdb")).alias("helixmtdb"), nuclear(F.col("inhouse"), zero).alias("inhouse"))
     out = df.join(snp, key, "left").join(cv, key, "left").join(sc, key, "left")
-    return out.withColumns({"rs_id": F.when(F.col("_rs").isNotNull(), F.concat(F.lit("rs"), F.col("_rs").cast("string"))), "frequency": F.struct(af(F.col("gnomad_exomes")).alias("exomes"), af(F.col("gnomad_genomes")).alias("genomes"))}).drop("_rs")
+    return out.withColumns({"rs_id": F.when(F.col("_rs").isNotNull(), F.concat(F.lit("rs"), F.col("_rs").cast("string"))), "frequency": frequency}).drop("_rs")
 
 
 def annotate_calls(df: DataFrame) -> DataFrame:
@@ -159,5 +175,15 @@ def assemble_sv_results(svs: DataFrame, **parts: DataFrame) -> DataFrame:
     return out
 
 
-def payload(*columns: Column) -> Column:
-    return F.to_json(F.struct(*columns))
+def sv_payload(svs: DataFrame, counts: DataFrame, masked: DataFrame, effects: DataFrame, distances: DataFrame, clinvar: DataFrame, pathogenic: DataFrame) -> DataFrame:
+    """The result rows of structural variants: place, size, bins and one JSON payload with background counts, masked breakpoints, effects by
+    gene, distance to the next domain boundary, ClinVar ids and known pathogenic variants. Each part is joined by sv_id."""
+    by_gene = effects.where("gene_id IS NOT NULL").groupBy("sv_id").agg(F.array_sort(F.collect_list(F.struct("gene_id", "effects"))).alias("tx_effects"))
+    block = lambda df, name: df.select("sv_id", F.struct(*(c for c in df.columns if c != "sv_id")).alias(name))
+    out = svs
+    for part in (block(counts, "overlap_counts"), block(masked, "masked_breakpoints"), by_gene, distances.withColumnRenamed("distance", "tad_boundary_distance"), clinvar.withColumnRenamed("rcvs", "clinvar_ovl_rcvs"), pathogenic.withColumnRenamed("pathogenic", "known_pathogenic")):
+        out = out.join(part, "sv_id", "left")
+    size = F.when(~F.col("sv_type").isin("INS", "BND"), F.col("sv_end") - F.col("pos") + 1)
+    body = F.to_json(F.struct("sv_type", size.alias("sv_length"), "overlap_counts", "masked_breakpoints", "tx_effects", "tad_boundary_distance", "clinvar_ovl_rcvs", "known_pathogenic"))
+    begin, end = sv_probe(F.col("pos"), F.col("sv_end"), F.col("sv_type"), 0)
+    return out.select("sv_id", "case_id", "chrom_no", F.coalesce("chrom_no2", "chrom_no").alias("chrom_no2"), F.col("pos").alias("start"), F.col("sv_end").alias("end"), genome_bin(begin, end).alias("bin"), "sv_type", body.alias("payload"))

@@ -48,8 +48,15 @@ def list_carriers(calls: DataFrame, pedigree: DataFrame, release: str = "grch37"
     return rows.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("case_id", "idx", F.col("class").alias("genotype")))).alias("carriers"))
 
 
+def update_classified(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Classified calls of both tables, each call once: those of cases in `new` take the place of the ones in `old`, so a case that comes
+    again changes nothing. Only the case ids of `new` meet those of `old`."""
+    columns = ["case_id", "sample", "idx", *KEY, "class"]
+    return old.select(*columns).join(new.select("case_id").distinct(), "case_id", "left_anti").select(*columns).unionByName(new.select(*columns))
+
+
 def update_counts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Counts of both tables together."""
+    """Counts of both tables together, for tables of different cases (see update_classified where cases may come again)."""
     return old.unionByName(new).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in CLASSES))
 
 

@@ -5,37 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Two bin widths as powers of 2; intervals longer than eight fine bins are met in coarse ones, so none spreads over many.
-FINE, COARSE = 12, 20
+#: Bin widths as powers of 2. An interval of eight bins or more of one width goes up to the next, so none but the longest spreads over many.
+WIDTHS = (12, 16, 20)
 
 
-def _binned(df: DataFrame, begin: Column, end: Column, side: str) -> DataFrame:
+def _cells(begin: Column, end: Column, left: bool) -> Column:
+    """The cells (pair of levels, bin) that an interval stands in: against each level of the other side, the bins of the coarser width."""
     last = F.greatest(end - 1, begin)
-    level = F.when(last - begin >= 8 << FINE, 1).otherwise(0)
+    levels = range(len(WIDTHS))
 
-    def bins(k: int, shift: int) -> Column:
-        return F.transform(F.sequence(F.shiftright(begin.cast("long"), shift), F.shiftright(last.cast("long"), shift)), lambda b: F.struct(F.lit(k).alias("k"), b.alias("bin")))
+    def of_pair(own: int, other: int) -> Column:
+        width, pair = WIDTHS[max(own, other)], own * len(WIDTHS) + other if left else other * len(WIDTHS) + own
+        bins = F.sequence(F.shiftright(begin.cast("long"), width), F.shiftright(last.cast("long"), width))
+        return F.transform(bins, lambda b: F.struct(F.lit(pair).alias("pair"), b.alias("bin")))
 
-    cells = F.concat(F.when(level == 0, bins(0, FINE)).otherwise(F.array().cast("array<struct<k:int,bin:bigint>>")), bins(1, COARSE))
-    return df.select("*", level.alias(f"_{side}_level"), F.explode(cells).alias(f"_{side}_cell"))
+    def of_level(own: int) -> Column:
+        return F.concat(*(of_pair(own, other) for other in levels))
 
+    out = of_level(levels[-1])
+    for own in reversed(levels[:-1]):
+        out = F.when(last - begin < 8 << WIDTHS[own], of_level(own)).otherwise(out)
+    return out
 
-def range_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_range: tuple[str, str], right_range: tuple[str, str], how: str = "inner") -> DataFrame:
+
+def range_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
     """Pairs of half-open intervals that overlap, with equal keys (left column: right column). Column names of the sides must differ.
 
-    An equi-join on key and bin with the overlap as residual condition; a pair is taken only in the bin of the greater begin, and at the
-    coarser of the two levels, so it comes once and nothing needs a distinct. `how` is inner or left_semi.
+    An equi-join on key, pair of levels and bin, with the overlap as residual condition. The pair of levels is part of the key, so short
+    intervals meet short ones in fine bins only; a pair is taken only in the bin of the greater begin, so it comes once and nothing needs
+    a distinct.
     """
     (b1, e1), (b2, e2) = left_range, right_range
-    a = _binned(left, F.col(b1), F.col(e1), "l")
-    b = _binned(right, F.col(b2), F.col(e2), "r")
-    on = [F.col(x) == F.col(y) for x, y in keys.items()] + [F.col("_l_cell.k") == F.col("_r_cell.k"), F.col("_l_cell.bin") == F.col("_r_cell.bin")]
+    a = left.select("*", F.explode(_cells(F.col(b1), F.col(e1), True)).alias("_l_cell"))
+    b = right.select("*", F.explode(_cells(F.col(b2), F.col(e2), False)).alias("_r_cell"))
+    on = [F.col(x) == F.col(y) for x, y in keys.items()] + [F.col("_l_cell.pair") == F.col("_r_cell.pair"), F.col("_l_cell.bin") == F.col("_r_cell.bin")]
     begin = F.greatest(b1, b2).cast("long")
-    home = F.when(F.col("_l_cell.k") == 0, F.shiftright(begin, FINE)).otherwise(F.shiftright(begin, COARSE))
-    on += [F.col(b1) < F.col(e2), F.col(e1) > F.col(b2), F.col("_l_cell.k") == F.greatest("_l_level", "_r_level"), F.col("_l_cell.bin") == home]
-    joined = a.join(b, on, "inner")
-    out = joined.drop("_l_level", "_l_cell", "_r_level", "_r_cell")
-    return out if how == "inner" else out.select(*left.columns).distinct()
+    home = F.lit(None).cast("long")
+    for k in reversed(range(len(WIDTHS))):
+        pairs = [i * len(WIDTHS) + j for i in range(len(WIDTHS)) for j in range(len(WIDTHS)) if max(i, j) == k]
+        home = F.when(F.col("_l_cell.pair").isin(pairs), F.shiftright(begin, WIDTHS[k])).otherwise(home)
+    on += [F.col(b1) < F.col(e2), F.col(e1) > F.col(b2), F.col("_l_cell.bin") == home]
+    return a.join(b, on, "inner").drop("_l_cell", "_r_cell")
 
 
 def islands(df: DataFrame, keys: list[str], begin: str, end: str) -> DataFrame:
@@ -92,6 +102,13 @@ def masked_breakpoints(svs: DataFrame, regions: DataFrame, kinds: list[str]) ->
 
 
 def lookup_regions(regions: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows of `table` (chrom_no, b, e, ...) that overlap a region (query_id, q_chrom, q_begin, q_end; a null range is the whole contig)."""
-    asks = regions.select("query_id", "q_chrom", F.coalesce("q_begin", F.lit(0)).alias("q_begin"), F.coalesce("q_end", F.lit(1 << 30)).alias("q_end"))
-    return asks.join(table, (F.col("q_chrom") == F.col("chrom_no")) & (F.col("q_begin") < F.col("e")) & (F.col("q_end") > F.col("b")))
+    """Rows of `table` (chrom_no, b, e, ...) that overlap a region (query_id, q_chrom, q_begin, q_end; a null range is the whole contig).
+
+    Works for any table of intervals: background, masked regions, known pathogenic and ClinVar variants, domains. A whole contig is an
+    equi-join on the contig, the other regions are a range join.
+    """
+    asks = regions.select("query_id", "q_chrom", F.col("q_begin").cast("long").alias("q_begin"), F.col("q_end").cast("long").alias("q_end"))
+    whole = asks.where("q_begin IS NULL OR q_end IS NULL").withColumns({"q_begin": F.coalesce("q_begin", F.lit(0).cast("long")), "q_end": F.coalesce("q_end", F.lit(1 << 40))})
+    ranged = range_join(asks.where("q_begin IS NOT NULL AND q_end IS NOT NULL"), table, {"q_chrom": "chrom_no"}, ("q_begin", "q_end"), ("b", "e"))
+    by_contig = whole.join(table, (F.col("q_chrom") == F.col("chrom_no")) & (F.col("q_begin") < F.col("e")) & (F.col("q_end") > F.col("b")))
+    return ranged.unionByName(by_contig)

@@ -7,11 +7,12 @@ consequences, distance; gnomad_exomes, gnomad_genomes, inhouse struct<an,hom,het
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varspark.functions.scalars import allele_frequency, plain_genotype
+from varspark.functions.scalars import allele_frequency, spelled
 
 #: Genotypes, without phase, that a choice stands for.
 REF, HET, HOM = ("0", "0/0"), ("0/1",), ("1", "1/1")
@@ -24,11 +25,22 @@ def every(tests: list[Column]) -> Column:
 
 
 def call_of(sample: str) -> Column:
-    return F.try_element_at(F.filter("calls", lambda c: c["sample"] == sample), F.lit(1))
+    """The sample's call, null if it has none; no lambda over the calls, so that it compiles."""
+    return F.get("calls", F.array_position(F.col("calls.sample"), sample).cast("int") - 1)
 
 
 def genotype_of(sample: str) -> Column:
-    return plain_genotype(call_of(sample)["gt"])
+    """As it is written; compare it with spelled() forms."""
+    return call_of(sample)["gt"]
+
+
+def has(gt: Column, kind: tuple[str, ...]) -> Column:
+    return gt.isin(spelled(kind))
+
+
+def kind_codes(gts: list[Column]) -> Column:
+    """One letter per genotype, in order: r ref, h het, H hom, - anything else or none. No lambda, so that it compiles."""
+    return F.concat(*(F.when(has(g, HET), "h").when(has(g, REF), "r").when(has(g, HOM), "H").otherwise("-") for g in gts))
 
 
 def within(settings: dict, counts: Column, nuclear: bool = True, with_af: bool = True) -> Column:
@@ -74,8 +86,8 @@ def pass_quality(query: dict) -> Column:
         if not s.get("filter_active"):
             continue
         call, gt = call_of(sample), genotype_of(sample)
-        is_het, is_hom = F.coalesce(gt.isin(*HET), F.lit(False)), F.coalesce(gt.isin(*HOM), F.lit(False))
-        is_ref = F.coalesce(gt.isin(*REF), F.lit(False))
+        is_het, is_hom = F.coalesce(has(gt, HET), F.lit(False)), F.coalesce(has(gt, HOM), F.lit(False))
+        is_ref = F.coalesce(has(gt, REF), F.lit(False))
         fails = [F.when(call.isNull(), F.raise_error(F.lit(f"sample {sample} not found in call info")).cast("boolean")).otherwise(F.lit(False))]
         if s.get("min_dp_het") is not None:
             fails.append(is_het & (call["dp"] < s["min_dp_het"]))
@@ -135,30 +147,49 @@ def pass_genotype(query: dict) -> Column:
         if s["genotype"] in RECESSIVE_ROLES:
             continue
         gt = genotype_of(sample)
-        tests.append(F.when(gt.isNull(), F.lit(False)).when(gt.contains("."), F.lit(bool(s.get("include_no_call")))).otherwise(gt.isin(*CHOICES[s["genotype"]])))
+        tests.append(has(gt, CHOICES[s["genotype"]]) | gt.contains(".") if s.get("include_no_call") else has(gt, CHOICES[s["genotype"]]))
     return every(tests)
 
 
-def is_kind(gt: Column | None, kind: tuple[str, ...], missing: bool) -> Column:
-    return F.lit(missing) if gt is None else F.coalesce(gt.isin(*kind), F.lit(False))
+def trio_rules(members: list[str], mode: str) -> dict[str, set[str]]:
+    """Which codes (a letter per member, index first) fit: `auto` and `x` for one variant, `gene_auto` and `gene_x` as a gene's hom variant,
+    `gene_het` as one of its het variants.
 
-
-def recessive_test(index: Column, father: Column | None, mother: Column | None, mode: str, chrom: Column) -> Column:
-    """Whether one variant fits: on autosomes hom index of het parents, or het index with one het and one ref parent at most; on X a hom
-    index with a ref father and a het mother; nothing on Y and MT. Missing parents set no condition."""
-    given = [p for p in (father, mother) if p is not None]
-    hom = is_kind(index, HOM, False) & every([is_kind(p, HET, True) for p in given])
-    count = lambda kind: sum((is_kind(p, kind, False).cast("int") for p in given), F.lit(0))
-    het = is_kind(index, HET, False) & (count(HOM) == 0) & (count(HET) <= 1) & (count(REF) <= 1)
-    auto = {"homozygous": hom, "compound-heterozygous": het, "any": hom | het}[mode]
-    on_x = is_kind(index, HOM, False) & is_kind(father, REF, True) & is_kind(mother, HET, True) if mode != "compound-heterozygous" else F.lit(False)
-    return F.coalesce(F.when(chrom < 22, auto).when(chrom == 22, on_x).otherwise(F.lit(False)), F.lit(False))
+    One variant: on autosomes a hom index of het parents, or a het index with no hom, one het and one ref parent at most; on X a hom index
+    with a ref father and a het mother. Missing parents set no condition. In a gene, variants with a hom parent don't count, and a het one
+    has one het and one ref parent.
+    """
+    out: dict[str, set[str]] = {k: set() for k in ("auto", "x", "gene_auto", "gene_x", "gene_het")}
+    for letters in map("".join, product("rhH-", repeat=len(members))):
+        of = dict(zip(members, letters, strict=True))
+        parents = letters[1:]
+        hom = of["index"] == "H" and all(p == "h" for p in parents)
+        het = of["index"] == "h" and "H" not in parents and parents.count("h") <= 1 and parents.count("r") <= 1
+        on_x = of["index"] == "H" and of.get("father", "r") == "r" and of.get("mother", "h") == "h"
+        one_each = of["index"] == "h" and set(parents) <= {"r", "h"} and len(set(parents)) == len(parents)
+        if mode != "compound-heterozygous":
+            out["auto"] |= {letters} if hom else set()
+            for name in ("x", "gene_x"):
+                out[name] |= {letters} if on_x else set()
+            out["gene_auto"] |= {letters} if hom else set()
+        if mode != "homozygous":
+            out["auto"] |= {letters} if het else set()
+            out["gene_het"] |= {letters} if one_each else set()
+    return out
+
+
+def members_of(found: dict[str, str]) -> list[str]:
+    return [r for r in ("index", "father", "mother") if r in found]
 
 
 def pass_recessive(query: dict) -> Column:
+    """Whether one variant fits a recessive mode; nothing does on Y and MT."""
     found = roles(query)
-    gts = {role: genotype_of(sample) for role, sample in found.items()}
-    return recessive_test(gts["index"], gts.get("father"), gts.get("mother"), query["recessive_mode"], F.col("chrom_no"))
+    members = members_of(found)
+    rules = trio_rules(members, query["recessive_mode"])
+    place = F.when(F.col("chrom_no") < 22, "A").when(F.col("chrom_no") == 22, "X").otherwise("-")
+    fits = ["A" + c for c in sorted(rules["auto"])] + ["X" + c for c in sorted(rules["x"])]
+    return F.coalesce(F.concat(place, kind_codes([genotype_of(found[m]) for m in members])).isin(fits), F.lit(False))
 
 
 def filter_gene_recessive(df: DataFrame, query: dict, gene: Column | None = None) -> DataFrame:
@@ -170,19 +201,17 @@ def filter_gene_recessive(df: DataFrame, query: dict, gene: Column | None = None
     if query.get("recessive_mode", "disabled") == "disabled":
         return df
     gene = F.coalesce(F.try_element_at("ann", F.lit(1))["gene_id"], F.lit("")) if gene is None else gene
+    found = roles(query)
+    members = members_of(found)
+    rules = trio_rules(members, query["recessive_mode"])
     df = df.withColumn("_gene", gene)
-    found, mode = roles(query), query["recessive_mode"]
-    gt = {role: genotype_of(sample) for role, sample in found.items()}
-    parents = [gt[r] for r in ("father", "mother") if r in gt]
-    no_hom = every([~is_kind(p, HOM, False) for p in parents])
-    autosomal = no_hom & is_kind(gt["index"], HOM, False) & every([is_kind(p, HET, False) for p in parents])
-    on_x = is_kind(gt["index"], HOM, False) & is_kind(gt.get("father"), REF, True) & is_kind(gt.get("mother"), HET, True)
-    hom = F.when(F.col("chrom_no") == 22, on_x).otherwise(autosomal) if mode != "compound-heterozygous" else F.lit(False)
-    one_each = {0: lambda: F.lit(True), 1: lambda: is_kind(parents[0], HET + REF, False), 2: lambda: (is_kind(parents[0], HET, False) & is_kind(parents[1], REF, False)) | (is_kind(parents[0], REF, False) & is_kind(parents[1], HET, False))}[len(parents)]()
-    het = no_hom & is_kind(gt["index"], HET, False) & one_each if mode != "homozygous" else F.lit(False)
-    seen = [F.bool_or(het & is_kind(p, kind, False)) for p in parents for kind in (HET, REF)]
-    both = reduce(Column.__and__, seen, F.count_if(het) >= 2)
-    genes = df.groupBy("case_id", "_gene").agg((F.bool_or(hom) | both).alias("_pass")).where("_pass").select("case_id", "_gene")
+    # nothing of the variants but case, gene and code goes into the shuffle
+    coded = df.select("case_id", "_gene", (F.col("chrom_no") == 22).alias("on_x"), kind_codes([genotype_of(found[m]) for m in members]).alias("code"))
+    among = lambda codes: F.col("code").isin(sorted(codes))
+    hom = F.when(F.col("on_x"), among(rules["gene_x"])).otherwise(among(rules["gene_auto"]))
+    seen = [F.bool_or(among({c for c in rules["gene_het"] if c[k] == letter})) for k in range(1, len(members)) for letter in "hr"]
+    both = reduce(Column.__and__, seen, F.count_if(among(rules["gene_het"])) >= 2)
+    genes = coded.groupBy("case_id", "_gene").agg((F.bool_or(hom) | both).alias("_pass")).where("_pass").select("case_id", "_gene")
     return df.join(genes, ["case_id", "_gene"], "left_semi").drop("_gene")
 
 
@@ -210,6 +239,49 @@ def filter_seqvars(df: DataFrame, query: dict, clinvar: DataFrame | None = None)
     return passed if clinvar is None else filter_clinvar(passed, clinvar, query.get("clinvar") or {})
 
 
+def order_results(df: DataFrame, most: int | None = None, by_number: bool = False) -> DataFrame:
+    """Results by contig (as text, or by its number) and position, then by the alleles and the case, so that ties have one order; at most
+    `most` of them if given (then only that many come together)."""
+    rows = df.orderBy("chrom_no" if by_number else "chrom", "pos", "ref", "alt", "case_id")
+    return rows if most is None else rows.limit(most)
+
+
+def filter_by_queries(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every variant once per query (query_id) of its case that it passes: one job for all cases and queries, settings as columns of
+    load_queries(). Covers frequencies, consequences, genes, regions and non-recessive genotypes; a setting that is null passes.
+
+    queries is joined by case_id; it is a few rows a case, so Spark broadcasts it while that is small and shuffles beyond.
+    """
+    q = queries.select("case_id", F.struct(*(c for c in queries.columns if c != "case_id")).alias("q"))
+    rows = df.join(q, "case_id")
+    setting = lambda *path: reduce(lambda c, name: c[name], path, F.col("q"))
+
+    def limits(name: str, counts: Column, nuclear: bool) -> Column:
+        n = lambda k: F.coalesce(counts[k], F.lit(0))
+        own = [("hom", n("hom")), ("het", n("het"))] + ([("hemi", n("hemi"))] if nuclear else [])
+        if name != "inhouse":
+            own.append(("af", allele_frequency(n("an"), n("hom"), n("het"), n("hemi") if nuclear else None)))
+        fields = queries.schema[name].dataType.fieldNames()
+        tests = [F.coalesce(value <= setting(name, f"max_{k}"), F.lit(True)) for k, value in own if f"max_{k}" in fields]
+        return ~F.coalesce(setting(name, "enabled"), F.lit(False)) | reduce(Column.__and__, tests)
+
+    nuclear = [limits("gnomad_exomes", F.col("gnomad_exomes"), True), limits("gnomad_genomes", F.col("gnomad_genomes"), True), limits("inhouse", F.col("inhouse"), True)]
+    mito = [limits("helixmtdb", F.col("helixmtdb"), False), limits("gnomad_mtdna", F.col("gnomad_mtdna"), False), limits("inhouse", F.col("inhouse"), False)]
+    frequency = F.when(F.col("chrom_no") == 24, every(mito)).otherwise(every(nuclear))
+    terms = F.coalesce(setting("consequences"), F.array().cast("array<string>"))
+    consequence = (F.size(terms) == 0) | (F.col("chrom_no") == 24) | F.exists("ann", lambda a: F.arrays_overlap(a["consequences"], setting("consequences")))
+    genes = setting("gene_allowlist").isNull() | F.exists("ann", lambda a: F.array_contains(setting("gene_allowlist"), a["gene_id"]))
+    stop = F.col("pos") + F.length("ref") - 1
+    near = lambda r: (r["chrom_no"] == F.col("chrom_no")) & (r["start"].isNull() | ((r["start"] <= stop) & (r["stop"] >= F.col("pos"))))
+    regions = (F.size(F.coalesce(setting("region_allowlist"), F.array())) <= 0) | F.exists(setting("region_allowlist"), near)
+    fits = lambda s, gt: reduce(lambda c, kv: c.when(s["genotype"] == kv[0], has(gt, kv[1])), list(CHOICES.items())[1:], F.when(s["genotype"] == "ref", has(gt, REF))).otherwise(F.lit(True))
+    of_sample = lambda s: F.get(F.filter("calls", lambda c: c["sample"] == s["sample"]), F.lit(0))["gt"]
+    ok = lambda s: F.coalesce(fits(s, of_sample(s)) | (F.coalesce(s["include_no_call"], F.lit(False)) & of_sample(s).contains(".")), F.lit(False))
+    genotype = setting("sample_genotypes").isNull() | F.forall(setting("sample_genotypes"), ok)
+    passed = rows.where(every([frequency, consequence, genes, regions, genotype]))
+    return passed.withColumn("query_id", F.col("q.query_id")).drop("q")
+
+
 def freq_and_distance(df: DataFrame) -> DataFrame:
     """df with freq (the greater of the exomes' and genomes' frequencies) and exon_dist (first annotation); 0 and 0 on MT."""
     af = lambda c: allele_frequency(F.coalesce(c["an"], F.lit(0)), F.coalesce(c["hom"], F.lit(0)), F.coalesce(c["het"], F.lit(0)), F.coalesce(c["hemi"], F.lit(0)))

@@ -37,10 +37,14 @@ FROM part""",
        CASE p_size % 2 WHEN 0 THEN '+' ELSE '-' END AS strand, k AS exon_no,
        6000 + (p_partkey * 15485863) % 190000 + k * 1000 AS exon_start, 6000 + (p_partkey * 15485863) % 190000 + k * 1000 + 200 + p_size AS exon_end
 FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)""",
+    "fx_wide": """SELECT o_orderkey AS sv_id, o_custkey % 25 AS chrom_no, 1000 + (o_orderkey * 7919 + o_custkey * 104729) % 90000000 AS pos,
+       1000 + (o_orderkey * 7919 + o_custkey * 104729) % 90000000 + CASE o_orderkey % 50 WHEN 0 THEN 3000000 WHEN 1 THEN 400000 WHEN 2 THEN 40000 ELSE 200 END + cast(floor(o_totalprice) as bigint) % 300 AS sv_end,
+       CASE o_orderkey % 4 WHEN 0 THEN 'CNV' WHEN 1 THEN 'DEL' WHEN 2 THEN 'DUP' ELSE 'INV' END AS sv_type, o_custkey % 9 AS cnt
+FROM orders""",
     "fx_ped": """SELECT DISTINCT l_orderkey % 20 AS case_id, CASE (l_orderkey % 20) % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' ELSE 'Unknown' END AS sex_index
 FROM lineitem""",
 }
-BASE = {"fx_calls": "lineitem", "fx_sv": "orders", "fx_bg": "lineitem", "fx_region": "part", "fx_exon": "part", "fx_ped": "lineitem"}
+BASE = {"fx_calls": "lineitem", "fx_sv": "orders", "fx_wide": "orders", "fx_bg": "lineitem", "fx_region": "part", "fx_exon": "part", "fx_ped": "lineitem"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

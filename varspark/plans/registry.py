@@ -174,10 +174,10 @@ def inhouse_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(class_sql() + " SELECT chrom_no, pos, " + ", ".join(f"cast({c} AS bigint) AS {c}" for c in SUMS) + " FROM tallied", "fx_calls", "fx_ped")
 def inhouse_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts of even and of odd cases, merged."""
+    """The calls of even cases, then of odd cases and of case 4 once more: counted as if each had come once."""
     calls, ped = long_calls(spark, sf_dir), pedigree(spark, sf_dir)
-    old, new = (counts.count_carriers(calls.where(F.col("case_id") % 2 == k), ped) for k in (0, 1))
-    return counts.update_counts(old, new).select(F.col("chrom_no").cast("long").alias("chrom_no"), "pos", *(F.col(c).cast("long").alias(c) for c in SUMS))
+    old, new = (counts.classified(calls.where(test), ped, "grch37") for test in ("case_id % 2 = 0", "case_id % 2 = 1 OR case_id = 4"))
+    return counts.count_classes(counts.update_classified(old, new)).select(F.col("chrom_no").cast("long").alias("chrom_no"), "pos", *(F.col(c).cast("long").alias(c) for c in SUMS))
 
 
 def sv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,18 +199,21 @@ CRITERIA = [
 ]
 
 
-@query(""", v AS (SELECT *, sv_id % 99 AS gq, sv_id % 30 AS pc, sv_id % 12 AS pv, CASE WHEN sv_id % 5 <> 0 THEN sv_id % 9 END AS sv FROM fx_sv),
-m AS (SELECT sv_id, sv_type IN ('DEL', 'DUP', 'INS') AND (sv_type = 'INS' OR sv_end - pos + 1 >= 200) AND gt = '0/1' AND gq >= 10 AND coalesce(sv >= 3, true)
-    AND (CASE WHEN pc = 0 THEN false ELSE least(pv / cast(pc AS double), 1 - pv / cast(pc AS double)) <= 0.4 END) AS het,
-  gt = '1/1' AND pc >= 5 AND coalesce(pv + sv >= 6, false) AS hom FROM v)
-SELECT sv_id, CASE WHEN hom THEN 'hom' ELSE 'het' END AS effective FROM m WHERE het OR hom""", "fx_sv")
+CALL_SQL = "SELECT *, sv_id % 99 AS gq, sv_id % 30 AS pc, sv_id % 12 AS pv, sv_id % 20 AS sc, CASE WHEN sv_id % 5 <> 0 THEN sv_id % 9 END AS sv FROM fx_sv"
+HET_SQL = """sv_type IN ('DEL', 'DUP', 'INS') AND (sv_type = 'INS' OR sv_end - pos + 1 >= 200) AND gt = '0/1' AND gq >= 10 AND coalesce(sv >= 3, true)
+    AND (CASE WHEN pc = 0 THEN false ELSE least(pv / cast(pc AS double), 1 - pv / cast(pc AS double)) <= 0.4 END)"""
+HOM_SQL = "gt = '1/1' AND pc >= 5 AND coalesce(pv + sv >= 6, false)"
+
+
+@query(f""", v AS ({CALL_SQL}) SELECT sv_id, 'het' AS effective FROM v WHERE {HET_SQL} UNION ALL SELECT sv_id, 'hom' FROM v WHERE {HOM_SQL}""", "fx_sv")
 def sv_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = strucvars.match_criteria(sv_table(spark, sf_dir), {"genotype": {"index": "any"}, "genotype_criteria": [{k: v for k, v in c.items() if k != "gt_one_of"} for c in CRITERIA]})
-    # gt_one_of is void for the choice `any`, so it is asked of the call here
-    own = F.col("calls")[0]["gt"]
-    kept = F.filter("matched", lambda m: m["sample"] == "index")[0]["genotypes"]
-    names = F.filter(kept, lambda g: ((g == "het") & (own == "0/1")) | ((g == "hom") & (own == "1/1")))
-    return matched.select("sv_id", names.alias("names")).where(F.size("names") > 0).select("sv_id", F.when(F.array_contains("names", "hom"), "hom").otherwise("het").alias("effective"))
+    """The criteria of either genotype choice, with the genotypes that they ask for."""
+    out = None
+    for choice in ("het", "hom"):
+        rows = strucvars.match_criteria(sv_table(spark, sf_dir), {"genotype": {"index": choice}, "genotype_criteria": CRITERIA}).where("pass_all")
+        rows = rows.select("sv_id", F.col("matched")[0]["effective"].alias("effective"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 SOURCES = ["dgv", "gnomad", "inhouse"]
@@ -287,9 +290,14 @@ def tx_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.tx_regions(view(spark, sf_dir, "fx_exon"))
 
 
-@query(REGIONS + f""", {PROBES}, found AS (SELECT DISTINCT sv_id, sv_type, gene_id, concat(kind, '_variant') AS effect FROM probes p JOIN regions r ON p.chrom_no = r.chrom_no AND pb < e AND pe > b),
-more AS (SELECT sv_id, gene_id, effect FROM found UNION SELECT sv_id, gene_id, 'transcript_variant' FROM found WHERE sv_type NOT IN ('INS', 'BND') GROUP BY sv_id, gene_id HAVING bool_or(effect = 'upstream_variant') AND bool_or(effect = 'downstream_variant'))
-SELECT sv_id, gene_id, string_agg(effect, ',' ORDER BY effect) AS effects FROM more GROUP BY sv_id, gene_id""", "fx_exon", "fx_sv")
+EFFECTS = REGIONS + """, ends AS (SELECT sv_id, sv_type IN ('INS', 'BND') AS point, chrom_no, pos - 1 AS pb, CASE WHEN sv_type IN ('INS', 'BND') THEN pos ELSE sv_end END AS pe FROM fx_sv
+  UNION ALL SELECT sv_id, true, chrom_no, sv_end - 1, sv_end FROM fx_sv WHERE sv_type = 'BND'),
+found AS (SELECT DISTINCT sv_id, point, gene_id, concat(kind, '_variant') AS effect FROM ends p JOIN regions r ON p.chrom_no = r.chrom_no AND pb < e AND pe > b),
+more AS (SELECT sv_id, gene_id, effect FROM found UNION SELECT sv_id, gene_id, 'transcript_variant' FROM found WHERE NOT point GROUP BY sv_id, gene_id HAVING bool_or(effect = 'upstream_variant') AND bool_or(effect = 'downstream_variant')
+  UNION SELECT sv_id, NULL, 'intergenic_variant' FROM fx_sv WHERE sv_id NOT IN (SELECT sv_id FROM found))"""
+
+
+@query(EFFECTS + " SELECT sv_id, gene_id, string_agg(effect, ',' ORDER BY effect) AS effects FROM more GROUP BY sv_id, gene_id", "fx_exon", "fx_sv")
 def tx_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = annotate.tx_effects(view(spark, sf_dir, "fx_sv"), annotate.tx_regions(view(spark, sf_dir, "fx_exon")))
     return rows.select("sv_id", "gene_id", F.array_join("effects", ",").alias("effects"))
