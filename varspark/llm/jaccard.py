@@ -13,7 +13,9 @@ Any order gives the same links; this one keeps what many texts share at the end
    if its shared prefix n-grams, and all that can follow, still reach the limit.
    Before a pair is verified, the sketches of its two sets are compared: SKETCH bits, each the parity of the n-grams that fall on it.
    Bits that differ are at most the n-grams in one set only, so a pair goes only if it can't reach the limit. Pairs at random places of
-   a dense group that fall short of the limit end here, in the join's own condition, not as rows.
+   a dense group that fall short of the limit end here, in the join's own condition, not as rows. Sets of over SKETCH / 2 n-grams also have
+   a wide sketch of twice their size in bits, which doesn't saturate; it ends what is left of the pairs that can't be linked before their
+   texts are fetched.
 4. Overlap of a pair: the global order is cut into FRAGMENTS by hash; every fragment of one set meets the same fragment of the other,
    the partial overlaps are counted separately and summed per pair; the sum decides exactly.
 5. Components of the links, by minima.
@@ -29,67 +31,112 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspark.llm.common import as_bytes, connected_components, discard, in_blocks, mix64, release, saved, words_of
+from varspark.llm.common import as_bytes, connected_components, discard, in_blocks, mix64, release, saved
 
 BUCKETS = 18
 FRAGMENTS = 8
 SKETCH = 512
-MEMO = 50_000
-
-
-class Shingles:
-    """Sorted distinct hashes of the runs of `gram` words of a text. Hashes of words are kept for the next text."""
-
-    def __init__(self, gram: int):
-        self.memo: dict[bytes, int] = {}
-        self.turns = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(gram)], dtype=np.uint64)
-
-    def of(self, text: bytes) -> np.ndarray:
-        words, memo, gram = words_of(text), self.memo, len(self.turns)
-        if not words:
-            return np.empty(0, np.int64)
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        if len(memo) > MEMO:
-            memo.clear()
-        n = max(len(h) - gram + 1, 1)
-        out = np.full(n, len(h) if len(h) < gram else gram, np.uint64)
-        for k in range(min(gram, len(h))):
-            out += h[k : k + n] * self.turns[k]
-        return np.unique(mix64(out).view(np.int64))
+PIECE = 1 << 20
+TURN = 0x9E3779B97F4A7C15
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, begin) of the words in `data`, which ends with a space; A-Z are lower-cased. From running sums of byte * turn^place modulo
+    2^64, a piece of about PIECE bytes at a time, cut at spaces, so that a long text needs no more memory than its words."""
+    found, begins, at = [], [], 0
+    gaps = None if len(data) <= PIECE else np.flatnonzero(SPACE[data])
+    while at < len(data):
+        end = len(data) if gaps is None or len(data) - at <= PIECE else int(gaps[min(np.searchsorted(gaps, at + PIECE), len(gaps) - 1)]) + 1
+        piece = LOWER[data[at:end]]
+        gap = SPACE[piece]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        powers, back = turns(len(piece))
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers[: len(piece)], out=sums[1:])
+        found.append(mix64((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)))
+        begins.append(start + at)
+        at = end
+    none = np.empty(0, np.int64)
+    return np.concatenate([none.view(np.uint64), *found]), np.concatenate([none, *begins])
+
+
+HELD: list[np.ndarray] = []
+
+
+def turns(n: int) -> list[np.ndarray]:
+    """Powers of TURN and of its inverse, n at least; kept for the next piece up to PIECE."""
+    if HELD and len(HELD[0]) >= n:
+        return HELD
+    out = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, PIECE), t, np.uint64)])) for t in (TURN, pow(TURN, -1, 1 << 64))]
+    if n <= PIECE:
+        HELD[:] = out
+    return out
+
+
+def sets_in(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a block of texts: hashes in order of text and value, and how many each text has. A set holds the distinct hashes of the
+    text's runs of `gram` words, or of all its words if they are fewer."""
+    data = np.frombuffer(b"\n".join([*texts, b""]) or b"\n", np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    h, begin = word_hashes(data)
+    first = np.searchsorted(begin, np.cumsum(sizes) - sizes)
+    words = np.diff(np.append(first, len(h)))
+    factors = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(gram)], dtype=np.uint64)
+    whole = max(len(h) - gram + 1, 0)
+    run = np.full(whole, gram, np.uint64)
+    for k in range(gram):
+        run += h[k : k + whole] * factors[k]
+    of = np.repeat(np.arange(len(texts)), words)
+    keep = np.flatnonzero(of[:whole] == of[gram - 1 : gram - 1 + whole])
+    hashes, text = [run[keep]], [of[keep]]
+    for n in range(1, gram):
+        own = np.flatnonzero(words == n)
+        run = np.full(len(own), n, np.uint64)
+        for k in range(n):
+            run += h[first[own] + k] * factors[k]
+        hashes.append(run)
+        text.append(own)
+    value, text = mix64(np.concatenate(hashes)).view(np.int64), np.concatenate(text)
+    order = np.lexsort((value, text))
+    value, text = value[order], text[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+    return value[new], np.bincount(text[new], minlength=len(texts))
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (mix64(hashes.view(np.uint64)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
 
-def ordered(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hashes in the global order."""
-    return hashes[np.lexsort((hashes, table[bucket_of(hashes)]))]
+def parities(hashes: np.ndarray, of: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Sketches of several sets, one behind the other in 64-bit words: bits[k] parities of set k, a power of two."""
+    begin = np.cumsum(bits) - bits
+    odd = np.bincount(begin[of] + (hashes & (bits[of] - 1)), minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH bits in 64-bit words: the parity of the n-grams that fall on each bit."""
-    odd = np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Twice a set's size, as a power of two, SKETCH at least."""
+    return np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
 
 
-def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
-    """How many of a set's first n-grams meet any partner's, and how many those of a partner that is as large or larger."""
-    probe = n - -(-percent * n // 100) + 1
-    index = n - -(-2 * percent * n // (100 + percent)) + 1
-    return probe, index
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
 def bucket_counts(docs: DataFrame, text: str, gram: int) -> np.ndarray:
     """How many n-grams of all texts (distinct within a text) fall into each hash bucket."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingles(gram), np.zeros(1 << BUCKETS, np.int64)
-        for batch in in_blocks(batches, "text"):
-            hashes = [shingles.of(t) for t in as_bytes(batch.column(0))]
-            counts += np.bincount(bucket_of(np.concatenate(hashes)), minlength=len(counts)) if hashes else 0
+        counts = np.zeros(1 << BUCKETS, np.int64)
+        for batch in in_blocks(batches, "text", PIECE):
+            counts += np.bincount(bucket_of(sets_in(as_bytes(batch.column(0)), gram)[0]), minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
 
@@ -100,48 +147,44 @@ def bucket_counts(docs: DataFrame, text: str, gram: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, gram: int, percent: int, table) -> DataFrame:
-    """(id, n, signature, sketch, prefix): prefix is the start of the set in the global order."""
+    """(id, n, signature, sketch, wide, prefix): prefix is the start of the set in the global order, as far as it can meet a partner's; sketch
+    has SKETCH bits, wide as many as sketch_bits() says (null where that is no more)."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, ranks = Shingles(gram), table.value
-        for batch in in_blocks(batches, "text"):
-            sizes, signs, sketches, prefixes = [], [], [], []
-            for t in as_bytes(batch.column(1)):
-                h = shingles.of(t)
-                sizes.append(len(h))
-                signs.append(xxhash.xxh3_128_digest(h.tobytes()))
-                sketches.append(sketch_of(h))
-                prefixes.append(ordered(h, ranks)[: prefix_sizes(len(h), percent)[0]] if len(h) else h)
-            cut = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(prefixes or [np.empty(0, np.int64)])))
-            words = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketches or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), words, lists], ["id", "n", "signature", "sketch", "prefix"])
+        ranks = table.value
+        for batch in in_blocks(batches, "text", PIECE):
+            h, n = sets_in(as_bytes(batch.column(1)), gram)
+            of, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            raw = memoryview(h).cast("B")
+            signs = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
+            sketches = parities(h, of, np.full(len(n), SKETCH))
+            bits = sketch_bits(n)
+            large = bits > SKETCH
+            some = large[of]
+            number = np.cumsum(large) - 1
+            wide = parities(h[some], number[of[some]], bits[large])
+            wide = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(large, bits // 64, 0))]).astype(np.int32), mask=np.append(~large, False)), pa.array(wide))
+            order = np.lexsort((h, ranks[bucket_of(h)], of))
+            probe = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+            kept = order[np.arange(len(h)) - begin[of] < probe[of]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(signs, pa.binary()), lists(sketches, np.full(len(n), SKETCH // 64)), wide, lists(h[kept], probe)], ["id", "n", "signature", "sketch", "wide", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(block, f"id {kind}, n long, signature binary, sketch array<long>, prefix array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(block, f"id {kind}, n long, signature binary, sketch array<long>, wide array<long>, prefix array<long>")
 
 
 def fragments_of(texts: DataFrame, gram: int) -> DataFrame:
     """(x, y, text) to (x, y, fragment, part): the set of the text cut into FRAGMENTS ranges of hashes, empty ones left out."""
+    bounds = np.linspace(-(1 << 63), (1 << 63) - 1, FRAGMENTS + 1)[1:-1].astype(np.int64)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(gram)
-        bounds = np.linspace(-(1 << 63), (1 << 63) - 1, FRAGMENTS + 1)[1:-1].astype(np.int64)
-        for batch in in_blocks(batches, "text"):
-            rows, numbers, parts, last = [], [], [], (None, None)
-            for row, t in enumerate(as_bytes(batch.column(2))):
-                if t != last[0]:
-                    h = shingles.of(t)
-                    last = t, np.split(h, np.searchsorted(h, bounds))
-                for k, part in enumerate(last[1]):
-                    if len(part):
-                        rows.append(row)
-                        numbers.append(k)
-                        parts.append(part)
-            own = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
-            cut = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(parts or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(numbers, pa.int32()), values], ["x", "y", "fragment", "part"])
+        for batch in in_blocks(batches, "text", PIECE):
+            h, n = sets_in(as_bytes(batch.column(2)), gram)
+            # hashes stand in order of text and value, so a fragment of a text is a run of them
+            cell = np.repeat(np.arange(len(n)), n) * FRAGMENTS + np.searchsorted(bounds, h, side="right")
+            cells, sizes = np.unique(cell, return_counts=True)
+            own = batch.select([0, 1]).take(pa.array(cells // FRAGMENTS))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array((cells % FRAGMENTS).astype(np.int32)), lists(h, sizes)], ["x", "y", "fragment", "part"])
 
     kind = texts.schema["x"].dataType.simpleString()
     return texts.mapInArrow(block, f"x {kind}, y {kind}, fragment int, part array<long>")
@@ -180,6 +223,22 @@ def alike(percent: int) -> str:
     return f"nx + ny - ({differ}) >= 2 * {needed(percent)}"
 
 
+def still_alike(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y, nx, ny) whose wide sketches leave a link possible; pairs of small sets have none, and stay. wide: (own, bits).
+
+    Of sketches of unlike sizes the larger is folded: the parities of both its halves together are those of the smaller size. Sizes of sets
+    that can be linked differ by less than a factor of two, so once is enough.
+    """
+    of_x, of_y = (wide.select(F.col("own").alias(v), F.col("bits").alias(f"w{v}")) for v in "xy")
+    met = pairs.join(of_x, "x", "left").join(of_y, "y", "left")
+    half = lambda w: F.expr(f"zip_with(slice({w}, 1, size({w}) div 2), slice({w}, (size({w}) div 2) + 1, size({w}) div 2), (a, b) -> a ^ b)")
+    a = F.when(F.size("wx") > F.size("wy"), half("wx")).otherwise(F.col("wx"))
+    b = F.when(F.size("wy") > F.size("wx"), half("wy")).otherwise(F.col("wy"))
+    differ = F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    fits = F.expr("nx + ny") - differ >= F.expr(f"2 * {needed(percent)}")
+    return met.where(F.coalesce(fits, F.lit(True))).select("x", "y", "nx", "ny")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id): components of texts whose sets have 100 * overlap >= percent * union.
 
@@ -197,7 +256,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     reps = saved(sets.where("n > 0 AND id IS NOT NULL").groupBy("signature", "n").agg(F.min("id").alias("rep")))
     firsts = sets.join(reps, (sets.id == reps.rep) & (sets.signature == reps.signature), "left_semi").dropDuplicates(["id", "signature"])
 
-    sketches = saved(firsts.select("id", "n", "sketch"))
+    sketches = saved(firsts.select("id", "n", "sketch", "wide"))
+    # rows of one key with unlike texts: no one sketch speaks for them, so they have none
+    wide = sketches.where("wide IS NOT NULL").groupBy("id").agg(F.count("*").alias("k"), F.first("wide").alias("bits")).where("k = 1").select(F.col("id").alias("own"), "bits")
     of_x, of_y = (sketches.select(F.col("id").alias(v), F.col("n").alias(f"n{v}"), F.col("sketch").alias(f"s{v}")) for v in "xy")
 
     # 2. prefix n-grams that several representatives hold
@@ -232,12 +293,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             near = f"(nx < ny OR nx = ny AND x < y) AND 100 * nx >= {percent} * ny"
             met = one.join(two, F.expr(f"h = h2 AND c != cy AND {near} AND {alike(percent)}")).withColumn("first", F.expr(possible(percent)))
             pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("first").alias("first")).where(f"first AND {enough(percent)}").select("x", "y", "nx", "ny")
-        found = linked(saved(pairs), texts, gram, percent)
+        pairs = saved(still_alike(saved(pairs), wide, percent))
+        found = linked(pairs, texts, gram, percent)
         edges = saved(found if edges is None else edges.union(found))
         discard(held)
+        discard(pairs)
         release(spark)
         component = connected_components(edges)
 
+    for spent in (index, texts, sketches, edges):
+        discard(spent)
     groups = component.select(F.col("id").alias("rep"), "component_id")
     of_class = reps.join(groups, "rep", "left").select("signature", "n", F.coalesce("component_id", "rep").alias("component_id"))
     return sets.join(of_class, ["signature", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
