@@ -17,7 +17,7 @@ Any order gives the same links; this one keeps what many texts share at the end
    a wide sketch of twice their size in bits, which doesn't saturate; it ends what is left of the pairs that can't be linked before their
    texts are fetched.
 4. Overlap of a pair: the global order is cut into FRAGMENTS by hash; every fragment of one set meets the same fragment of the other,
-   the partial overlaps are counted separately and summed per pair; the sum decides exactly.
+   the partial overlaps are counted separately and summed per pair; the sum decides exactly. The pair is one row while that happens.
 5. Components of the links, by minima.
 """
 
@@ -126,8 +126,8 @@ def sketch_bits(n: np.ndarray) -> np.ndarray:
     return np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
 
 
-def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+def lists(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 def bucket_counts(docs: DataFrame, text: str, gram: int) -> np.ndarray:
@@ -174,7 +174,7 @@ def sets_of(docs: DataFrame, key: str, text: str, gram: int, percent: int, table
 
 
 def fragments_of(texts: DataFrame, gram: int) -> DataFrame:
-    """(x, y, text) to (x, y, fragment, part): the set of the text cut into FRAGMENTS ranges of hashes, empty ones left out."""
+    """(x, y, text) to (x, y, parts): the set of the text cut into FRAGMENTS ranges of hashes."""
     bounds = np.linspace(-(1 << 63), (1 << 63) - 1, FRAGMENTS + 1)[1:-1].astype(np.int64)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,23 +182,27 @@ def fragments_of(texts: DataFrame, gram: int) -> DataFrame:
             h, n = sets_in(as_bytes(batch.column(2)), gram)
             # hashes stand in order of text and value, so a fragment of a text is a run of them
             cell = np.repeat(np.arange(len(n)), n) * FRAGMENTS + np.searchsorted(bounds, h, side="right")
-            cells, sizes = np.unique(cell, return_counts=True)
-            own = batch.select([0, 1]).take(pa.array(cells // FRAGMENTS))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array((cells % FRAGMENTS).astype(np.int32)), lists(h, sizes)], ["x", "y", "fragment", "part"])
+            parts = lists(lists(h, np.bincount(cell, minlength=len(n) * FRAGMENTS)), np.full(len(n), FRAGMENTS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["x", "y", "parts"])
 
     kind = texts.schema["x"].dataType.simpleString()
-    return texts.mapInArrow(block, f"x {kind}, y {kind}, fragment int, part array<long>")
+    return texts.mapInArrow(block, f"x {kind}, y {kind}, parts array<array<long>>")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (x, y, nx, ny) those that are links: partial overlaps by fragment, summed per pair. texts: (own, text)."""
-    one = pairs.join(texts, pairs.x == texts.own).select("x", "y", "text")
+    """Of the candidate pairs (x, y) those that are links: overlaps counted fragment by fragment, summed per pair. texts: (own, text).
+
+    A pair is one row that holds both sets by fragments; a fragment of one set meets the same fragment of the other only. A y with many
+    partners is a hot key of an ordinary join, which Spark splits."""
+    one = fragments_of(pairs.join(texts, pairs.x == texts.own).select("x", "y", "text"), gram)
     two = pairs.select("y").distinct().join(texts, F.col("y") == texts.own).select(F.col("y").alias("x"), "y", "text")
-    left = fragments_of(one, gram).withColumnRenamed("part", "px")
-    right = fragments_of(two, gram).select("y", "fragment", F.col("part").alias("py"))
-    partial = left.join(right, ["y", "fragment"]).select("x", "y", F.size(F.array_intersect("px", "py")).alias("c"))
-    both = partial.groupBy("x", "y").agg(F.sum("c").alias("c")).join(pairs, ["x", "y"])
-    return both.where(100 * F.col("c") >= percent * (F.col("nx") + F.col("ny") - F.col("c"))).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    two = fragments_of(two, gram).select("y", F.col("parts").alias("others"))
+    mine, theirs = ([F.col(name)[k] for k in range(FRAGMENTS)] for name in ("parts", "others"))
+    total = lambda counts: sum(counts, F.lit(0))
+    common = total(F.size(F.array_intersect(a, b)) for a, b in zip(mine, theirs, strict=True))
+    sizes = total(F.size(c) for c in (*mine, *theirs))
+    counted = one.join(two, "y").select("x", "y", common.alias("common"), sizes.alias("sizes"))
+    return counted.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
 def needed(percent: int) -> str:
