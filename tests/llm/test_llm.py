@@ -191,13 +191,41 @@ def cut(texts):
     return out
 
 
-@pytest.mark.parametrize("few", [0, 64])
-def test_repeats(spark, odd, texts, few, monkeypatch):
-    monkeypatch.setattr(suffixes, "FEW", few)
-    got = suffixes.remove_repeats(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
+@pytest.mark.parametrize(("sizes", "batches", "piece"), [((32, 8, 1), None, 4 << 20), ((1,), 7, 4 << 20), ((16, 1), 3, 900)])
+def test_repeats(spark, odd, texts, sizes, batches, piece, monkeypatch):
+    monkeypatch.setattr(suffixes, "SIZES", sizes)
+    monkeypatch.setattr(suffixes, "SLICE", piece)
+    got = suffixes.remove_repeats(odd, batches=batches).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == cut(texts)
 
 
+def test_repeats_of_one_key(spark):
+    """Rows that come twice are one text; unlike texts of a key come in the order of their bytes."""
+    draw = random.Random(4)
+    own = [prose(draw, 40) for _ in range(4)]
+    texts = {1: own[0], 2: own[1] + " " + own[0][20:90] + " " + own[2], 3: own[3]}
+    rows = [(1, texts[1]), (2, texts[2]), (2, texts[2]), (3, own[3]), (3, "A" + own[3]), (3, "A" + own[3])]
+    got = sorted((r.doc_id, bytes(r.kept)) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    in_order = [texts[1], texts[2], "A" + own[3], own[3]]  # by key, then bytes
+    seen, kept = set(), []
+    for t in map(str.encode, in_order):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            gone[p : p + 100] |= t[p : p + 100] in seen
+            seen.add(t[p : p + 100])
+        kept.append(bytes(np.frombuffer(t, np.uint8)[~gone]))
+    assert got == sorted([(1, kept[0]), (2, kept[1]), (2, kept[1]), (3, kept[2]), (3, kept[2]), (3, kept[3])])
+
+
+def test_repeats_of_a_long_text(spark):
+    """Over a megabyte, with a passage at its end that stands at its beginning too."""
+    draw = random.Random(9)
+    text = prose(draw, 200_000)
+    df = spark.createDataFrame([(1, text + text[:500])], "doc_id long, text string")
+    row = suffixes.remove_repeats(df).first()
+    assert row.n_bytes == len(text) + 500 and row.n_removed >= 500 and bytes(row.kept).decode()[:1000] == text[:1000]
+
+
 def test_repeats_of_nothing(spark, odd):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
     df = spark.createDataFrame([(None, PASSAGE), (1, PASSAGE)], "doc_id long, text string")

@@ -10,12 +10,13 @@ are one class, of which only the first place is kept.
 * Batches come in the order of their keys. A batch's suffixes are sorted (h, c) and merge-scanned with the levels of the family, a
   sort-merge join; a suffix whose class stands in a level, or earlier in the batch, has all its windows marked. New classes become
   a level. Before the next batch, levels of equal size merge, so there are no more than the logarithm of the number of batches.
-* Classes that share h but differ in c agree in some windows only. The bytes around their first places are fetched from the texts. Where
-  no more than FEW classes share h, they meet and are compared byte by byte to either side; where more do, each window goes by the hash
-  of its LONG bytes, and those not at the least place are marked.
+* Classes that share h but differ in c agree in some windows only. The bytes around their first places are fetched from the texts, and their
+  windows are halved in, by SIZES: in cells of 32 windows, equal parts leave but the first, and parts whose core (the bytes that all windows of
+  the cell have in common) nobody shares end; what is left goes on in cells of 8, then window by window. Every step is a least place by hash.
 * Marks meet their text by key; the union of marked windows is cut out.
 
-No step needs all places of a hash in one task: least places are aggregates, combined before the shuffle, and joined back.
+No step needs all places of a hash in one task, and none pairs them: least places are aggregates, combined before the shuffle, and joined back.
+Batches are four for half a gigabyte and one more for each doubling of the bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varspark.llm.common import as_bytes, discard, in_blocks, mix64, release, saved
@@ -33,8 +34,9 @@ from varspark.llm.common import as_bytes, discard, in_blocks, mix64, release, sa
 LONG = 100
 GRAM = 24
 WINDOW = LONG - GRAM + 1
-BATCHES = 4
-FEW = 1024
+BATCHES, FIRST_BYTES = 4, 1 << 29
+SLICE = 4 << 20
+SIZES = (32, 8, 1)
 TURN_H, TURN_C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -90,9 +92,15 @@ def index_of(docs: DataFrame) -> DataFrame:
     """(id, text) to (h, c, id, at): at packs place, lo and hi."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches, "text"):
-            text, h, c, place, lo, hi = suffixes(as_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), batch.column(0).take(pa.array(text)), pa.array(place << 14 | lo << 7 | hi)], ["h", "c", "id", "at"])
+        for batch in in_blocks(batches, "text", SLICE):
+            texts, shift = as_bytes(batch.column(1)), 0
+            while texts:
+                # a longer text is alone in its block and goes slice by slice; a window's suffix depends on its own bytes only
+                text, h, c, place, lo, hi = suffixes([t[: SLICE + LONG - 1] for t in texts] if len(texts) == 1 else texts)
+                at = place + shift << 14 | lo << 7 | hi
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), batch.column(0).take(pa.array(text)), pa.array(at)], ["h", "c", "id", "at"])
+                texts = [texts[0][SLICE:]] if len(texts) == 1 and len(texts[0]) > SLICE + LONG - 1 else []
+                shift += SLICE
 
     return docs.mapInArrow(block, f"h long, c long, id {docs.schema['id'].dataType.simpleString()}, at long")
 
@@ -137,89 +145,66 @@ class Family:
     def compare(self, docs: DataFrame) -> DataFrame:
         """(id, at) of windows, of first places of classes that share h with another class, that also start earlier."""
         every = self.classes()
-        sizes = every.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-        wanted = every.join(sizes, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", (F.col("m") <= FEW).alias("few"))).alias("w"))
-        texts = docs.join(wanted, "id").select("id", "text", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.few").alias("few"))
+        sizes = every.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+        wanted = every.join(sizes, "h").groupBy("id").agg(F.collect_list("at").alias("at"))
+        texts = docs.join(wanted, "id").select("id", "text", "at")
         kind = docs.schema["id"].dataType.simpleString()
-        places = saved(texts.mapInArrow(contexts_block, f"h long, id {kind}, at long, context binary, windows array<long>"))
+        places = saved(texts.mapInArrow(contexts_block, f"id {kind}, at long, context binary"))
         release(docs.sparkSession)
-        few = places.where("context IS NOT NULL").repartition("h").sortWithinPartitions("h", "id", "at")
-        few = few.select("h", "id", "at", "context").mapInArrow(compare_block, f"id {kind}, at long")
-        many = places.where("windows IS NOT NULL").select("id", "at", F.posexplode("windows").alias("k", "w"))
-        # window k of a place begins at place - lo + k
-        many = many.select("w", "id", F.expr("((at >> 14) - ((at >> 7) & 127) + k)").alias("start"))
-        first = many.groupBy("w").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = many.join(first, "w").where("struct(id, start) != first").select("id", F.expr("start << 14").alias("at"))
-        out = saved(few.union(again))
+        # which windows of a place a row speaks of: those that begin `least` to `most` bytes before the place
+        rows, found = places.select("id", "at", F.expr("at & 127").alias("least"), F.expr("(at >> 7) & 127").alias("most"), "context"), None
+        for size in SIZES:
+            rows = saved(cells(rows, size))
+            key = ["part", "u"] if size > 1 else ["u"]
+            first = rows.groupBy(*key).agg(F.min(F.struct("id", "at", "part")).alias("first"), F.count("*").alias("n"), *([F.min("core").alias("core")] if size > 1 else []))
+            first = saved(first) if size > 1 else first
+            again = rows.join(first.where("n > 1").select(*key, "first"), key).where("struct(id, at, part) != first")
+            again = again.select("id", F.expr("(at >> 14 << 14) | (part & 16383)").alias("at"))
+            found = again if found is None else found.union(again)
+            if size > 1:
+                cell = F.expr("part >> 14")
+                shared = first.groupBy(cell.alias("cell"), "core").agg(F.count("*").alias("k")).where("k > 1").select("cell", "core")
+                left = first.withColumn("cell", cell).join(shared, ["cell", "core"])
+                rows = left.select("first.id", "first.at", F.expr("part & 127").alias("least"), F.expr("(part >> 7) & 127").alias("most")).join(places, ["id", "at"])
+            release(docs.sparkSession)
+        out = saved(found)
         discard(places)
         release(docs.sparkSession)
         return out
 
 
+def cells(rows: DataFrame, size: int) -> DataFrame:
+    """(id, at, least, most, context) to one row for each cell of `size` windows that it has a part in: (id, at, part, u, core).
+
+    part packs the cell and the most and least of it; u is the hash of all bytes that the windows of the part cover, core that of the bytes
+    which every window of the whole cell has, wherever the part ends. Rows with the same part and u have the same windows; a row whose core no
+    other has, has no window that another has. Of single windows there is no core.
+    """
+    numbers = F.sequence(F.expr(f"least div {size}"), F.expr(f"most div {size}"))
+    parts = rows.select("id", "at", "context", "least", "most", F.explode(numbers).alias("cell"))
+    parts = parts.select("id", "at", "context", "cell", F.expr(f"greatest(least, cell * {size})").alias("least"), F.expr(f"least(most, cell * {size} + {size - 1})").alias("most"))
+    # the context begins at place - lo
+    whole = F.expr(f"substring(context, cast(((at >> 7) & 127) - most + 1 AS int), cast(most - least + {LONG} AS int))")
+    core = F.expr(f"substring(context, cast(((at >> 7) & 127) - cell * {size} + 1 AS int), {LONG - size + 1})")
+    part = F.expr("cast((cell << 14) | (most << 7) | least AS int)")
+    return parts.select("id", "at", part.alias("part"), F.xxhash64(whole).alias("u"), *([F.xxhash64(core).alias("core")] if size > 1 else []))
+
+
 def contexts_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is needed to compare each wanted place: the bytes its windows cover, or, where many places share h, a hash of each window."""
+    """(id, text, at) to (id, at, context): the bytes that the windows of each wanted place cover."""
     for batch in in_blocks(batches, "text"):
-        data, begin = joined(as_bytes(batch.column(1)))
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
-        h, at, few = (batch.column(k).flatten() for k in (2, 3, 4))
+        at = batch.column(2).flatten()
         place, lo, hi = unpacked(at.to_numpy())
-        few = few.to_numpy(zero_copy_only=False)
-        spot = begin[row] + place
-        text = data.tobytes()
-        context = [text[s - a : s - b + LONG] if f else None for s, a, b, f in zip(spot, lo, hi, few, strict=True)]
-        n = np.where(few, 0, lo - hi + 1)
-        of = np.repeat(np.arange(len(n)), n)
-        start = spot[of] - lo[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        w = Rolling(data, TURN_C).of(start, start + LONG).view(np.int64)
-        windows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(w), mask=pa.array(few.astype(bool)))
-        yield pa.RecordBatch.from_arrays([h, batch.column(0).take(pa.array(row)), at, pa.array(context, pa.binary()), windows], ["h", "id", "at", "context", "windows"])
+        texts = as_bytes(batch.column(1))
+        context = [texts[r][p - a : p - b + LONG] for r, p, a, b in zip(row.tolist(), place.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), at, pa.array(context, pa.binary())], ["id", "at", "context"])
 
 
 def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 14, at >> 7 & 127, at & 127
 
 
-def compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h and place: which windows of a row stand in an earlier row of the same h. A group of h is small, and kept whole."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
-        if not rows:
-            continue
-        h = rows[0].column(0).to_numpy()
-        last = int(np.searchsorted(h, h[-1]))
-        held = rows[0].slice(last)
-        if last:
-            yield compared(rows[0].slice(0, last))
-    if held is not None:
-        yield compared(held)
-
-
-def compared(rows: pa.RecordBatch) -> pa.RecordBatch:
-    h, (place, lo, hi) = rows.column(0).to_numpy(), unpacked(rows.column(2).to_numpy())
-    sizes = pc.binary_length(rows.column(3)).to_numpy()
-    data = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8)
-    # bytes of all rows, their places in one column
-    grid = np.full((len(h), WINDOW - 1 + LONG), -1, np.int16)
-    of = np.repeat(np.arange(len(h)), sizes)
-    grid[of, np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (WINDOW - 1 - lo)[of]] = data
-    who, marks, shift = [], [], 1
-    while True:
-        own = np.flatnonzero(h[shift:] == h[:-shift]) + shift
-        if not len(own):
-            break
-        same = (grid[own] == grid[own - shift]) & (grid[own] >= 0)
-        left = np.argmin(np.hstack([same[:, WINDOW - 2 :: -1], np.zeros((len(own), 1), bool)]), axis=1)
-        right = np.argmin(np.hstack([same[:, WINDOW - 1 :], np.zeros((len(own), 1), bool)]), axis=1)
-        most, least = np.minimum(lo[own], left), np.maximum(hi[own], LONG - right)
-        some = most >= least
-        who.append(own[some])
-        marks.append(place[own[some]] << 14 | most[some] << 7 | least[some])
-        shift += 1
-    none = np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(np.concatenate([none, *who]))), pa.array(np.concatenate([none, *marks]))], ["id", "at"])
-
-
 def cut_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, at) to (id, n_bytes, kept, n_removed, n_spans)."""
     for batch in in_blocks(batches, "text"):
@@ -240,24 +225,38 @@ def cut_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["id", "n_bytes", "kept", "n_removed", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int | None = None) -> DataFrame:
     """(key, n_bytes, kept, n_removed, n_spans): kept is the text's bytes without what repeats earlier ones.
 
-    Null and empty texts, and those under LONG bytes, stay whole. Keys must be distinct, for they say what is earlier; rows with a null
-    key stay whole and mark nothing. Of repeated texts the one of least key stays. Other columns are left out.
+    Null and empty texts, and those under LONG bytes, stay whole; texts of any length are handled, in slices. Rows with a null key stay whole
+    and mark nothing. Of repeated texts the one of least key stays. Rows that have a key in common: equal texts count as one text, and each of
+    the rows gets its result; unlike texts of one key come in the order of their bytes. Other columns are left out.
     """
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    keyed = own.where("id IS NOT NULL")
-    cuts = keyed.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
+    keyed, repeated = own.where("id IS NOT NULL"), False
+    if keyed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # a place in the order for each distinct text of a key: the key, then the text itself as bytes
+        repeated, keyed = True, keyed.select(F.struct("id", F.coalesce("text", F.lit("")).cast("binary").alias("t")).alias("id"), "text").dropDuplicates(["id"])
+        order = F.struct(F.col("id.id").alias("id"), F.col("n").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("id.id").orderBy("id.t"))
+        keyed = saved(keyed.withColumn("n", rank).select(order.alias("id"), "text"))
+    if batches is None:
+        size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        batches = BATCHES + max(0, int(np.log2(max(size / FIRST_BYTES, 1))))
+    number = F.col("id.id") if repeated else F.col("id")
+    cuts = keyed.agg(F.percentile_approx(number, [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     family, marks = Family(), None
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        part = keyed if low is None else keyed.where(F.col("id") > low)
-        seen = family.add(part if high is None else part.where(F.col("id") <= high))
+        part = keyed if low is None else keyed.where(number > low)
+        seen = family.add(part if high is None else part.where(number <= high))
         marks = seen if marks is None else marks.union(seen)
     marks = marks.union(family.compare(keyed)).groupBy("id").agg(F.collect_list("at").alias("at"))
+    if repeated:
+        marks = keyed.join(marks, "id").select(F.col("id.id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "at")
+        joined = own.withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))).join(marks, ["id", "t"], "left")
+    else:
+        joined = own.join(marks, "id", "left")
     kind = docs.schema[key].dataType.simpleString()
-    out = own.join(marks, "id", "left").select("id", "text", "at").mapInArrow(cut_block, f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long")
+    out = joined.select("id", "text", "at").mapInArrow(cut_block, f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long")
     return out.withColumnRenamed("id", key)
-
-
