@@ -522,3 +522,29 @@ def test_pipeline(spark, odd, labels, tmp_path):
 
 def test_every_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+
+
+def test_vectors_of_another_width(spark):
+    """The usual width is the table's, not a block's: one longer vector takes no other's links, however rows are dealt."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_short_items_at_every_place(spark):
+    docs = spark.createDataFrame([(1, "foo bar x foo bar foo bar")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "foo bar")], "item_id long, text string")
+    assert decontaminate.find_matches(docs, items).count() == 3
+
+
+@pytest.mark.parametrize("name", ["op2_sharding", "op6_jaccard"])
+def test_same_as_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    df = queries.queries()[name](spark, sf)
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = own.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in got.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, got.fetchall()))

@@ -101,9 +101,11 @@ class Items:
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         for k in self.short:
             for n, t in enumerate(texts):
-                at = (b" " + t + b" ").find(b" " + self.texts[k] + b" ")
-                if at >= 0:
-                    out[n].append((k, 0, at, at + len(self.texts[k])))
+                padded, own = b" " + t + b" ", self.texts[k]
+                at = padded.find(b" " + own + b" ")
+                while at >= 0:
+                    out[n].append((k, 0, at, at + len(own)))
+                    at = padded.find(b" " + own + b" ", at + len(own) + 1)
         if not len(self.hashes):
             return out
         data = np.frombuffer((b"\0" * Q).join(texts) + b"\0" * Q, dtype=np.uint8)

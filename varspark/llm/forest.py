@@ -41,9 +41,15 @@ BLOCK = 4096
 STRIP = 512
 
 
-def usable(x: list) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors as doubles and which rows are usable: not null, with components that are all finite, not all zero, of the usual width."""
-    width = max((len(v) for v in x if v is not None), default=0)
+def usual_width(vectors: DataFrame, column: str) -> int:
+    """The width that most vectors of the whole table have, of several the least; 0 without any. Other vectors link with nothing."""
+    widths = vectors.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("width")).agg(F.count("*").alias("n"))
+    most = widths.agg(F.max_by("width", F.struct("n", -F.col("width"))).alias("width")).first().width
+    return most or 0
+
+
+def usable(x: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as doubles and which rows are usable: not null, with components that are all finite, not all zero, of the given width."""
     good = np.array([v is not None and len(v) == width and width > 0 and all(c is not None for c in v) for v in x], dtype=bool)
     out = np.zeros((len(x), width))
     if good.any():
@@ -100,10 +106,11 @@ def direction(seed: int, node: int, width: int) -> np.ndarray:
 
 def as_points(vectors: DataFrame, key: str, column: str, kind: str) -> DataFrame:
     """(id, v): usable vectors as the bytes of their components."""
+    width = usual_width(vectors, column)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, good = usable(batch.column(1).to_pylist())
+            x, good = usable(batch.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.astype(kind).tobytes() for v in x[good]], pa.binary())], ["id", "v"])
 
     return vectors.select(F.col(key).alias("id"), F.col(column).alias("v")).where("id IS NOT NULL").mapInArrow(block, "id long, v binary")

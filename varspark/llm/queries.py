@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspark.llm import decontaminate, forest, jaccard, lm, pieces, quality, secrets, sharding, suffixes, toxicity
+from varspark.llm import decontaminate, forest, jaccard, lm, oracles, pieces, quality, secrets, sharding, suffixes, toxicity
 from varspark.llm.common import crc_mod
 
 
@@ -23,7 +23,7 @@ def labels_outside(spark: SparkSession, sf_dir: str, column: str, n: int, fold:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(docs, labels_outside(spark, sf_dir, "quality", 4, 2))
-    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = crc_mod("doc_id", 7) == 2
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
     scores = lm.score_texts(table(spark, sf_dir, "documents"), ~held_out)
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -54,7 +54,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, labels_outside(spark, sf_dir, "toxic", 5, 0))
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": oracles.sharding(), "op6_jaccard": oracles.jaccard()}
