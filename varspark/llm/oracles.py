@@ -1,4 +1,4 @@
-"""The results of the operators as DuckDB SQL, where SQL can express them: sharding and the n-gram Jaccard join."""
+"""The results of the operators as DuckDB SQL, where SQL can express them: sharding, the n-gram Jaccard join, repeated bytes and near vectors."""
 
 from __future__ import annotations
 
@@ -39,3 +39,29 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, least) AS (SELECT doc_id, doc_id FROM sets UNION SELECT b, least FROM reach JOIN edges ON id = a WHERE least < b),
 parts AS (SELECT id, min(least) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, cast(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN parts ON doc_id = id"""
+
+
+def repeats(long: int = 100) -> str:
+    """Every window of `long` bytes by its hash; those that are not the first of theirs are cut out. Keys must be distinct."""
+    return f"""WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT doc_id, b, range(1, octet_length(b) - {long - 2}) AS p FROM texts),
+windows AS (SELECT doc_id, unnest(p) AS p, unnest(list_transform(p, lambda i: hash(b[i : i + {long - 1}]))) AS h FROM places),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1),
+begun AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {long} AS on_ FROM again),
+numbered AS (SELECT doc_id, p, count(*) FILTER (on_ IS NOT true) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM begun),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + {long - 1} AS hi FROM numbered GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, lo, hi FROM runs UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) FROM texts),
+stays AS (SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo, hi) + 1 AS lo, lo - 1 AS hi, hi - lo + 1 AS gone FROM cuts),
+kept AS (SELECT doc_id, cast(sum(gone) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(CASE WHEN hi >= lo THEN hex(b[lo : hi]) ELSE '' END, '' ORDER BY lo))) AS kept_sha256 FROM stays JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, n_removed, n_spans, kept_sha256 FROM texts JOIN kept USING (doc_id)"""
+
+
+def near_vectors(limit: float = 0.9) -> str:
+    """All pairs of usable vectors; exact, so the forest equals it only where it misses no link."""
+    return f"""WITH RECURSIVE vectors AS (SELECT vec_id, list_transform(cast(embedding AS DOUBLE[]), lambda c: coalesce(c, cast('nan' AS DOUBLE))) AS v FROM embeddings),
+usable AS (SELECT vec_id, v FROM vectors WHERE len(list_filter(v, lambda c: isfinite(c))) = len(v) AND list_sum(list_transform(v, lambda c: c * c)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id != y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= {limit}),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+reach(vec_id, least) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT b, least FROM reach JOIN links ON vec_id = a WHERE least < b),
+parts AS (SELECT vec_id, min(least) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM parts LEFT JOIN counts USING (vec_id)"""

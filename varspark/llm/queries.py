@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": oracles.sharding(), "op6_jaccard": oracles.jaccard()}
+    return {"op2_sharding": oracles.sharding(), "op6_jaccard": oracles.jaccard(), "op8_suffixes": oracles.repeats(), "op9_forest": oracles.near_vectors()}
