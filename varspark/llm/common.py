@@ -95,6 +95,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u > v, are stars around their smallest ids: each u has one edge, and no v is a u. Counted by node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).union(edges.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v")).where("as_u > 1 OR as_u = 1 AND as_v = 1")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component_id): the smallest id reachable over edges (src, dst); nodes without an edge to another are left out.
 
@@ -102,15 +109,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     node (combined before the shuffle) and a join back; edges are never gathered by node or on the driver.
     """
     now = saved(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct())
-    state = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen.n == 0 or (seen.n, seen.h) == state:
-            break
-        state = (seen.n, seen.h)
+    while not are_stars(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         spent, now = now, saved(small)

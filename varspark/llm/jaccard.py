@@ -275,7 +275,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     release(spark)
 
     # 3. two turns against leaders, then every pair of unlike components
-    edges, component = None, None
+    component = None
     for turn in range(3):
         held = index.withColumn("c", F.col("x")) if component is None else index.join(component, index.x == component.id, "left").select("x", "nx", "h", "ax", F.coalesce("component_id", "x").alias("c"))
         held = saved(held)
@@ -298,14 +298,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             met = one.join(two, F.expr(f"h = h2 AND c != cy AND {near} AND {alike(percent)}")).withColumn("first", F.expr(possible(percent)))
             pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("first").alias("first")).where(f"first AND {enough(percent)}").select("x", "y", "nx", "ny")
         pairs = saved(still_alike(saved(pairs), wide, percent))
-        found = linked(pairs, texts, gram, percent)
-        edges = saved(found if edges is None else edges.union(found))
-        discard(held)
-        discard(pairs)
+        # the components so far are stars, which stand for all links that made them
+        edges, stars = linked(pairs, texts, gram, percent), component
+        component = connected_components(edges if stars is None else edges.union(stars))
+        for spent in (held, pairs) if stars is None else (held, pairs, stars):
+            discard(spent)
         release(spark)
-        component = connected_components(edges)
 
-    for spent in (index, texts, sketches, edges):
+    for spent in (index, texts, sketches):
         discard(spent)
     groups = component.select(F.col("id").alias("rep"), "component_id")
     of_class = reps.join(groups, "rep", "left").select("signature", "n", F.coalesce("component_id", "rep").alias("component_id"))
