@@ -322,6 +322,22 @@ def test_quality_of_odd_texts(spark, odd, labels):
     assert quality.score_quality(empty(spark), own).count() == 0
 
 
+def test_sample_is_of_whole_texts_within_its_bound(spark):
+    """Repeated keys give each chosen text once; long texts make the sample smaller, not the texts shorter."""
+    draw = random.Random(12)
+    rows = [(k, prose(draw, draw.choice((5, 50, 3000)))) for k in range(120)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (0, "another text of key 0")], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")).distinct()
+    every, counts = common.labelled_sample(docs, labels, "doc_id", "text", 1000)
+    assert sorted((r.doc_id, r.text) for r in every.collect()) == sorted([*rows, (0, "another text of key 0")])
+    assert counts == {0: 71, 1: 70}
+    part, _ = common.labelled_sample(docs, labels, "doc_id", "text", 1000, 100_000)
+    part = part.collect()
+    assert 0 < len(part) < 121 and {(r.doc_id, r.text) for r in part} <= {(r.doc_id, r.text) for r in every.collect()}
+    for label in (0, 1):
+        assert 0 < sum(len(r.text) + 1 for r in part if r.label == label) <= 200_000
+
+
 def test_passages_cover_the_text():
     draw = random.Random(3)
     texts = [b"", b"x" * 2000, prose(draw, 700).encode(), b" " * 700, b"\n"]

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -120,19 +120,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, each: int) -> tuple[DataFrame, dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, each: int, most_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """About `each` rows (key, text, label) of each label, and the number of rows of each label. labels: (key, label int).
 
     Distinct texts of a label are taken whose hash falls below the share that leaves `each`, so copies count once and no other
     column has a say. They are found from hashes alone; the sample's keys (bounded by `each`) are then broadcast to fetch the texts.
+    With most_bytes the share also leaves at most that many bytes of text to a label on average, and of what it leaves texts are taken
+    in order of hash up to twice that many, so a sample of long texts has fewer rows; each is taken whole. Of the texts of a repeated
+    key any copy with the chosen hash is the same text.
     """
-    short = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    short = docs.select(key, F.xxhash64(whole).alias("h"), (F.octet_length(whole) + 1).cast("long").alias("size"))
     known = short.join(labels.select(key, "label").where("label IS NOT NULL"), key)
-    known = saved(known.groupBy("label", "h").agg(F.min(key).alias(key), F.count("*").alias("rows")))
-    counts = known.groupBy("label").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts")).collect()
+    known = saved(known.groupBy("label", "h").agg(F.min(key).alias(key), F.first("size").alias("size"), F.count("*").alias("rows")))
+    counts = known.groupBy("label").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"), F.sum("size").alias("bytes")).collect()
     limit = F.lit(0.0)
     for c in counts:
-        limit = F.when(F.col("label") == c.label, F.lit(each / c.texts)).otherwise(limit)
-    picked = known.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < limit).select(key, "label")
-    texts = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), key).dropDuplicates([key])
-    return texts, {c.label: c.rows for c in counts}
+        share = each / c.texts if most_bytes is None else min(each / c.texts, most_bytes / c.bytes)
+        limit = F.when(F.col("label") == c.label, F.lit(share)).otherwise(limit)
+    picked = known.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < limit)
+    if most_bytes is not None:
+        so_far = F.sum("size").over(Window.partitionBy("label").orderBy("h"))
+        picked = picked.withColumn("so_far", so_far).where(F.col("so_far") <= 2 * most_bytes)
+    picked = picked.select(key, "label", F.col("h").alias("chosen"))
+    texts = docs.select(key, whole.alias("text")).join(F.broadcast(picked), key).where(F.xxhash64("text") == F.col("chosen")).drop("chosen")
+    return texts.dropDuplicates([key, "label", "text"]), {c.label: c.rows for c in counts}

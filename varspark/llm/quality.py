@@ -5,9 +5,9 @@ encoded by shares of its bytes and words (FEATURES); the encoding looks at nothi
 its attention is the softmax over the bag of w . (tanh(V h) * sigmoid(U h)); the bag is the attention-weighted mean of the passages'
 representations tanh(E h), and its score sigmoid(c . bag + b). All of V, U, w, E, c, b are learned by numpy from document labels only.
 
-The fit takes a bounded sample of labelled rows: about SAMPLE of each label, by hash, and of a text at most BAG passages, spread by hash
-(long texts would otherwise unbound the sample; scoring takes every passage). The share of label 1 among all labelled
-rows for training sets the weights, so scores stay probabilities.
+The fit takes a bounded sample of labelled rows, by hash: about SAMPLE of each label, fewer where their texts are long, so that a label's
+texts have PASSAGES passages on average and twice that at most. A text in the sample is learned from whole, as it is scored. The share of
+label 1 among all labelled rows for training sets the weights, so scores stay probabilities.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from varspark.llm.common import as_bytes, in_blocks, labelled_sample, mix64
 
 PASSAGE = 512
 SAMPLE = 3000
-BAG = 24
+PASSAGES = 40_000
 HIDDEN = 16
 EPOCHS = 60
 
@@ -153,19 +153,17 @@ class Attention:
 
 
 def encode_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, n, x): n passages of a text, BAG at most, and their encodings as float32 bytes."""
+    """(label, text) to (label, n, x): the passages of a text, all n of them, and their encodings as float32 bytes."""
     for batch in in_blocks(batches, "text"):
         x, first = encode(as_bytes(batch.column(1)))
-        n, out = np.diff(np.append(first, len(x))), []
-        for at, m in zip(first, n, strict=True):
-            kept = np.sort(np.argsort(mix64(np.arange(m).astype(np.uint64)))[:BAG])
-            out.append(x[at + kept].astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(n, BAG)), pa.array(out, pa.binary())], ["label", "n", "x"])
+        n = np.diff(np.append(first, len(x)))
+        out = [x[at : at + m].astype(np.float32).tobytes() for at, m in zip(first, n, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(out, pa.binary())], ["label", "n", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Attention:
     """With no labelled rows, or labels of one kind only, the score is the share of label 1 (one half without any)."""
-    texts, counts = labelled_sample(docs, labels, key, text, SAMPLE)
+    texts, counts = labelled_sample(docs, labels, key, text, SAMPLE, PASSAGES * PASSAGE)
     rows = texts.select("label", "text").mapInArrow(encode_bags, "label int, n long, x binary").toArrow()
     y, n = rows["label"].to_numpy().astype(float), rows["n"].to_numpy()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
