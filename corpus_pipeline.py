@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: five stages, each written as Parquet and read again as the next one's input.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents:
-quality drops what the classifier rejects, near_duplicates keeps the document of least doc_id of each group, decontaminate drops
+quality drops what the classifier rejects, near_duplicates keeps the document of least doc_id of each group (rows of one doc_id and
+text are one document, of which the least other columns stay), decontaminate drops
 documents with a benchmark passage, secrets writes a mark over secrets and keeps the document, pieces adds the ids of its encoding.
 """
 
@@ -28,7 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard.jaccard_components(docs)
     rest = groups.where("doc_id != component_id").select("doc_id")
-    return docs.join(rest, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(rest, "doc_id", "left_anti")
+    once = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS[2:])).alias("others"))
+    return once.select("doc_id", "text", "others.*").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
