@@ -537,6 +537,13 @@ def test_pipeline(spark, odd, labels, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_pieces", "ids"]
 
 
+def test_pipeline_keeps_a_repeated_row_once(spark):
+    text = prose(random.Random(13), 30)
+    rows = [(1, text, "en", "b", 9), (1, text, "en", "a", 9), (2, text, "en", "a", 9), (3, None, None, None, None), (3, None, None, None, None), (4, "", "en", "a", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, text, "en", "a", 9), (3, None, None, None, None), (4, "", "en", "a", 0)]
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
 
