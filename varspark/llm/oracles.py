@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from varspark.llm.mixing import BLOCKS, COPIES, WORD, epoch_seed
 from varspark.llm.sharding import PRIME, round_keys
 
 
@@ -65,3 +66,67 @@ counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
 reach(vec_id, least) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT b, least FROM reach JOIN links ON vec_id = a WHERE least < b),
 parts AS (SELECT vec_id, min(least) AS component_id FROM reach GROUP BY vec_id)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM parts LEFT JOIN counts USING (vec_id)"""
+
+
+def clusters(k: int = 16, width: int = 64, scale: int = 64, rounds: int = 3, seed: int = 1) -> str:
+    """Every vector against every centroid; a round is a table of assignments and one of means."""
+    assigned = """SELECT r, vec_id, first(number ORDER BY d, number) AS cluster, min(d) AS distance FROM
+  (SELECT r, vec_id, number, cast(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, {0}) GROUP BY r, vec_id"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""a{i} AS ({assigned.format(f"c{i}")}),
+s{i} AS (SELECT cluster, place, cast(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, generate_subscripts(v, 1) AS place, unnest(v) AS x FROM a{i} JOIN kept USING (r)) GROUP BY cluster, place),
+m{i} AS (SELECT cluster, list(cast((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS c FROM s{i} GROUP BY cluster),
+c{i + 1} AS (SELECT number, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON number = cluster)""")
+    return f"""WITH vectors AS (SELECT row_number() OVER () AS r, vec_id, list_transform(cast(embedding AS DOUBLE[]), lambda x: coalesce(x, cast('nan' AS DOUBLE))) AS e FROM embeddings WHERE len(embedding) = {width}),
+kept AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda x: cast(floor({scale} * x) AS BIGINT)) AS v FROM vectors WHERE len(list_filter(e, lambda x: isfinite(x))) = {width}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS number, v AS c FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k})),
+{", ".join(steps)},
+placed AS ({assigned.format(f'c{rounds}')}),
+inertia AS (SELECT cluster, cast(sum(distance) AS BIGINT) AS cluster_inertia FROM placed GROUP BY cluster)
+SELECT vec_id, cast(p.cluster AS INTEGER) AS cluster, distance, cluster_inertia, (SELECT cast(sum(distance) AS BIGINT) FROM placed) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM placed p JOIN inertia USING (cluster) JOIN c{rounds} ON number = p.cluster"""
+
+
+def middles(seed: int = 42, plain_percent: int = 50, spm_percent: int = 80) -> str:
+    whole = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+    h = [f"cast(('0x' || substr(digest, {1 + 8 * k}, 8)) AS BIGINT)" for k in range(4)]
+    return f"""WITH units AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{whole}') AS u, sha256('{seed}:' || doc_id) AS digest FROM documents),
+numbers AS (SELECT *, len(u) AS n, {h[0]} % (len(u) + 1) AS a, {h[1]} % (len(u) + 1) AS b, {h[2]} % 100 AS c, {h[3]} % 100 AS d FROM units),
+cut AS (SELECT *, array_to_string(u[1 : least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1 :], '') AS s,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= {plain_percent} THEN 'plain' WHEN d < {spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM numbers)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256 FROM cut"""
+
+
+def mix(seed: int = 12) -> str:
+    """The same permutations, layout and quotas over all blocks of all passes; a document's words are added up over its blocks."""
+    keys = [round_keys(epoch_seed(seed, e)) for e in range(COPIES)]
+    by_epoch = lambda r, which: "CASE epoch " + " ".join(f"WHEN {e} THEN {keys[e][r][which]}" for e in range(COPIES)) + " END"
+
+    def turned(source: str) -> str:
+        sql = f"SELECT number, epoch, k, blocks, x // b AS p, x % b AS q, a, b FROM {source}"
+        for r in range(len(keys[0])):
+            side = "a" if r % 2 == 0 else "b"
+            sql = f"SELECT number, epoch, k, blocks, q AS p, (p + t * t % {PRIME}) % {side} AS q, a, b FROM (SELECT *, (q * cast({by_epoch(r, 0)} AS BIGINT) + {by_epoch(r, 1)}) % {PRIME} AS t FROM ({sql}))"
+        return f"SELECT number, epoch, k, blocks, p * b + q AS x, a, b FROM ({sql})"
+
+    weight = "CASE number % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END"
+    return f"""WITH RECURSIVE own AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+sources AS (SELECT source, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number, cast(sum(size) AS BIGINT) AS source_size FROM own GROUP BY source),
+weighed AS (SELECT *, {weight} AS w, {COPIES} * source_size / cast({weight} AS DOUBLE) AS ratio FROM sources),
+summed AS (SELECT *, coalesce(sum({COPIES} * source_size) OVER before, 0) AS capped, coalesce(sum(w) OVER before, 0) AS spent, sum(source_size) OVER () AS total, sum(w) OVER () AS weights FROM weighed WINDOW before AS (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(total - capped, ratio) AS rest, arg_min(weights - spent, ratio) AS weight FROM summed WHERE w * (total - capped) <= {COPIES} * source_size * (weights - spent)),
+aimed AS (SELECT number, source, source_size, CASE WHEN w * rest > {COPIES} * source_size * weight THEN cast({COPIES} * source_size AS DOUBLE) ELSE cast(w * rest AS DOUBLE) / cast(weight AS DOUBLE) END AS target FROM weighed, level),
+block AS (SELECT greatest(1, (cast(sum(source_size) AS BIGINT) + {BLOCKS - 1}) // {BLOCKS}) AS size FROM sources),
+facts AS (SELECT number, source_size, cast(floor(target + 0.5) AS BIGINT) AS words, (source_size + block.size - 1) // block.size AS blocks FROM aimed, block),
+sided AS (SELECT *, (blocks + a - 1) // a AS b FROM (SELECT *, cast(floor(sqrt(blocks - 1)) AS BIGINT) + 1 AS a FROM facts WHERE blocks > 0)),
+every AS (SELECT number, epoch, k, blocks, a, b FROM (SELECT *, unnest(range(blocks)) AS k FROM sided), range({COPIES}) AS e(epoch)),
+walk AS ({turned("(SELECT number, epoch, k, blocks, k AS x, a, b FROM every)")} UNION ALL {turned("(SELECT * FROM walk WHERE x >= blocks)")}),
+placed AS (SELECT number, epoch, k, x AS p, max(CASE WHEN k = blocks - 1 THEN x END) OVER (PARTITION BY number, epoch) AS last FROM walk WHERE x < blocks),
+sized AS (SELECT number, epoch, k, p, last, block.size AS len, source_size - (blocks - 1) * block.size AS short, greatest(0, least(words - epoch * source_size, source_size)) AS rest, k = blocks - 1 AS ends FROM placed JOIN facts USING (number), block),
+drawn AS (SELECT number, k, epoch, greatest(0, least(rest - (p * len - CASE WHEN last < p THEN len - short ELSE 0 END), CASE WHEN ends THEN short ELSE len END)) AS taken FROM sized),
+laid AS (SELECT r, number, size, cast(sum(size) OVER (PARTITION BY number ORDER BY substr(md5(concat(doc_id, ':', digest)), 1, 15), doc_id, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM own JOIN sources ON own.source IS NOT DISTINCT FROM sources.source),
+spans AS (SELECT r, number, start, laid.size, block.size AS len, unnest(range(start // block.size, (start + laid.size - 1) // block.size + 1)) AS k FROM laid, block WHERE laid.size > 0),
+took AS (SELECT r, sum(greatest(0, least(taken - (greatest(start, k * len) - k * len), least(start + size, (k + 1) * len) - greatest(start, k * len)))) AS taken FROM spans JOIN drawn USING (number, k) GROUP BY r)
+SELECT doc_id, cast(size AS BIGINT) AS size, source_size, target, cast(coalesce(taken, 0) AS BIGINT) AS taken FROM own JOIN aimed ON own.source IS NOT DISTINCT FROM aimed.source LEFT JOIN took USING (r)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varspark.llm import decontaminate, forest, jaccard, lm, oracles, pieces, quality, secrets, sharding, suffixes, toxicity
+from varspark.llm import centroids, decontaminate, forest, jaccard, lm, middle, mixing, oracles, pieces, quality, secrets, sharding, suffixes, toxicity
 from varspark.llm.common import crc_mod
 
 
@@ -72,9 +72,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *(c.alias(name) for name, c in counts.items() if name != "n_random"), F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_decontamination, op4_pieces, op5_lm_scores, op6_jaccard, op7_toxicity, op8_suffixes, op9_forest, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_decontamination, op4_pieces, op5_lm_scores, op6_jaccard, op7_toxicity, op8_suffixes, op9_forest, op10_secrets, op11_centroids, op12_mixing, op13_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": oracles.sharding(), "op6_jaccard": oracles.jaccard(), "op8_suffixes": oracles.repeats(), "op9_forest": oracles.near_vectors()}
+    return {"op2_sharding": oracles.sharding(), "op6_jaccard": oracles.jaccard(), "op8_suffixes": oracles.repeats(), "op9_forest": oracles.near_vectors(), "op11_centroids": oracles.clusters(), "op12_mixing": oracles.mix(), "op13_middle": oracles.middles()}
