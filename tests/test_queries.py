@@ -35,29 +35,3 @@ def test_same_as_sql(spark, duck, name):
     assert ours == theirs
 
 
-def greedy_all(rows, slack=50, min_overlap=0.8):
-    """The greedy step over whole partitions, without islands."""
-    out = {}
-    groups = {}
-    for sv_id, chrom, kind, b, e in sorted(rows, key=lambda r: (r[3], r[4], r[0])):
-        clusters = groups.setdefault((chrom, kind), [])
-        for own in clusters:
-            if kind in ("INS", "BND"):
-                fits = b - slack < own[0][2] and e + slack > own[0][1]
-            else:
-                fits = all(max(min(e, y) - max(b, x), 0) >= min_overlap * max(e - b, y - x) for _, x, y in own)
-            if fits:
-                own.append((sv_id, b, e))
-                break
-        else:
-            clusters.append([(sv_id, b, e)])
-    for clusters in groups.values():
-        for own in clusters:
-            out[own[0][0]] = len(own)
-    return out
-
-
-def test_islands_change_nothing(spark):
-    rows = [tuple(r) for r in registry.cluster_input(spark, SF).select("sv_id", "chrom_no", "sv_type", "b", "e").collect()]
-    got = {r.sv_id: r["size"] for r in registry.sv_cluster(spark, SF).collect()}
-    assert got == greedy_all(rows)

@@ -48,13 +48,44 @@ def range_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_ran
     return a.join(b, on, "inner").drop("_l_cell", "_r_cell")
 
 
-def islands(df: DataFrame, keys: list[str], begin: str, end: str) -> DataFrame:
-    """df with `island`: a number, within the keys, of the group of rows whose intervals chain by overlaps."""
-    order = Window.partitionBy(*keys).orderBy(begin, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = df.withColumn("_new", F.when(reach.isNull() | (F.col(begin) >= reach), 1).otherwise(0))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return opens.withColumn("island", F.sum("_new").over(running)).drop("_new")
+def laid_out(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df in range partitions by keys and order, written to the shared folder, with the number of a row's partition as `_part`. Rows of a
+    hot key stand in as many partitions as they fill."""
+    from varspark.sources.scratch import held
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running(laid: DataFrame, keys: list[str], order: list[str | Column], value: Column, name: str, how: str, inclusive: bool) -> DataFrame:
+    """A laid_out() table with column `name`: the max or sum (how) of value over the rows of the same keys before this one in the order,
+    this one included or not.
+
+    Each partition has its own running value and one total for each of its keys; the totals, a row for each partition and key, are run
+    over once more and carried into the partitions. So no window is longer than a partition, or the number of partitions.
+    """
+    combine, join = {"max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}[how]
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = laid.groupBy(*keys, "_part").agg(combine(value).alias("_total"))
+    carried = totals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_part").alias("_k__part"), combine("_total").over(earlier).alias("_carried"))
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    rows = laid.withColumn("_own", combine(value).over(own))
+    out = rows.join(carried, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_part")], "left")
+    return out.withColumn(name, join(F.col("_own"), F.col("_carried"))).drop("_own", "_carried", *carried.columns)
+
+
+def islands(df: DataFrame, keys: list[str], begin: str, end: str, ties: list[str] | None = None) -> DataFrame:
+    """df with `island`: a number, within the keys, of the group of rows whose intervals chain by overlaps.
+
+    A row opens an island if it begins at or behind the greatest end before it; islands are numbered by the running sum of openings. Both
+    run over range partitions. ties: columns that tell apart rows of one begin and end, so that many of these needn't share a partition.
+    """
+    from varspark.sources.scratch import held
+
+    order = [begin, end, *(ties or [])]
+    marked = running(laid_out(df, keys, order), keys, order, F.col(end), "_reach", "max", False)
+    marked = held(marked.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(begin) >= F.col("_reach")), 1).otherwise(0)))
+    return running(marked, keys, [*order, F.desc("_new")], F.col("_new"), "island", "sum", True).drop("_new", "_reach", "_part")
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: dict[str, str], at: str, target: str, most: int, id_columns: list[str]) -> DataFrame:

@@ -369,17 +369,37 @@ def cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_sv").select("sv_id", "case_id", "chrom_no", "sv_type", (F.col("pos") - 1).alias("b"), F.col("sv_end").alias("e"), F.lit(1).cast("long").alias("carriers"))
 
 
-@query()
+def greedy_sql(keys: str) -> str:
+    """Clusters by their definition: the rows of all keys in step, one of each at a time, with every member of every cluster at hand."""
+    near = "CASE WHEN sv_type IN ('INS', 'BND') THEN b - 50 < c.own[1].e AND e + 50 > c.own[1].b ELSE len(list_filter(c.own, lambda m: least(e, m.e) - greatest(b, m.b) < cast(0.8 AS DOUBLE) * greatest(e - b, m.e - m.b))) = 0 END"
+    return f""", own AS (SELECT sv_id, case_id, chrom_no, sv_type, pos - 1 AS b, sv_end AS e FROM fx_sv),
+stepped AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY b, e, sv_id) AS n FROM own),
+run({keys}, n, clusters) AS (SELECT DISTINCT {keys}, cast(0 AS BIGINT), cast([] AS STRUCT(own STRUCT(b BIGINT, e BIGINT, sv_id BIGINT)[])[]) FROM own
+  UNION ALL SELECT {keys}, n, CASE WHEN k IS NULL THEN list_append(clusters, {{'own': [me]}}) ELSE list_transform(clusters, lambda c, i: CASE WHEN i = k THEN {{'own': list_append(c.own, me)}} ELSE c END) END
+  FROM (SELECT *, list_position(list_transform(clusters, lambda c: {near}), true) AS k, {{'b': cast(b AS BIGINT), 'e': cast(e AS BIGINT), 'sv_id': cast(sv_id AS BIGINT)}} AS me FROM (SELECT s.*, run.clusters FROM run JOIN stepped s USING ({keys}) WHERE s.n = run.n + 1))),
+found AS (SELECT {keys}, unnest(clusters).own AS own FROM run JOIN (SELECT {keys}, max(n) AS n FROM stepped GROUP BY ALL) AS last USING ({keys}, n))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(greedy_sql("chrom_no, sv_type") + " SELECT chrom_no, sv_type, own[1].b AS b, own[1].e AS e, own[1].sv_id AS sv_id, cast(len(own) AS bigint) AS carriers, cast(len(own) AS bigint) AS size FROM found", "fx_sv")
 def sv_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_svs(cluster_input(spark, sf_dir), ["carriers"])
 
 
-@query()
+@query(greedy_sql("case_id, chrom_no, sv_type") + """ SELECT case_id, chrom_no, sv_type, own[1].b AS b, own[1].e AS e, own[1].sv_id AS sv_id,
+  array_to_string(list_sort(list_distinct(list_transform(own, lambda m: CASE m.sv_id % 2 WHEN 0 THEN 'Delly' ELSE 'Manta' END))), ',') AS callers FROM found""", "fx_sv")
 def sv_merge_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cluster_input(spark, sf_dir).withColumn("callers", F.array(F.when(F.col("sv_id") % 2 == 0, "Delly").otherwise("Manta")))
     return cluster.merge_callers(rows).withColumn("callers", F.array_join("callers", ","))
 
 
+for _name in ("sv_cluster", "sv_merge_callers"):
+    SQL[_name] = recursive(SQL[_name])
+
+
 @query(""", known AS (SELECT sv_id, chrom_no, gt, CASE case_id % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' ELSE 'Unknown' END AS sex FROM fx_sv),
 flags AS (SELECT sv_id, gt, chrom_no IN (22, 23) AND sex = 'Male' AND gt <> '0/0' AS hemi, gt <> '0/0' AND (chrom_no NOT IN (22, 23) OR (sex = 'Female' AND chrom_no = 22)) AS dip FROM known)
 SELECT sv_id, count(CASE WHEN dip AND gt = '0/1' THEN 1 END) AS carriers_het, count(CASE WHEN dip AND gt = '1/1' THEN 1 END) AS carriers_hom, count(CASE WHEN hemi THEN 1 END) AS carriers_hemi, count(CASE WHEN hemi OR dip THEN 1 END) AS carriers FROM flags GROUP BY sv_id""", "fx_sv")
