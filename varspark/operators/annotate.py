@@ -27,11 +27,15 @@ def _ends(svs: DataFrame, slack: int) -> DataFrame:
     return svs.select("sv_id", F.col("sv_type").isin("INS", "BND").alias("point"), F.explode(probes).alias("p")).select("sv_id", "point", "p.*")
 
 
-def overlapping_genes(svs: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """(sv_id, gene_ids): sorted genes with a transcript (gene_id, chrom_no, tx_begin, tx_end) that the variant overlaps."""
+def gene_pairs(svs: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(sv_id, gene_id) of the genes with a transcript (gene_id, chrom_no, tx_begin, tx_end) that the variant overlaps, each once."""
     tx = transcripts.select("gene_id", F.col("chrom_no").alias("tx_chrom"), "tx_begin", "tx_end")
-    hits = range_join(_probes(svs), tx, {"own_chrom": "tx_chrom"}, ("pb", "pe"), ("tx_begin", "tx_end"))
-    return hits.groupBy("sv_id").agg(F.array_sort(F.collect_set("gene_id")).alias("gene_ids"))
+    return range_join(_probes(svs), tx, {"own_chrom": "tx_chrom"}, ("pb", "pe"), ("tx_begin", "tx_end")).select("sv_id", "gene_id").distinct()
+
+
+def overlapping_genes(svs: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(sv_id, gene_ids): the sorted genes of gene_pairs()."""
+    return gene_pairs(svs, transcripts).groupBy("sv_id").agg(F.array_sort(F.collect_list("gene_id")).alias("gene_ids"))
 
 
 def overlapping_tads(svs: DataFrame, tads: DataFrame, slack: int = 50) -> DataFrame:

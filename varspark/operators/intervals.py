@@ -28,24 +28,64 @@ def _cells(begin: Column, end: Column, left: bool) -> Column:
     return out
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
+#: From this many rows on a cell is dealt into parts, of about as many rows, in overlap_counts().
+SPREAD = 1 << 16
+#: At most so many cells with their parts go out with the plan; beyond, only fuller cells are dealt out.
+MOST_CELLS = 100_000
+
+
+def crowded(rows: DataFrame, cell: list[str], most: int) -> DataFrame | None:
+    """(cell columns, _parts): the cells with more than `most` rows, and into how many parts of about `most` rows each goes; None if
+    there are none. Counts combine before the shuffle. If more than MOST_CELLS are that full, `most` is doubled until few enough are."""
+    from varspark.sources.scratch import held
+
+    full = held(rows.groupBy(*cell).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most))
+    while (n := full.where(F.col("_rows") > most).count()) > MOST_CELLS:
+        most *= 2
+    parts = F.ceil(F.col("_rows") / most).cast("int")
+    return full.where(F.col("_rows") > most).select(*cell, parts.alias("_parts")) if n else None
+
+
+def dealt(a: DataFrame, b: DataFrame, cells: tuple[list[str], list[str]], most: int) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Both sides of a join by cells with the parts of crowded cells, and the conditions on these. A side's own crowded cell has its rows
+    dealt by their hash and the other side's rows once in each part, so every pair still meets once."""
+    on = []
+    for k, (own, other, at) in enumerate(((a, b, cells), (b, a, cells[::-1]))):
+        full = crowded(own, at[0], most)
+        if full is None:
+            continue
+        part = f"_part{k}"
+        parts = F.broadcast(full.withColumnsRenamed(dict(zip(at[0], [f"_c{i}" for i in range(len(at[0]))], strict=True))))
+        meet = lambda names: [F.col(n).eqNullSafe(F.col(f"_c{i}")) for i, n in enumerate(names)]
+        drop = [f"_c{i}" for i in range(len(at[0]))] + ["_parts"]
+        mine = own.join(parts, meet(at[0]), "left").withColumn(f"{part}_own", F.coalesce(F.pmod(F.xxhash64(*own.columns), F.col("_parts")).cast("int"), F.lit(0))).drop(*drop)
+        theirs = other.join(parts, meet(at[1]), "left").withColumn(f"{part}_all", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop(*drop)
+        a, b = (mine, theirs) if k == 0 else (theirs, mine)
+        on.append(F.col(f"{part}_own") == F.col(f"{part}_all"))
+    return a, b, on
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_range: tuple[str, str], right_range: tuple[str, str], spread: int | None = None) -> DataFrame:
     """Pairs of half-open intervals that overlap, with equal keys (left column: right column). Column names of the sides must differ.
 
     An equi-join on key, pair of levels and bin, with the overlap as residual condition. The pair of levels is part of the key, so short
     intervals meet short ones in fine bins only; a pair is taken only in the bin of the greater begin, so it comes once and nothing needs
-    a distinct.
+    a distinct. With `spread`, cells in which a side has more rows than that are dealt into parts (this counts the cells of both sides first).
     """
     (b1, e1), (b2, e2) = left_range, right_range
-    a = left.select("*", F.explode(_cells(F.col(b1), F.col(e1), True)).alias("_l_cell"))
-    b = right.select("*", F.explode(_cells(F.col(b2), F.col(e2), False)).alias("_r_cell"))
-    on = [F.col(x) == F.col(y) for x, y in keys.items()] + [F.col("_l_cell.pair") == F.col("_r_cell.pair"), F.col("_l_cell.bin") == F.col("_r_cell.bin")]
+    a = left.select("*", F.explode(_cells(F.col(b1), F.col(e1), True)).alias("_l")).select(*left.columns, F.col("_l.pair").alias("_l_pair"), F.col("_l.bin").alias("_l_bin"))
+    b = right.select("*", F.explode(_cells(F.col(b2), F.col(e2), False)).alias("_r")).select(*right.columns, F.col("_r.pair").alias("_r_pair"), F.col("_r.bin").alias("_r_bin"))
+    on = [F.col(x) == F.col(y) for x, y in keys.items()] + [F.col("_l_pair") == F.col("_r_pair"), F.col("_l_bin") == F.col("_r_bin")]
+    if spread is not None:
+        a, b, more = dealt(a, b, ([*keys, "_l_pair", "_l_bin"], [*keys.values(), "_r_pair", "_r_bin"]), spread)
+        on += more
     begin = F.greatest(b1, b2).cast("long")
     home = F.lit(None).cast("long")
     for k in reversed(range(len(WIDTHS))):
         pairs = [i * len(WIDTHS) + j for i in range(len(WIDTHS)) for j in range(len(WIDTHS)) if max(i, j) == k]
-        home = F.when(F.col("_l_cell.pair").isin(pairs), F.shiftright(begin, WIDTHS[k])).otherwise(home)
-    on += [F.col(b1) < F.col(e2), F.col(e1) > F.col(b2), F.col("_l_cell.bin") == home]
-    return a.join(b, on, "inner").drop("_l_cell", "_r_cell")
+        home = F.when(F.col("_l_pair").isin(pairs), F.shiftright(begin, WIDTHS[k])).otherwise(home)
+    on += [F.col(b1) < F.col(e2), F.col(e1) > F.col(b2), F.col("_l_bin") == home]
+    return a.join(b, on, "inner").select(*left.columns, *right.columns)
 
 
 def laid_out(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -103,21 +143,35 @@ def sv_probe(pos: Column, end: Column, sv_type: Column, slack: int) -> tuple[Col
     return F.when(point, pos - 1 - slack).otherwise(pos - 1), F.when(point, pos + slack).otherwise(end)
 
 
-def overlap_counts(svs: DataFrame, background: DataFrame, sources: list[str], min_overlap: float = 0.75, slack: int = 50) -> DataFrame:
-    """(sv_id, count_<source>...): the sum of `cnt` of background records of each source that a variant overlaps.
+def overlap_pairs(svs: DataFrame, background: DataFrame, slack: int = 50, spread: int | None = None) -> DataFrame:
+    """(sv_id, source, cnt, overlap): background records of a compatible type (equal, or CNV with DEL or DUP) that a variant meets. overlap
+    is the reciprocal one, 1 for INS and BND, whose window of `slack` bases must be met.
 
-    svs: sv_id, chrom_no, pos, sv_end, sv_type. background: source, chrom_no, b, e, sv_type, cnt. Types must be compatible (equal, or CNV
-    with DEL or DUP); reciprocal overlap must reach min_overlap, but for INS and BND, whose window of `slack` bases must be met. Counts of
-    sources without a hit are 0. One join over all sources, then one pivot over the given names.
+    svs: sv_id, chrom_no, pos, sv_end, sv_type. background: source, chrom_no, b, e, sv_type, cnt. Records of one source, type and place are
+    one with their counts summed, before anything is joined.
     """
     from varspark.functions.scalars import compatible_types, reciprocal_overlap
 
     begin, end = sv_probe(F.col("pos"), F.col("sv_end"), F.col("sv_type"), slack)
     asks = svs.select("sv_id", "chrom_no", F.col("sv_type").alias("own_type"), begin.alias("pb"), end.alias("pe"), F.explode(compatible_types(F.col("sv_type"))).alias("type"))
-    known = background.where(F.col("source").isin(sources)).select("source", F.col("chrom_no").alias("bg_chrom"), F.col("sv_type").alias("bg_type"), "b", "e", "cnt")
-    pairs = range_join(asks, known, {"chrom_no": "bg_chrom", "type": "bg_type"}, ("pb", "pe"), ("b", "e"))
-    enough = F.col("own_type").isin("INS", "BND") | (reciprocal_overlap(F.col("pb"), F.col("pe"), F.col("b"), F.col("e")) >= min_overlap)
-    sums = pairs.where(enough).groupBy("sv_id").pivot("source", sources).agg(F.sum("cnt"))
+    known = background.groupBy("source", F.col("chrom_no").alias("bg_chrom"), F.col("sv_type").alias("bg_type"), "b", "e").agg(F.sum("cnt").alias("cnt"))
+    pairs = range_join(asks, known, {"chrom_no": "bg_chrom", "type": "bg_type"}, ("pb", "pe"), ("b", "e"), SPREAD if spread is None else spread)
+    overlap = F.when(F.col("own_type").isin("INS", "BND"), 1.0).otherwise(reciprocal_overlap(F.col("pb"), F.col("pe"), F.col("b"), F.col("e")))
+    return pairs.select("sv_id", "source", "cnt", overlap.alias("overlap"))
+
+
+def overlap_counts(svs: DataFrame, background: DataFrame, sources: list[str], min_overlap: float | dict[str, float | None] | None = None, slack: int = 50) -> DataFrame:
+    """(sv_id, count_<source>...): the sum of `cnt` of background records of each source that a variant overlaps.
+
+    See overlap_pairs for what meets. Reciprocal overlap must reach min_overlap: one number, or one for each source; where it is None or not
+    given any overlap counts. Counts of sources without a hit are 0. One join over all sources, then one pivot over the given names.
+    """
+    least = min_overlap if isinstance(min_overlap, dict) else dict.fromkeys(sources, min_overlap)
+    limit = F.lit(None).cast("double")
+    for name, x in least.items():
+        limit = F.when(F.col("source") == name, F.lit(x).cast("double")).otherwise(limit)
+    pairs = overlap_pairs(svs, background.where(F.col("source").isin(sources)), slack)
+    sums = pairs.where(limit.isNull() | (F.col("overlap") >= limit)).groupBy("sv_id").pivot("source", sources).agg(F.sum("cnt"))
     out = svs.select("sv_id").distinct().join(sums, "sv_id", "left")
     return out.select("sv_id", *(F.coalesce(F.col(s), F.lit(0)).cast("long").alias(f"count_{s}") for s in sources))
 

@@ -68,7 +68,7 @@ FULL = {
         {"genotype": "hom", "select_sv_sub_type": ["DEL", "INV", "BND"], "min_gq": 50, "max_brk_repeat": 0, "max_brk_segduprepeat": 1},
     ],
     "gene_allowlist": [f"HGNC:{k}" for k in range(60)],
-    "background": {"dgv": {"enabled": True, "max_count": 500}, "gnomad": {"enabled": True, "max_count": 2000}},
+    "background": {"dgv": {"enabled": True, "max_count": 500, "min_overlap": 0.75}, "gnomad": {"enabled": True, "max_count": 2000, "min_overlap": 0.75}},
     "tx_effects": ["exon_variant", "intergenic_variant", "transcript_variant"],
 }
 MASKED = """spots AS (SELECT sv_id, chrom_no, 0 AS which, pos AS spot FROM fx_sv UNION ALL SELECT sv_id, chrom_no, 1, CASE WHEN sv_type IN ('INS', 'BND') THEN pos ELSE sv_end END FROM fx_sv),
@@ -128,7 +128,7 @@ def sv_disease(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of structural variants, written as tab-separated text, read back and taken apart."""
     svs = R.sv_table(spark, sf_dir)
-    counted = intervals.overlap_counts(svs, view(spark, sf_dir, "fx_bg"), R.SOURCES)
+    counted = intervals.overlap_counts(svs, view(spark, sf_dir, "fx_bg"), R.SOURCES, 0.75)
     masked = intervals.masked_breakpoints(svs, view(spark, sf_dir, "fx_region"), ["segdup", "repeat"])
     effects = annotate.tx_effects(svs, annotate.tx_regions(view(spark, sf_dir, "fx_exon")))
     distances = annotate.nearest_boundary(svs, annotate.tad_boundaries(R.domains(spark, sf_dir)))
@@ -147,30 +147,49 @@ def sv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # readers
 
 
-RAW = {  # the derived background rows as each source writes them
-    "dbvar": ("b", "e", "cnt", "lower(sv_type)"), "dgv": ("b", "e", "lower(sv_type)", "cnt", "1"), "dgv_gs": ("b", "e", "CASE sv_type WHEN 'DUP' THEN 'Gain' WHEN 'DEL' THEN 'Loss' ELSE 'odd' END", "cnt"),
-    "exac": ("b", "e", "sv_type"), "g1k": ("b", "e", "CASE sv_type WHEN 'CNV' THEN 'CN0' ELSE sv_type END", "cnt", "2"), "gnomad_sv2": ("b + 1", "e", "CASE sv_type WHEN 'CNV' THEN 'MCNV' WHEN 'INV' THEN 'CPX' ELSE sv_type END", "cnt", "3"),
-    "gnomad_cnv4": ("b", "e", "sv_type", "100", "cnt"), "gnomad_sv4": ("b", "e", "sv_type", "9", "cnt", "1", "9", "1", "9", "1", "1", "9", "1"), "inhouse": ("b", "chrom", "e", "'NA'", "sv_type", "cnt", "1", "1", "0"),
+RAW = {  # the derived background rows as each source writes them; TYPE stands for one of its names
+    "dbvar": ("b", "e", "cnt", "TYPE"), "dgv": ("b", "e", "TYPE", "cnt", "1"), "dgv_gs": ("b", "e", "TYPE", "cnt"), "exac": ("b", "e", "TYPE"), "g1k": ("b", "e", "TYPE", "cnt", "2"), "gnomad_sv2": ("b + 1", "e", "TYPE", "cnt", "3"),
+    "gnomad_cnv4": ("b", "e", "TYPE", "100", "cnt"), "gnomad_sv4": ("b", "e", "TYPE", "9", "cnt", "1", "9", "1", "9", "1", "1", "9", "1"), "inhouse": ("b", "chrom", "e", "'NA'", "TYPE", "cnt", "1", "1", "0"),
 }
 CHROM = "CASE chrom_no WHEN 22 THEN 'X' WHEN 23 THEN 'Y' WHEN 24 THEN 'MT' ELSE cast(chrom_no + 1 AS string) END"
-KEPT = {
-    "dbvar": ("sv_type IN ('DEL', 'DUP', 'CNV')", "cnt"), "dgv": ("sv_type IN ('DEL', 'DUP')", "cnt + 1"), "dgv_gs": ("sv_type IN ('DEL', 'DUP')", "cnt"), "exac": ("sv_type IN ('DEL', 'DUP')", "1"), "g1k": ("true", "cnt + 2"),
-    "gnomad_sv2": ("sv_type <> 'INV'", "cnt + 3"), "gnomad_cnv4": ("true", "cnt"), "gnomad_sv4": ("true", "cnt + 5"), "inhouse": ("true", "cnt"),
+#: Every type name of each published source, what it means (- : left out) and how a record counts, written out apart from the reader.
+PUBLISHED = {
+    "dbvar": ("alu_insertion INS, herv_insertion INS, insertion INS, line1_insertion INS, mobile_element_insertion INS, novel_sequence_insertion INS, sva_insertion INS, copy_number_gain DUP, duplication DUP, tandem_duplication DUP, alu_deletion DEL, copy_number_loss DEL, deletion DEL, herv_deletion DEL, line1_deletion DEL, sva_deletion DEL, copy_number_variation CNV, deletion;insertion DEL, insertion;deletion;x INS", "1"),
+    "dgv": ("alu deletion DEL, deletion DEL, herv deletion DEL, line1 deletion DEL, mobile element deletion DEL, loss DEL, sva deletion DEL, alu insertion INS, herv insertion INS, insertion INS, line1 insertion INS, mobile element insertion INS, novel sequence insertion INS, sva insertion INS, duplication DUP, gain DUP, tandem duplication DUP, sequence alteration -, complex -, gain+loss CNV, CNV CNV, inversion INV, OTHER -", "cnt + 1"),
+    "dgv_gs": ("Gain DUP, Loss DEL", "cnt"),
+    "exac": ("DUP DUP, DEL DEL", "1"),
+    "g1k": ("CN0 CNV, CNV CNV, DEL DEL, DEL_ALU DEL, DEL_HERV DEL, DEL_LINE1 DEL, DEL_SVA DEL, DUP DUP, INV INV, INS INS, INS:ME:ALU INS, INS:ME:LINE1 INS, INS:ME:SVA INS", "cnt + 2"),
+    "gnomad_sv2": ("CPX -, CTX BND, BND BND, DEL DEL, DUP DUP, INS INS, INV INV, MCNV CNV", "cnt + 3"),
+    "gnomad_cnv4": ("DEL DEL, DUP DUP", "cnt"),
+    "gnomad_sv4": ("BND BND, CNV CNV, DEL DEL, DUP DUP, INS INS, INV INV", "cnt + 5"),
+    "inhouse": ("BND BND, CNV CNV, DEL DEL, DUP DUP, INS INS, INV INV", "cnt"),
 }
 
 
+def names_of(source: str) -> list[tuple[str, str]]:
+    return [tuple(x.rsplit(" ", 1)) for x in PUBLISHED[source][0].split(", ")]
+
+
 def background_text(spark: SparkSession, sf_dir: str, source: str) -> str:
+    """The derived background rows as the source writes them, its type names in turn."""
     rows = view(spark, sf_dir, "fx_bg").withColumn("chrom", F.expr(CHROM))
-    if source in ("dbvar", "dgv", "exac"):  # sources that write fewer types
-        rows = rows.where(KEPT[source][0])
-    kind = {"dbvar": "CASE sv_type WHEN 'DEL' THEN 'copy_number_loss' WHEN 'DUP' THEN 'duplication' ELSE 'copy_number_variation' END", "dgv": "CASE sv_type WHEN 'DEL' THEN 'loss' ELSE 'gain' END"}
-    columns = [kind.get(source, c) if c == "lower(sv_type)" else c for c in RAW[source]]
-    return text_of(rows.select(F.concat_ws("\t", "chrom", *(F.expr(c).cast("string") for c in columns)).alias("line")), f"bg-{source}")
+    names = [n for n, _ in names_of(source)]
+    name = F.get(F.array(*map(F.lit, names)), F.pmod(F.col("b") + F.col("e"), F.lit(len(names))).cast("int"))
+    columns = [name if c == "TYPE" else F.expr(c).cast("string") for c in RAW[source]]
+    return text_of(rows.select(F.concat_ws("\t", "chrom", *columns).alias("line")), f"bg-{source}")
+
 
+def published_sql(source: str) -> str:
+    names, count = names_of(source), PUBLISHED[source][1]
+    values = ", ".join(f"({k}, '{kind}')" for k, (_, kind) in enumerate(names))
+    return f"""SELECT '{source}' AS source, chrom_no, kind AS sv_type, count(*) AS n, cast(sum({count}) AS bigint) AS cnt, cast(sum(CASE WHEN kind IN ('INS', 'BND') THEN b - 1 ELSE b END) AS bigint) AS begins,
+  cast(sum(CASE WHEN kind IN ('INS', 'BND') THEN b ELSE e END) AS bigint) AS ends FROM fx_bg JOIN (VALUES {values}) AS t(k, kind) ON (b + e) % {len(names)} = k WHERE kind <> '-' GROUP BY chrom_no, kind"""
 
-@query(" UNION ALL ".join(f"SELECT '{s}' AS source, chrom_no, sv_type, count(*) AS n, cast(sum({cnt}) AS bigint) AS cnt, cast(sum(CASE WHEN sv_type IN ('INS', 'BND') THEN b - 1 ELSE b END) AS bigint) AS begins, cast(sum(CASE WHEN sv_type IN ('INS', 'BND') THEN b ELSE e END) AS bigint) AS ends FROM fx_bg WHERE {test} GROUP BY chrom_no, sv_type" for s, (test, cnt) in KEPT.items()), "fx_bg")
+
+@query(" UNION ALL ".join(map(published_sql, PUBLISHED)), "fx_bg")
 def background_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nine background sources, written as text, read, normalised, kept as a reference table by release and contig, and summed up."""
+    """The nine background sources, written as text with every type name that they have, read, normalised, kept as a reference table by
+    release and contig, and summed up."""
     every = None
     for source in RAW:
         rows = tables.load_background(spark, source, background_text(spark, sf_dir, source))
@@ -219,22 +238,38 @@ def gene_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hgnc_id", "ensembl_id", "entrez_id", "is_acmg", "is_disease_gene", F.coalesce(F.array_join("modes", ","), F.lit("")).alias("modes"), F.size("hgnc_ids").alias("ids"))
 
 
-@query("""SELECT chrom_no, CASE region_id % 9 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' WHEN 2 THEN 'DUP' WHEN 3 THEN 'COMPLEX' WHEN 4 THEN 'MICROSATELLITE' ELSE 'INV' END AS sv_type, CASE region_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 ELSE 5 END AS significance,
-  count(*) AS n, cast(sum(CASE region_id % 4 WHEN 3 THEN b + 1 ELSE b END) AS bigint) AS begins, cast(sum(CASE region_id % 4 WHEN 3 THEN b + 4 ELSE e END) AS bigint) AS ends, cast(sum(region_id) AS bigint) AS rcvs
-FROM fx_region WHERE region_id % 9 < 6 AND region_id % 7 < 6 GROUP BY 1, 2, 3""", "fx_region")
+@query("""SELECT chrom_no, CASE region_id % 16 WHEN 1 THEN 'INS' WHEN 2 THEN 'DEL' WHEN 5 THEN 'DUP' WHEN 6 THEN 'DUP' WHEN 7 THEN 'COMPLEX' WHEN 8 THEN 'DUP' WHEN 9 THEN 'DEL' WHEN 11 THEN 'MICROSATELLITE' ELSE 'INV' END AS sv_type,
+  CASE region_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN 4 ELSE 5 END AS significance,
+  count(*) AS n, cast(sum(CASE region_id % 5 WHEN 3 THEN b + 1 ELSE b END) AS bigint) AS begins, cast(sum(CASE region_id % 5 WHEN 3 THEN b + 4 ELSE e END) AS bigint) AS ends, cast(sum(CASE region_id % 10 WHEN 7 THEN 0 ELSE region_id END) AS bigint) AS rcvs, cast(sum(region_id) AS bigint) AS vcvs
+FROM fx_region WHERE region_id % 16 IN (1, 2, 5, 6, 7, 8, 9, 11, 12) AND region_id % 9 < 8 AND region_id % 5 < 4 AND region_id % 13 <> 0 GROUP BY 1, 2, 3""", "fx_region")
 def clinvar_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ClinVar JSON lines with each way to give a place, types and classes that are left out, and lines that can't be read."""
+    """Nested ClinVar records as JSON lines: both spellings of names, enumerations by name and by number, each way to give a place and none,
+    every type and class, records without a germline class or RCV, and lines that can't be read; kept as a reference table."""
     k = F.col("region_id")
     pick = lambda n, *names: F.get(F.array(*map(F.lit, names)), (k % n).cast("int"))
-    kind = pick(9, "INSERTION", "VARIATION_TYPE_DELETION", "Tandem duplication", "STRUCTURAL_VARIANT", "MICROSATELLITE", "INVERSION", "SNV", "INDEL", "OTHER")
-    words = pick(7, "Benign/Likely benign", "Likely benign", "Conflicting classifications of pathogenicity", "Likely pathogenic", "Pathogenic/Likely pathogenic", "Pathogenic", "drug response")
-    at = lambda n, c: F.when(k % 4 == n, c)
-    place = F.struct(F.expr(CHROM).alias("chromosome"), at(0, F.col("b") + 1).alias("start"), at(0, F.col("e")).alias("stop"), at(1, F.col("b") + 1).alias("inner_start"), at(1, F.col("e")).alias("inner_stop"), at(2, F.col("b") + 1).alias("outer_start"), at(2, F.col("e")).alias("outer_stop"), at(3, F.col("b") + 1).alias("position_vcf"), at(3, F.lit("ACG")).alias("reference_allele_vcf"), at(3, F.lit("A")).alias("alternate_allele_vcf"))
+    types = pick(16, "UNSPECIFIED", "INSERTION", "DELETION", "SNV", "INDEL", "DUPLICATION", "TANDEM_DUPLICATION", "STRUCTURAL_VARIANT", "COPY_NUMBER_GAIN", "COPY_NUMBER_LOSS", "PROTEIN_ONLY", "MICROSATELLITE", "INVERSION", "OTHER", "SNV", "BEYOND")
+    words = pick(9, "Benign", "Benign/Likely benign", "Likely benign", "Uncertain significance", "Conflicting classifications of pathogenicity", "Likely pathogenic", "Pathogenic/Likely pathogenic", "Pathogenic", "drug response")
+    at = lambda n, c: F.when(k % 5 == n, c)
+    accession = lambda text: F.struct(text.alias("accession"), F.lit(1).alias("version"))
+    rcvs = F.when(k % 10 != 7, F.array(F.struct(accession(S.rcv_id(k)).alias("accession"), F.lit("title").alias("title")), F.struct(accession(F.lit("RCV000000001")).alias("accession"), F.lit("other").alias("title")))).otherwise(F.array())
+    one, two = F.col("b") + 1, F.col("e")
+
+    def record(name, types: Column, contig: Column) -> Column:
+        ends = {"start": at(0, one), "stop": at(0, two), "inner_start": at(1, one), "inner_stop": at(1, two), "outer_start": at(2, one), "outer_stop": at(2, two), "position_vcf": at(3, one), "reference_allele_vcf": at(3, F.lit("ACG")), "alternate_allele_vcf": at(3, F.lit("A"))}
+        place = F.struct(F.lit("ASSEMBLY_GRCH37").alias("assembly"), contig.alias("chr"), *(c.alias(name(n)) for n, c in ends.items()))
+        germline = F.when(k % 13 != 0, F.struct(words.alias("description"), F.lit("x").alias(name("review_status"))))
+        return F.to_json(F.struct(accession(F.format_string("VCV%09d", k)).alias("accession"), rcvs.alias("rcvs"), F.lit("a name").alias("name"), types.alias(name("variation_type")), F.struct(germline.alias(name("germline_classification"))).alias("classifications"), place.alias(name("sequence_location"))))
+
+    snake, camel = (lambda n: n), (lambda n: tables.spellings(n)[1])
+    named = F.concat(F.lit("CHROMOSOME_"), F.expr(CHROM))
+    number = F.when(k % 16 < 14, (k % 16).cast("int")).when(k % 16 == 14, 3).otherwise(99)
     rows = view(spark, sf_dir, "fx_region")
-    lines = rows.select(F.to_json(F.struct(F.lit("r").alias("release"), S.rcv_id(k).alias("rcv"), F.format_string("VCV%09d", k).alias("vcv"), kind.alias("variation_type"), words.alias("germline"), place.alias("location"))).alias("line"))
+    lines = rows.select(F.when(k % 2 == 0, record(snake, F.concat(F.lit("VARIATION_TYPE_"), types), named)).otherwise(record(camel, number, F.col("chrom_no") + 1)).alias("line"))
     path = text_of(lines.union(rows.select(F.lit("{not json"))), "clinvar")
-    got = tables.load_clinvar_sv(spark, path).where("rcv = vcv")
-    return got.groupBy(F.col("chrom_no").cast("long").alias("chrom_no"), "sv_type", "significance").agg(F.count("*").alias("n"), F.sum("b").cast("long").alias("begins"), F.sum("e").cast("long").alias("ends"), F.sum("rcv").cast("long").alias("rcvs"))
+    where = new_path(spark, "clinvar-table")
+    sinks.write_reference(tables.load_clinvar_sv(spark, path), where, "grch37")
+    got = spark.read.parquet(where)
+    return got.groupBy(F.col("chrom_no").cast("long").alias("chrom_no"), "sv_type", "significance").agg(F.count("*").alias("n"), F.sum("b").cast("long").alias("begins"), F.sum("e").cast("long").alias("ends"), F.sum("rcv").cast("long").alias("rcvs"), F.sum("vcv").cast("long").alias("vcvs"))
 
 
 def vcf_header(sample: Column) -> list[Column]:
@@ -315,16 +350,40 @@ def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passed.groupBy("case_id", "query_id").agg(F.count("*").alias("n"), F.sum("site_id").cast("long").alias("sites"))
 
 
-@query("""SELECT concat('case', cast(case_id AS varchar)) AS case_id, 2 AS criteria, 500 AS most, 1 AS chrom_no, 999 AS region_begin, 2000 AS region_end, 'any' AS choice, cast(7 AS double) AS least FROM (SELECT DISTINCT case_id FROM fx_sv) AS c""", "fx_sv")
+SETTLED = f""", {MASKED}, tx AS (SELECT tx_id, gene_id, chrom_no, min(exon_start) AS tb, max(exon_end) AS te FROM fx_exon GROUP BY ALL),
+probed AS (SELECT sv_id, case_id, chrom_no, pos - 1 AS pb, CASE WHEN sv_type IN ('INS', 'BND') THEN pos ELSE sv_end END AS pe FROM fx_sv),
+near AS (SELECT DISTINCT sv_id FROM probed p JOIN tx ON p.chrom_no = tx.chrom_no AND pb < te AND pe > tb AND cast(split_part(gene_id, ':', 2) AS bigint) % (case_id % 3 + 2) = 0),
+met AS (SELECT s.sv_id, b.source, b.cnt, s.case_id, CASE WHEN s.sv_type IN ('INS', 'BND') THEN 1 ELSE cast(least(sv_end, e) - greatest(pos - 1, b) AS double) / cast(greatest(sv_end - pos + 1, e - b) AS double) END AS ovl
+  FROM fx_sv s JOIN fx_bg b ON s.chrom_no = b.chrom_no AND CASE WHEN s.sv_type IN ('INS', 'BND') THEN pos - 51 ELSE pos - 1 END < b.e AND CASE WHEN s.sv_type IN ('INS', 'BND') THEN pos + 50 ELSE sv_end END > b.b AND (s.sv_type = b.sv_type OR (s.sv_type IN ('DEL', 'DUP') AND b.sv_type = 'CNV'))),
+counted AS (SELECT sv_id, coalesce(sum(CASE WHEN source = 'dgv' AND ovl >= 0.5 THEN cnt END), 0) AS dgv, coalesce(sum(CASE WHEN source = 'inhouse' THEN cnt END), 0) AS inhouse FROM fx_sv LEFT JOIN met USING (sv_id) GROUP BY sv_id),
+v AS (SELECT s.*, sv_id % 99 AS gq, segdup, repeats, dgv, inhouse FROM fx_sv s JOIN masked USING (sv_id) JOIN counted USING (sv_id)),
+strict AS (SELECT *, case_id % 3 < 2 AND sv_type IN ('DEL', 'DUP', 'INS') AND gq >= 3 * case_id AND segdup <= case_id % 3 AS het, case_id % 3 <> 1 AND sv_type IN ('DEL', 'INV', 'BND') AND (case_id % 3 = 0 OR gt = '1/1') AND repeats <= 1 AND (sv_type = 'BND' OR sv_end - pos + 1 >= 900) AS hom FROM v WHERE sv_type IN ('INS', 'BND') OR sv_end - pos + 1 >= 100 * (case_id % 5)),
+kept AS (SELECT case_id, 'strict' AS query_id, sv_id, CASE WHEN hom THEN 'hom' ELSE 'het' END AS effective FROM strict WHERE (het OR hom) AND dgv <= 40 * case_id AND inhouse <= 900 AND (case_id % 2 = 1 OR sv_id IN (SELECT sv_id FROM near))
+  UNION ALL SELECT case_id, 'effects', sv_id, NULL FROM v WHERE sv_type IN ('DEL', 'INS') AND chrom_no IN (case_id % 4, 7) AND (chrom_no = 7 OR CASE WHEN sv_type = 'INS' THEN pos - 51 < 150000 AND pos + 50 > 999 ELSE pos - 1 < 150000 AND sv_end > 999 END) AND sv_id IN (SELECT sv_id FROM more WHERE effect IN ('exon_variant', 'intergenic_variant')))"""
+
+
+@query(R.EFFECTS + SETTLED + " SELECT * FROM kept", "fx_exon", "fx_sv", "fx_bg", "fx_region")
 def sv_settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings for structural variants of every case in JSON files, as the filters take them."""
+    """Settings for structural variants of every case in JSON files, two a case, no two cases alike, applied to all cases by one job."""
     cases = view(spark, sf_dir, "fx_sv").select("case_id").distinct()
-    body = '","sv_types":["DEL"],"genomic_region":["chr2:1,000-2,000","odd one"],"genotype":{"index":"any"},"background":{"dgv":{"enabled":true,"max_count":500}},"genotype_criteria":[{"genotype":"het","select_sv_sub_type":["DEL"],"min_gq":7,"missing_gq_ok":true},{"genotype":"hom","select_sv_sub_type":["DEL"],"max_brk_segdup":1}]}'
+    criterion = lambda genotype, types, more: F.struct(F.lit(genotype).alias("genotype"), F.array(*map(F.lit, types)).alias("select_sv_sub_type"), *(c.alias(n) for n, c in more.items()))
+    het = criterion("het", ("DEL", "DUP", "INS"), {"min_gq": 3 * F.col("case_id"), "max_brk_segdup": F.col("case_id") % 3})
+    hom = F.struct(*(F.lit(x).alias(n) if n == "genotype" else F.array(*map(F.lit, x)).alias(n) if isinstance(x, tuple) else F.lit(x).alias(n) for n, x in {"genotype": "hom", "select_sv_sub_type": ("DEL", "INV", "BND"), "select_sv_min_size": 900, "gt_one_of": ("1/1",), "max_brk_repeat": 1}.items()))
+    who = F.create_map(F.lit("index"), F.get(F.array(*map(F.lit, ("any", "het", "hom"))), (F.col("case_id") % 3).cast("int")))
+    listed = F.expr("CASE WHEN case_id % 2 = 0 THEN transform(filter(sequence(0, 20000), g -> g % (case_id % 3 + 2) = 0), g -> concat('HGNC:', cast(g AS string))) END")
+    strict = {"sv_size_min": 100 * (F.col("case_id") % 5), "genotype": who, "gene_allowlist": listed, "svdb_dgv_enabled": F.lit(True), "svdb_dgv_min_overlap": F.lit(0.5), "svdb_dgv_max_count": 40 * F.col("case_id"), "svdb_inhouse_enabled": F.lit(True), "svdb_inhouse_max_count": F.lit(900), "svdb_g1k_enabled": F.lit(False), "svdb_g1k_max_count": F.lit(0)}
+    places = F.array(F.concat(F.lit("chr"), (F.col("case_id") % 4 + 1).cast("string"), F.lit(":1,000-150,000")), F.lit("odd one"), F.lit("8"))
+    effects = {"sv_types": F.array(F.lit("DEL"), F.lit("INS")), "genomic_region": places, "tx_effects": F.array(F.lit("exon_variant"), F.lit("intergenic_variant"))}
     path = new_path(spark, "sv-settings")
-    cases.select("case_id", F.concat(F.lit('{"case_id":"case'), F.col("case_id").cast("string"), F.lit(body)).alias("text")).repartition("case_id").write.partitionBy("case_id").text(path)
-    q = tables.load_sv_queries(spark, [f"{path}/*"])
-    region = F.col("genomic_region")[0]
-    return q.where(F.size("genomic_region") == 1).select("case_id", F.size("genotype_criteria").alias("criteria"), F.col("background")["dgv"]["max_count"].cast("int").alias("most"), region["chrom_no"].alias("chrom_no"), region["begin"].cast("int").alias("region_begin"), region["end"].cast("int").alias("region_end"), F.col("genotype")["index"].alias("choice"), F.col("genotype_criteria")[0]["min_gq"].alias("least"))
+    text = lambda name, c: F.to_json(F.struct(F.lit(name).alias("query_id"), F.concat(F.lit("case"), F.col("case_id").cast("string")).alias("case_id"), *(x.alias(n) for n, x in c.items())))
+    first = F.regexp_replace(text("strict", strict), r"\}$", "")
+    first = F.concat(first, F.lit(',"genotype_criteria":['), F.to_json(het), F.lit(","), F.to_json(hom), F.lit("]}"))
+    lines = cases.select("case_id", F.explode(F.array(F.struct(F.lit(0).alias("no"), first.alias("text")), F.struct(F.lit(1).alias("no"), text("effects", effects).alias("text")))).alias("x"))
+    lines.select("case_id", "x.*").repartition("case_id", "no").write.partitionBy("case_id", "no").text(path)
+    q = tables.load_sv_queries(spark, [f"{path}/*/*"])
+    q = q.withColumns({"case_id": F.regexp_extract("case_id", "[0-9]+", 0).cast("long"), "query_id": F.concat_ws(":", "case_id", "query_id")})
+    rows = strucvars.filter_strucvars_by_queries(R.sv_table(spark, sf_dir), q, view(spark, sf_dir, "fx_bg"), view(spark, sf_dir, "fx_region"), R.transcripts(spark, sf_dir), annotate.tx_regions(view(spark, sf_dir, "fx_exon")))
+    return rows.select("case_id", F.substring_index("query_id", ":", -1).alias("query_id"), "sv_id", F.get("matched", F.lit(0))["effective"].alias("effective"))
 
 
 @query("SELECT 'a' AS param_id, cast(0.004 AS double) AS max_freq, 50 AS max_exon_dist, (SELECT count(*) FROM lineitem) AS n UNION ALL SELECT 'b', cast(0.008 AS double), 200, (SELECT count(*) FROM lineitem)")

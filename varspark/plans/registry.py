@@ -226,13 +226,29 @@ tally AS (SELECT sv_id, """ + ", ".join(f"cast(coalesce(sum(CASE WHEN source = '
 
 @query(HITS + " SELECT * FROM tally", "fx_sv", "fx_bg")
 def bg_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.overlap_counts(view(spark, sf_dir, "fx_sv"), view(spark, sf_dir, "fx_bg"), SOURCES)
+    return intervals.overlap_counts(view(spark, sf_dir, "fx_sv"), view(spark, sf_dir, "fx_bg"), SOURCES, 0.75)
+
+
+#: Seven background databases with a least overlap each, None for any.
+SEVEN = {"dbvar": 0.5, "dgv": 0.75, "dgv_gs": None, "g1k": 0.9, "gnomad_exomes": None, "gnomad_genomes": 0.6, "inhouse": 0.8}
+SEVEN_SQL = "SELECT *, CASE (b + cnt) % 7 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SEVEN)) + " END AS name FROM fx_bg"
+
+
+@query(f""", seven AS ({SEVEN_SQL}), least_of(name, most) AS (VALUES {", ".join(f"('{s}', {'NULL' if x is None else x})" for s, x in SEVEN.items())}),
+asks AS (SELECT sv_id, chrom_no, sv_type, CASE WHEN sv_type IN ('INS', 'BND') THEN pos - 51 ELSE pos - 1 END AS pb, CASE WHEN sv_type IN ('INS', 'BND') THEN pos + 50 ELSE sv_end END AS pe FROM fx_sv),
+hits AS (SELECT a.sv_id, b.name, b.cnt FROM asks a JOIN seven b ON a.chrom_no = b.chrom_no AND a.pb < b.e AND a.pe > b.b AND (a.sv_type = b.sv_type OR (a.sv_type IN ('DEL', 'DUP') AND b.sv_type = 'CNV')) JOIN least_of l ON b.name = l.name
+  AND (most IS NULL OR a.sv_type IN ('INS', 'BND') OR cast(least(a.pe, b.e) - greatest(a.pb, b.b) AS double) / cast(greatest(a.pe - a.pb, b.e - b.b) AS double) >= most))
+SELECT sv_id, """ + ", ".join(f"cast(coalesce(sum(CASE WHEN name = '{s}' THEN cnt END), 0) AS bigint) AS count_{s}" for s in SEVEN) + " FROM (SELECT DISTINCT sv_id FROM fx_sv) AS i LEFT JOIN hits USING (sv_id) GROUP BY sv_id", "fx_sv", "fx_bg")
+def bg_overlap_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven background databases, each with its own least overlap or none."""
+    which = F.get(F.array(*map(F.lit, SEVEN)), F.pmod(F.col("b") + F.col("cnt"), F.lit(7)).cast("int"))
+    return intervals.overlap_counts(view(spark, sf_dir, "fx_sv"), view(spark, sf_dir, "fx_bg").withColumn("source", which), list(SEVEN), SEVEN)
 
 
 @query(HITS + " SELECT sv_id FROM tally WHERE count_dgv <= 20 AND count_gnomad <= 30", "fx_sv", "fx_bg")
 def bg_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = {"dgv": {"enabled": True, "max_count": 20}, "gnomad": {"enabled": True, "max_count": 30}, "inhouse": {"enabled": False, "max_count": 0}}
-    rows = intervals.overlap_counts(view(spark, sf_dir, "fx_sv"), view(spark, sf_dir, "fx_bg"), SOURCES)
+    rows = intervals.overlap_counts(view(spark, sf_dir, "fx_sv"), view(spark, sf_dir, "fx_bg"), SOURCES, 0.75)
     return rows.where(strucvars.pass_counts(limits, SOURCES)).select("sv_id")
 
 
