@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varspark.functions.scalars import allele_frequency, spelled
@@ -246,13 +246,89 @@ def order_results(df: DataFrame, most: int | None = None, by_number: bool = Fals
     return rows if most is None else rows.limit(most)
 
 
-def filter_by_queries(df: DataFrame, queries: DataFrame) -> DataFrame:
+MODES = ("any", "homozygous", "compound-heterozygous")
+
+
+def trio_table(spark: SparkSession) -> DataFrame:
+    """trio_rules as rows: mode, members (i, f and m for those given), code (a letter each), whether the code fits as one variant (auto, x)
+    or in a gene (gene_auto, gene_x, gene_het), and what a het one of a gene shows of the parents (f_het, f_ref, m_het, m_ref)."""
+    rows = []
+    for mode in MODES:
+        for members in (["index"], ["index", "father"], ["index", "mother"], ["index", "father", "mother"]):
+            rules = trio_rules(members, mode)
+            for code in sorted(set().union(*rules.values())):
+                of = dict(zip(members, code, strict=True))
+                seen = [code in rules["gene_het"] and of.get(parent) == letter for parent in ("father", "mother") for letter in "hr"]
+                rows.append((mode, "".join(m[0] for m in members), code, *(code in rules[k] for k in ("auto", "x", "gene_auto", "gene_x", "gene_het")), *seen))
+    names = "auto x gene_auto gene_x gene_het f_het f_ref m_het m_ref".split()
+    return spark.createDataFrame(rows, "mode string, members string, code string, " + ", ".join(f"{n} boolean" for n in names))
+
+
+def keep_recessive(rows: DataFrame) -> DataFrame:
+    """Of variants with the settings of a recessive query as `q`, those that fit its mode alone and in their gene.
+
+    Genotypes are coded by the query's roles and joined with the table of rules; the gene rule is an aggregate by query, case and gene that
+    combines before its shuffle, then a semi join. More or fewer than one index, or a parent twice, is an error.
+    """
+    names = rows.columns
+    of_role = lambda role: F.filter("q.sample_genotypes", lambda s: s["genotype"] == f"recessive-{role}")
+    call = lambda sample: F.get(F.filter("calls", lambda c: c["sample"] == sample), F.lit(0))["gt"]
+    parts, code, faults = [], [], F.size(of_role("index")) != 1
+    for role in ("index", "father", "mother"):
+        given = F.size(of_role(role)) > 0
+        faults = faults | (F.size(of_role(role)) > 1)
+        parts.append(F.when(given, role[0]).otherwise(""))
+        code.append(F.when(given, kind_codes([call(F.get(of_role(role), F.lit(0))["sample"])])).otherwise(""))
+    checked = F.when(F.coalesce(faults, F.lit(True)), F.raise_error(F.lit("a recessive query needs one index, and each parent once at most"))).otherwise(F.concat(*parts))
+    gene = F.coalesce(F.try_element_at("ann", F.lit(1))["gene_id"], F.lit(""))
+    coded = rows.withColumns({"mode": F.col("q.recessive_mode"), "members": checked, "code": F.concat(*code), "_gene": gene})
+    fits = coded.join(F.broadcast(trio_table(rows.sparkSession)), ["mode", "members", "code"])
+    fits = fits.where(((F.col("chrom_no") < 22) & F.col("auto")) | ((F.col("chrom_no") == 22) & F.col("x")))
+    hom = F.bool_or(F.when(F.col("chrom_no") == 22, F.col("gene_x")).otherwise(F.col("gene_auto")))
+    seen = [~F.contains("members", F.lit(p)) | (F.col(f"{p}_het") & F.col(f"{p}_ref")) for p in "fm"]
+    by_gene = fits.groupBy("query_id", "case_id", "_gene", "members").agg(hom.alias("hom"), F.count_if("gene_het").alias("het"), *(F.bool_or(f"{p}_{k}").alias(f"{p}_{k}") for p in "fm" for k in ("het", "ref")))
+    genes = by_gene.where(F.col("hom") | reduce(Column.__and__, seen, F.col("het") >= 2)).select("query_id", "case_id", "_gene")
+    return fits.join(genes, ["query_id", "case_id", "_gene"], "left_semi").select(*names)
+
+
+def joined_quality(qualities: Column) -> Column:
+    """pass_quality with the settings of a row's own query: an array of structs, each looked up among the calls once."""
+
+    def ok(p: Column) -> Column:
+        s, call = p["s"], p["call"]
+        gt = call["gt"]
+        is_het, is_hom, is_ref = (F.coalesce(has(gt, kind), F.lit(False)) for kind in (HET, HOM, REF))
+        ab = F.try_divide(call["ad"].cast("double"), call["dp"].cast("double"))
+        fails = [is_het & (call["dp"] < s["min_dp_het"]), is_hom & (call["dp"] < s["min_dp_hom"]), call["gq"] < s["min_gq"], ~is_ref & (call["ad"] < s["min_ad"]), ~is_ref & (call["ad"] > s["max_ad"])]
+        fails.append(is_het & s["min_ab"].isNotNull() & ((F.least(ab, 1 - ab) + F.lit(1e-6) < s["min_ab"]) | ((call["dp"] == 0) & (call["ad"] > 0))))
+        good = reduce(Column.__and__, (~F.coalesce(f, F.lit(False)) for f in fails))
+        missing = F.raise_error(F.concat(F.lit("sample not found in call info: "), s["sample"])).cast("boolean")
+        return F.when(~F.coalesce(s["filter_active"], F.lit(False)), True).when(call.isNull(), missing).otherwise(good)
+
+    paired = F.transform(qualities, lambda s: F.struct(s.alias("s"), F.get(F.filter("calls", lambda c: c["sample"] == s["sample"]), F.lit(0)).alias("call")))
+    return qualities.isNull() | F.forall(paired, ok)
+
+
+def keep_clinvar(rows: DataFrame, clinvar: DataFrame) -> DataFrame:
+    """filter_clinvar with the settings of a row's own query (q.clinvar), for rows whose query requires presence."""
+    key = ["chrom", "pos", "ref", "alt"]
+    own = F.col("q.clinvar")
+    first = clinvar.groupBy(*key).agg(F.min_by(F.struct("significance", "conflicting"), "record_no").alias("_first"))
+    wanted = F.transform(own["significances"], lambda c: F.replace(c, F.lit("-"), F.lit(" ")))
+    parts = F.transform(F.split(F.lower("_first.significance"), "/"), lambda c: F.trim(c))
+    fits = (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | F.arrays_overlap(parts, wanted)
+    fits = F.when(F.col("_first.conflicting"), F.coalesce(own["allow_conflicting"], F.lit(False))).otherwise(fits)
+    return rows.join(first, key).where(F.coalesce(fits, F.lit(False))).select(*rows.columns)
+
+
+def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | None = None) -> DataFrame:
     """Every variant once per query (query_id) of its case that it passes: one job for all cases and queries, settings as columns of
-    load_queries(). Covers frequencies, consequences, genes, regions and non-recessive genotypes; a setting that is null passes.
+    load_queries(). All settings are covered; one that is null passes. query_id must be unique within a case.
 
-    queries is joined by case_id; it is a few rows a case, so Spark broadcasts it while that is small and shuffles beyond.
+    queries is joined by case_id; it is a few rows a case, so Spark broadcasts it while that is small and shuffles beyond. Recessive
+    queries and those that require ClinVar (clinvar: as for filter_clinvar) go on to further joins, the others are done.
     """
-    q = queries.select("case_id", F.struct(*(c for c in queries.columns if c != "case_id")).alias("q"))
+    q = queries.select("case_id", "query_id", F.struct(*(c for c in queries.columns if c not in ("case_id", "query_id"))).alias("q"))
     rows = df.join(q, "case_id")
     setting = lambda *path: reduce(lambda c, name: c[name], path, F.col("q"))
 
@@ -277,9 +353,18 @@ def filter_by_queries(df: DataFrame, queries: DataFrame) -> DataFrame:
     fits = lambda s, gt: reduce(lambda c, kv: c.when(s["genotype"] == kv[0], has(gt, kv[1])), list(CHOICES.items())[1:], F.when(s["genotype"] == "ref", has(gt, REF))).otherwise(F.lit(True))
     of_sample = lambda s: F.get(F.filter("calls", lambda c: c["sample"] == s["sample"]), F.lit(0))["gt"]
     ok = lambda s: F.coalesce(fits(s, of_sample(s)) | (F.coalesce(s["include_no_call"], F.lit(False)) & of_sample(s).contains(".")), F.lit(False))
-    genotype = setting("sample_genotypes").isNull() | F.forall(setting("sample_genotypes"), ok)
-    passed = rows.where(every([frequency, consequence, genes, regions, genotype]))
-    return passed.withColumn("query_id", F.col("q.query_id")).drop("q")
+    recessive = F.coalesce(setting("recessive_mode"), F.lit("disabled")) != "disabled"
+    genotype = recessive | setting("sample_genotypes").isNull() | F.forall(setting("sample_genotypes"), ok)
+    passed = rows.where(every([frequency, consequence, genes, regions, joined_quality(setting("sample_qualities")), genotype]))
+    asked = queries.agg(F.bool_or(F.coalesce("recessive_mode", F.lit("disabled")) != "disabled").alias("recessive"), F.bool_or("clinvar.presence_required").alias("clinvar")).first()
+    if asked.recessive:
+        passed = passed.where(~recessive).unionByName(keep_recessive(passed.where(recessive)))
+    if asked.clinvar:
+        if clinvar is None:
+            raise ValueError("a query requires ClinVar, but its table isn't given")
+        required = F.coalesce(setting("clinvar", "presence_required"), F.lit(False))
+        passed = passed.where(~required).unionByName(keep_clinvar(passed.where(required), clinvar))
+    return passed.drop("q")
 
 
 def freq_and_distance(df: DataFrame) -> DataFrame:

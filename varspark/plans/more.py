@@ -333,20 +333,50 @@ def vcf_strucvars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(F.size("callers") == 2).groupBy("case_id", "sv_type", F.col("strand_orientation").alias("orientation")).agg(F.count("*").alias("n"), F.sum("pos").cast("long").alias("pos"), F.sum("sv_end").cast("long").alias("sv_end"), F.sum(index["pr_cov"]).cast("long").alias("pr_cov"), F.count_if(index["gt"] == "0/1").alias("het"))
 
 
-@query(""", q AS (SELECT case_id, v.query_id, v.most, v.term, v.chrom FROM (SELECT DISTINCT case_id FROM fx_calls) AS c CROSS JOIN (VALUES ('rare', 2, NULL, NULL), ('stop', 6, 'stop_gained', NULL), ('region', 6, NULL, 3)) AS v(query_id, most, term, chrom))
+GIVEN = f"""given AS (SELECT c.*, {R.GI} AS gi, CASE WHEN case_id % 3 < 2 THEN {R.GF} END AS gf, CASE WHEN case_id % 3 = 0 THEN {R.GM} END AS gm FROM fx_calls c),
+judged AS (SELECT *, chrom_no < 22 AND gi = 'hom' AND coalesce(gf, 'het') = 'het' AND coalesce(gm, 'het') = 'het' OR chrom_no = 22 AND gi = 'hom' AND coalesce(gf, 'ref') = 'ref' AND coalesce(gm, 'het') = 'het' AS as_hom,
+  chrom_no < 22 AND gi = 'het' AND coalesce(gf, '') <> 'hom' AND coalesce(gm, '') <> 'hom' AND NOT coalesce(gf = 'het' AND gm = 'het', false) AND NOT coalesce(gf = 'ref' AND gm = 'ref', false) AS as_het,
+  gi = 'het' AND coalesce(gf IN ('ref', 'het'), true) AND coalesce(gm IN ('ref', 'het'), true) AND coalesce(gf <> gm, true) AS one_each FROM given),
+modes(query_id, has_hom, has_het) AS (VALUES ('any', true, true), ('homozygous', true, false), ('compound-heterozygous', false, true)),
+fitting AS (SELECT query_id, j.*, as_hom AND has_hom AS fits_hom, as_het AND has_het AS fits_het FROM judged j, modes WHERE as_hom AND has_hom OR as_het AND has_het),
+by_gene AS (SELECT query_id, case_id, gene_id FROM fitting GROUP BY query_id, case_id, gene_id HAVING bool_or(fits_hom) OR (count(CASE WHEN fits_het AND one_each THEN 1 END) >= 2
+  AND (case_id % 3 = 2 OR bool_or(fits_het AND one_each AND gf = 'het') AND bool_or(fits_het AND one_each AND gf = 'ref')) AND (case_id % 3 <> 0 OR bool_or(fits_het AND one_each AND gm = 'het') AND bool_or(fits_het AND one_each AND gm = 'ref')))),"""
+LEAST_GQ = R.quality_sql("index").replace("gq < 20", "gq < case_id").replace("dp < 10", "dp < 8")
+
+
+@query(f""", {GIVEN} q AS (SELECT case_id, v.query_id, v.most, v.term, v.chrom FROM (SELECT DISTINCT case_id FROM fx_calls) AS c CROSS JOIN (VALUES ('rare', 2, NULL, NULL), ('stop', 6, 'stop_gained', NULL), ('region', 6, NULL, 3)) AS v(query_id, most, term, chrom))
 SELECT case_id, query_id, count(*) AS n, cast(sum(site_id) AS bigint) AS sites FROM fx_calls JOIN q USING (case_id) WHERE (chrom_no = 24 OR het <= most) AND (term IS NULL OR chrom_no = 24 OR csq = term)
-  AND (q.chrom IS NULL OR (chrom_no = q.chrom AND pos BETWEEN 20000 AND 90000) OR chrom_no = 7) AND """ + f"{R.GI} IN ('het', 'hom') AND ({R.GM} = 'ref' OR gt_mother LIKE '%.%') GROUP BY case_id, query_id", "fx_calls")
+  AND (q.chrom IS NULL OR (chrom_no = q.chrom AND pos BETWEEN 20000 AND 90000) OR chrom_no = 7) AND {R.GI} IN ('het', 'hom') AND ({R.GM} = 'ref' OR gt_mother LIKE '%.%') GROUP BY case_id, query_id
+UNION ALL SELECT case_id, query_id, count(*), cast(sum(site_id) AS bigint) FROM fitting JOIN by_gene USING (query_id, case_id, gene_id) GROUP BY case_id, query_id
+UNION ALL SELECT case_id, 'quality', count(*), cast(sum(site_id) AS bigint) FROM fx_calls WHERE {LEAST_GQ} GROUP BY case_id
+UNION ALL SELECT case_id, 'clinvar', count(*), cast(sum(site_id) AS bigint) FROM fx_calls WHERE {R.GI} = 'het' AND CASE site_id % 4 WHEN 1 THEN case_id % 2 = 0 WHEN 2 THEN true WHEN 3 THEN case_id % 3 = 0 ELSE false END GROUP BY case_id""", "fx_calls")
 def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings of every case in JSON files, three queries a case, applied to all cases by one join."""
-    cases = view(spark, sf_dir, "fx_calls").select(F.col("case_id").cast("string").alias("case_id")).distinct()
-    rows = cases.join(spark.createDataFrame([("rare", 2, None, None), ("stop", 6, "stop_gained", None), ("region", 6, None, "chr4")], "query_id string, most int, term string, chrom string"))
-    who = F.array(F.struct(F.lit("index").alias("sample"), F.lit("variant").alias("genotype"), F.lit(False).alias("include_no_call")), F.struct(F.lit("mother").alias("sample"), F.lit("ref").alias("genotype"), F.lit(True).alias("include_no_call")))
-    regions = F.when(F.col("chrom").isNotNull(), F.array(F.struct("chrom", F.lit(20000).alias("start"), F.lit(90000).alias("stop")), F.struct(F.lit("8").alias("chrom"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))))
-    text = F.to_json(F.struct("query_id", "case_id", who.alias("sample_genotypes"), F.struct(F.lit(True).alias("enabled"), F.col("most").alias("max_het")).alias("gnomad_exomes"), F.when(F.col("term").isNotNull(), F.array("term")).alias("consequences"), regions.alias("region_allowlist")))
+    """Settings of every case in JSON files, eight queries a case, applied to all cases by one job: frequencies, consequences, regions,
+    genotypes, each recessive mode (of trios, pairs and single ones), qualities and ClinVar, with values that differ between cases."""
+    cases = view(spark, sf_dir, "fx_calls").select("case_id").distinct()
+    gene = lambda s, g, no_call=False: F.struct(F.lit(s).alias("sample"), F.lit(g).alias("genotype"), F.lit(no_call).alias("include_no_call"))
+    who = F.array(gene("index", "variant"), gene("mother", "ref", True))
+    k = F.col("case_id")
+    trio = F.array_compact(F.array(gene("index", "recessive-index"), F.when(k % 3 < 2, gene("father", "recessive-father")), F.when(k % 3 == 0, gene("mother", "recessive-mother"))))
+    region = lambda chrom, start, stop: F.struct(F.lit(chrom).alias("chrom"), F.lit(start).cast("int").alias("start"), F.lit(stop).cast("int").alias("stop"))
+    exomes = lambda n: F.struct(F.lit(True).alias("enabled"), F.lit(n).alias("max_het"))
+    least = {"filter_active": F.lit(True), "min_dp_het": F.lit(8), "min_dp_hom": F.lit(5), "min_ab": F.lit(0.2), "min_gq": k, "min_ad": F.lit(3), "max_ad": F.lit(45)}
+    qualities = F.array(F.struct(F.lit("index").alias("sample"), *(c.alias(n) for n, c in least.items())), F.struct(F.lit("nobody").alias("sample"), F.lit(False).alias("filter_active"), *(c.alias(n) for n, c in least.items() if n != "filter_active")))
+    classes = F.when(k % 2 == 0, F.array(F.lit("benign"), F.lit("likely-pathogenic"))).otherwise(F.array(F.lit("likely-pathogenic")))
+    own = {
+        "rare": {"sample_genotypes": who, "gnomad_exomes": exomes(2)}, "stop": {"sample_genotypes": who, "gnomad_exomes": exomes(6), "consequences": F.array(F.lit("stop_gained"))},
+        "region": {"sample_genotypes": who, "gnomad_exomes": exomes(6), "region_allowlist": F.array(region("chr4", 20000, 90000), region("8", None, None))},
+        **{m: {"recessive_mode": F.lit(m), "sample_genotypes": trio} for m in seqvars.MODES}, "quality": {"sample_qualities": qualities},
+        "clinvar": {"sample_genotypes": F.array(gene("index", "het")), "clinvar": F.struct(F.lit(True).alias("presence_required"), classes.alias("significances"), (k % 3 == 0).alias("allow_conflicting"))},
+    }
+    text = lambda name, c: F.struct(F.lit(name).alias("name"), F.to_json(F.struct(F.lit(name).alias("query_id"), k.cast("string").alias("case_id"), *(x.alias(n) for n, x in c.items()))).alias("text"))
     path = new_path(spark, "settings")
-    rows.select("case_id", "query_id", text.alias("text")).repartition("case_id", "query_id").write.partitionBy("case_id", "query_id").text(path)
+    cases.select("case_id", F.explode(F.array(*(text(n, c) for n, c in own.items()))).alias("x")).select("case_id", "x.*").repartition("case_id", "name").write.partitionBy("case_id", "name").text(path)
     queries = tables.load_queries(spark, [f"{path}/*/*"]).withColumn("case_id", F.col("case_id").cast("long"))
-    passed = seqvars.filter_by_queries(R.trio_variants(spark, sf_dir), queries)
+    rows = R.trio_variants(spark, sf_dir).withColumn("chrom", F.expr(CHROM))
+    words = F.get(F.array(*map(F.lit, ("x", "Benign", "Pathogenic/Likely pathogenic", "Likely benign"))), (F.col("site_id") % 4).cast("int"))
+    known = rows.select("site_id", "chrom", "pos", "ref", "alt").distinct().where("site_id % 4 <> 0").select("chrom", "pos", "ref", "alt", F.lit(1).alias("record_no"), words.alias("significance"), (F.col("site_id") % 4 == 3).alias("conflicting"))
+    passed = seqvars.filter_by_queries(rows, queries, known)
     return passed.groupBy("case_id", "query_id").agg(F.count("*").alias("n"), F.sum("site_id").cast("long").alias("sites"))
 
 
