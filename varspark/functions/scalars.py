@@ -137,10 +137,10 @@ def accession_parts(text: Column) -> Column:
     return F.struct(F.split_part(text, F.lit("."), F.lit(1)).alias("accession"), F.split_part(text, F.lit("."), F.lit(2)).try_cast("int").alias("version"))
 
 
-def location_of(consequences: Column) -> Column:
-    """Exon, Upstream, Downstream or Intron from consequence terms; exon where none says otherwise."""
-    has = lambda term: F.array_contains(consequences, term)
-    return F.when(has("upstream_gene_variant"), "Upstream").when(has("downstream_gene_variant"), "Downstream").when(has("intron_variant"), "Intron").otherwise("Exon")
+def location_of(consequences: Column, distance: Column) -> Column:
+    """Exon where an annotation has no distance to the next exon, else Upstream or Downstream by its terms, else Intron."""
+    has = lambda term: F.coalesce(F.array_contains(consequences, term), F.lit(False))
+    return F.when(distance.isNull(), "Exon").when(has("upstream_gene_variant"), "Upstream").when(has("downstream_gene_variant"), "Downstream").otherwise("Intron")
 
 
 def genome_bin(begin: Column, end: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varspark.functions.scalars import allele_frequency, ensembl_id, genome_bin, location_of, rcv_id, reciprocal_overlap, shown_consequences
+from varspark.functions.scalars import CHROMOSOMES, accession_parts, allele_frequency, ensembl_id, genome_bin, location_of, rcv_id, reciprocal_overlap, row_id, shown_consequences
 from varspark.operators.intervals import nearest, range_join, sv_probe
-from varspark.operators.stats import any_disease_gene
+from varspark.operators.stats import CADD_SCORES, DBNSFP_SCORES, any_disease_gene, collect_scores
 
 EFFECTS = ("transcript_variant", "exon_variant", "splice_region_variant", "intron_variant", "upstream_variant", "downstream_variant", "intergenic_variant")
 
@@ -130,35 +130,71 @@ def gene_details(ids: DataFrame, xlink: DataFrame, acmg: DataFrame, disease: Dat
     return out.select("gene_id", "symbol", "entrez_id", "ensembl", F.coalesce("is_acmg", F.lit(False)).alias("is_acmg"), F.coalesce("is_disease_gene", F.lit(False)).alias("is_disease_gene"))
 
 
-def annotate_genes(df: DataFrame, genes: DataFrame) -> DataFrame:
-    """df with `gene`: identity, consequences, location, transcript and rank (ordinal and total) of the first annotation, and the gene
-    table's columns (by hgnc_id, which must be unique); scores that are null there count as 0."""
+#: The constraint scores of the gene block by their source.
+CONSTRAINTS = {
+    "gnomad": ("gnomad_constraints", ("mis_z", "oe_lof", "oe_lof_lower", "oe_lof_upper", "oe_mis", "oe_mis_lower", "oe_mis_upper", "pli", "syn_z")),
+    "decipher": ("decipher_hi", ("p_hi", "hi_index")),
+    "rcnv": ("rcnv", ("p_haplo", "p_triplo")),
+    "shet": ("shet", ("s_het",)),
+}
+
+
+def annotate_genes(df: DataFrame, genes: DataFrame, modes: DataFrame) -> DataFrame:
+    """df with `gene`, from the first annotation; null where that names no gene id and symbol.
+
+    It has identity (hgnc_id, gene_symbol); consequences (hgvs_t, hgvs_p, the terms that the output knows, tx_accession and tx_version,
+    location, rank_ord and rank_total); phenotypes (is_acmg_sf, is_disease_gene, mode_of_inheritances) and constraints by source, both null
+    for a gene without a record. A score that is missing within a source is 0, a source that a gene doesn't have is null.
+    genes: GENES of sources.tables, hgnc_id unique; modes: hgnc_id, modes.
+    """
     first = F.try_element_at("ann", F.lit(1))
     fields = df.schema["ann"].dataType.elementType.fieldNames()
-    own = lambda name: first[name] if name in fields else F.lit(None).cast("string")
+    own = lambda name: F.nullif(first[name], F.lit("")) if name in fields else F.lit(None).cast("string")
     rank = F.split(own("rank"), "/")
-    scores = [f.name for f in genes.schema if f.dataType.simpleString() == "double"]
-    rest = [c for c in genes.columns if c not in ("hgnc_id", *scores)]
-    joined = df.withColumn("_gene", first["gene_id"]).join(genes.withColumnsRenamed({c: f"_g_{c}" for c in genes.columns}), F.col("_gene") == F.col("_g_hgnc_id"), "left")
-    ranked = F.when(own("rank").isNotNull(), F.struct(F.get(rank, F.lit(0)).try_cast("int").alias("ord"), F.get(rank, F.lit(1)).try_cast("int").alias("total")))
-    gene = F.struct(F.col("_gene").alias("hgnc_id"), shown_consequences(first["consequences"]).alias("consequences"), location_of(first["consequences"]).alias("location"), own("feature_id").alias("tx_accession"), ranked.alias("rank"), *(F.coalesce(f"_g_{c}", F.lit(0.0)).alias(c) for c in scores), *(F.col(f"_g_{c}").alias(c) for c in rest))
-    return joined.withColumn("gene", gene).drop("_gene", *(f"_g_{c}" for c in genes.columns))
+    accession = accession_parts(own("feature_id"))
+    block = lambda source, names: F.when(F.col(source).isNotNull(), F.struct(*(F.coalesce(F.col(f"{source}.{n}"), F.lit(0.0)).cast("float").alias(n) for n in names)))
+    constraints = [block(source, names).alias(name) for name, (source, names) in CONSTRAINTS.items()]
+    clingen = F.when(F.col("clingen").isNotNull(), F.struct(F.col("clingen.haploinsufficiency_score").alias("haplo"), F.col("clingen.triplosensitivity_score").alias("triplo")))
+    disease = F.col("omim").isNotNull() | F.col("orpha").isNotNull()
+    table = genes.join(modes.select("hgnc_id", "modes"), "hgnc_id", "left").select(
+        F.col("hgnc_id").alias("_id"),
+        F.struct(F.col("acmg_sf").isNotNull().alias("is_acmg_sf"), disease.alias("is_disease_gene"), F.coalesce("modes", F.array().cast("array<string>")).alias("mode_of_inheritances")).alias("_phenotypes"),
+        F.struct(*constraints, clingen.alias("clingen")).alias("_constraints"),
+    )
+    named = df.withColumn("_gene", F.when(own("gene_symbol").isNotNull(), own("gene_id")))
+    joined = named.join(table, F.col("_gene") == F.col("_id"), "left")
+    consequences = F.struct(own("hgvs_c").alias("hgvs_t"), own("hgvs_p").alias("hgvs_p"), shown_consequences(first["consequences"]).alias("consequences"), accession["accession"].alias("tx_accession"), accession["version"].alias("tx_version"), location_of(first["consequences"], first["distance"]).alias("location"), F.get(rank, F.lit(0)).try_cast("int").alias("rank_ord"), F.get(rank, F.lit(1)).try_cast("int").alias("rank_total"))
+    identity = F.struct(F.col("_gene").alias("hgnc_id"), own("gene_symbol").alias("gene_symbol"))
+    gene = F.struct(identity.alias("identity"), consequences.alias("consequences"), F.col("_phenotypes").alias("phenotypes"), F.col("_constraints").alias("constraints"))
+    return joined.withColumn("gene", F.when(F.col("_gene").isNotNull(), gene)).drop("_gene", "_id", "_phenotypes", "_constraints")
+
 
+def annotate_variants(df: DataFrame, dbsnp: DataFrame, clinvar: DataFrame, cadd: DataFrame, dbnsfp: DataFrame) -> DataFrame:
+    """df with rs_id, frequency block, clinvar block and scores (a map of texts, see stats.collect_scores), by chrom, pos, ref, alt.
 
-def annotate_variants(df: DataFrame, dbsnp: DataFrame, clinvar: DataFrame, scores: DataFrame) -> DataFrame:
-    """df with rs_id, frequency block, clinvar block and scores, by chrom, pos, ref, alt. Of several rows of a variant the least rs, the
-    first ClinVar record and the least scores count. The in-house block has no frequency of its own: 0."""
+    Of several rows of a variant the least rs, the first ClinVar record and the least row of a score table count. The ClinVar block
+    (vcv_accession with its version, significance, review status) is null without a germline significance. The in-house frequency block
+    has no frequency of its own: 0. Tables laid out by variant (sources.tables.write_point_table) are read without a shuffle.
+    """
     key = ["chrom", "pos", "ref", "alt"]
     snp = dbsnp.groupBy(*key).agg(F.min("rs").alias("_rs"))
-    cv = clinvar.groupBy(*key).agg(F.min_by(F.struct("vcv", "significance"), "record_no").alias("clinvar"))
-    names = [c for c in scores.columns if c not in key]
-    sc = scores.groupBy(*key).agg(F.min(F.struct(*names)).alias("scores"))
+    cv = clinvar.groupBy(*key).agg(F.min_by(F.struct("vcv", "version", "significance", "review_status"), "record_no").alias("_cv"))
+
+    def scores(table: DataFrame, declared, name: str) -> DataFrame:
+        names = [F.col(f"`{c}`") for c in table.columns if c not in key]
+        one = table.groupBy(*key).agg(F.min(F.struct(*names)).alias("_s")).select(*key, "_s.*")
+        return one.select(*key, collect_scores(one, declared).alias(name))
+
     zero = F.lit(0.0).cast("float")
     nuclear = lambda c, af=None: F.struct((allele_frequency(c["an"], c["hom"], c["het"], c["hemi"]) if af is None else af).alias("af"), c["an"].alias("an"), c["hom"].alias("hom"), c["het"].alias("het"), c["hemi"].alias("hemi"))
     mito = lambda c: F.struct(allele_frequency(c["an"], c["hom"], c["het"]).alias("af"), c["an"].alias("an"), c["hom"].alias("hom"), c["het"].alias("het"))
     frequency = F.struct(nuclear(F.col("gnomad_exomes")).alias("exomes"), nuclear(F.col("gnomad_genomes")).alias("genomes"), mito(F.col("gnomad_mtdna")).alias("mtdna"), mito(F.col("helixmtdb")).alias("helixmtdb"), nuclear(F.col("inhouse"), zero).alias("inhouse"))
-    out = df.join(snp, key, "left").join(cv, key, "left").join(sc, key, "left")
-    return out.withColumns({"rs_id": F.when(F.col("_rs").isNotNull(), F.concat(F.lit("rs"), F.col("_rs").cast("string"))), "frequency": frequency}).drop("_rs")
+    out = df.join(snp, key, "left").join(cv, key, "left").join(scores(cadd, CADD_SCORES, "_cadd"), key, "left").join(scores(dbnsfp, DBNSFP_SCORES, "_dbnsfp"), key, "left")
+    known = F.struct(F.concat_ws(".", F.col("_cv.vcv"), F.col("_cv.version").cast("string")).alias("vcv_accession"), F.col("_cv.significance").alias("significance"), F.col("_cv.review_status").alias("review_status"), F.col("_cv.significance").alias("effective_significance"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    both = F.map_concat(F.coalesce("_cadd", none), F.coalesce("_dbnsfp", none))
+    rs = F.when(F.col("_rs").isNotNull(), F.concat(F.lit("rs"), F.col("_rs").cast("string")))
+    return out.withColumns({"rs_id": rs, "frequency": frequency, "clinvar": F.when(F.col("_cv.significance").isNotNull(), known), "scores": both}).drop("_rs", "_cv", "_cadd", "_dbnsfp")
 
 
 def annotate_calls(df: DataFrame) -> DataFrame:
@@ -179,15 +215,54 @@ def assemble_sv_results(svs: DataFrame, **parts: DataFrame) -> DataFrame:
     return out
 
 
-def sv_payload(svs: DataFrame, counts: DataFrame, masked: DataFrame, effects: DataFrame, distances: DataFrame, clinvar: DataFrame, pathogenic: DataFrame) -> DataFrame:
-    """The result rows of structural variants: place, size, bins and one JSON payload with background counts, masked breakpoints, effects by
-    gene, distance to the next domain boundary, ClinVar ids and known pathogenic variants. Each part is joined by sv_id."""
-    by_gene = effects.where("gene_id IS NOT NULL").groupBy("sv_id").agg(F.array_sort(F.collect_list(F.struct("gene_id", "effects"))).alias("tx_effects"))
+def resolved_genes(pairs: DataFrame, details: DataFrame, name: str) -> DataFrame:
+    """(sv_id, <name>, <name>_disease) of (sv_id, gene_id): the details of a variant's genes (one or more each) in order of their ids."""
+    rows = pairs.select("sv_id", "gene_id").distinct().join(details, "gene_id", "left")
+    gene = F.struct(F.col("gene_id").alias("hgnc_id"), "symbol", F.col("ensembl").alias("ensembl_id"), "entrez_id", F.coalesce("is_acmg", F.lit(False)).alias("is_acmg"), F.coalesce("is_disease_gene", F.lit(False)).alias("is_disease_gene"))
+    out = rows.groupBy("sv_id").agg(F.array_sort(F.collect_list(gene)).alias(name))
+    return out.withColumn(f"{name}_disease", any_disease_gene(F.col(name)))
+
+
+def sv_bins() -> tuple[Column, Column]:
+    """The genome bins of a variant: of its span, of INS the point before it, of BND that and the second end. 0 where there is no second."""
+    point = genome_bin(F.greatest(F.col("pos") - 2, F.lit(0)), F.greatest(F.col("pos") - 1, F.lit(1)))
+    first = F.when(F.col("sv_type").isin("INS", "BND"), point).otherwise(genome_bin(F.col("pos") - 1, F.col("sv_end")))
+    return first, F.when(F.col("sv_type") == "BND", genome_bin(F.col("sv_end") - 1, F.col("sv_end"))).otherwise(0)
+
+
+def sv_payload(svs: DataFrame, release: str, counts: DataFrame, masked: DataFrame, effects: DataFrame, distances: DataFrame, clinvar: DataFrame, pathogenic: DataFrame, genes: DataFrame, domain_genes: DataFrame, details: DataFrame) -> DataFrame:
+    """The result rows of structural variants: id, release, both places with their bins, orientation, type, sub type, and `payload`, a struct.
+
+    It holds callers, ClinVar ids, overlapping genes and those of the domains around (with details, and whether any is a disease gene),
+    known pathogenic variants, call info by sample (with the effective and the matched genotypes), length, background counts, masked
+    breakpoints, distance to the next domain boundary, and transcript effects by gene. svs: with callers, strand_orientation, sv_sub_type
+    and `matched` of match_criteria where genotypes were asked; the other parts are joined by sv_id. genes, domain_genes: (sv_id, gene_id).
+    """
+    by_gene = effects.where("gene_id IS NOT NULL").join(details, "gene_id", "left")
+    gene = F.struct(F.col("gene_id").alias("hgnc_id"), "symbol", F.col("ensembl").alias("ensembl_id"), "entrez_id", F.coalesce("is_acmg", F.lit(False)).alias("is_acmg"), F.coalesce("is_disease_gene", F.lit(False)).alias("is_disease_gene"))
+    by_gene = by_gene.groupBy("sv_id").agg(F.array_sort(F.collect_list(F.struct(gene.alias("gene"), F.col("effects").alias("transcript_effects")))).alias("tx_effects"))
     block = lambda df, name: df.select("sv_id", F.struct(*(c for c in df.columns if c != "sv_id")).alias(name))
+    parts = [block(counts, "overlap_counts"), block(masked, "masked_breakpoints"), by_gene, distances.withColumnRenamed("distance", "tad_boundary_distance"), clinvar.withColumnRenamed("rcvs", "clinvar_ovl_rcvs")]
+    parts += [pathogenic.withColumnRenamed("pathogenic", "known_pathogenic"), resolved_genes(genes, details, "ovl_genes"), resolved_genes(domain_genes, details, "tad_genes")]
     out = svs
-    for part in (block(counts, "overlap_counts"), block(masked, "masked_breakpoints"), by_gene, distances.withColumnRenamed("distance", "tad_boundary_distance"), clinvar.withColumnRenamed("rcvs", "clinvar_ovl_rcvs"), pathogenic.withColumnRenamed("pathogenic", "known_pathogenic")):
+    for part in parts:
         out = out.join(part, "sv_id", "left")
+    kinds = {f.name: f.dataType.simpleString() for f in out.schema}
+    listed = lambda name: F.coalesce(F.col(name), F.array().cast(kinds[name])).alias(name)
     size = F.when(~F.col("sv_type").isin("INS", "BND"), F.col("sv_end") - F.col("pos") + 1)
-    body = F.to_json(F.struct("sv_type", size.alias("sv_length"), "overlap_counts", "masked_breakpoints", "tx_effects", "tad_boundary_distance", "clinvar_ovl_rcvs", "known_pathogenic"))
-    begin, end = sv_probe(F.col("pos"), F.col("sv_end"), F.col("sv_type"), 0)
-    return out.select("sv_id", "case_id", "chrom_no", F.coalesce("chrom_no2", "chrom_no").alias("chrom_no2"), F.col("pos").alias("start"), F.col("sv_end").alias("end"), genome_bin(begin, end).alias("bin"), "sv_type", body.alias("payload"))
+    fields = svs.schema["calls"].dataType.elementType.fieldNames()
+    of = lambda c: F.get(F.filter("matched", lambda m: m["sample"] == c["sample"]), F.lit(0))
+    extra = lambda c: [of(c)["effective"].alias("effective_genotype"), of(c)["genotypes"].alias("matched_gt_criteria")] if "matched" in svs.columns else []
+    info = F.map_from_entries(F.transform("calls", lambda c: F.struct(c["sample"].alias("key"), F.struct(*(c[f].alias("genotype" if f == "gt" else "quality" if f == "gq" else f) for f in fields if f != "sample"), *extra(c)).alias("value"))))
+    payload = F.struct(
+        listed("callers"), listed("clinvar_ovl_rcvs"), listed("ovl_genes"), listed("tad_genes"), listed("known_pathogenic"), info.alias("call_info"), F.coalesce("ovl_genes_disease", F.lit(False)).alias("ovl_disease_gene"),
+        F.coalesce("tad_genes_disease", F.lit(False)).alias("tad_disease_gene"), size.alias("sv_length"), "overlap_counts", "masked_breakpoints", "tad_boundary_distance", listed("tx_effects"),
+    )
+    first, second = sv_bins()
+    second_no = F.coalesce("chrom_no2", "chrom_no")
+    contig = lambda no: F.concat(F.lit("chr" if release == "grch38" else ""), F.get(F.array(*map(F.lit, CHROMOSOMES)), no.cast("int")))
+    return out.select(
+        "sv_id", row_id(F.lit(release), F.col("case_id"), F.col("sv_id")).alias("row_id"), F.lit({"grch37": "GRCh37", "grch38": "GRCh38"}[release]).alias("release"), "case_id",
+        contig(F.col("chrom_no")).alias("chromosome"), "chrom_no", first.alias("bin"), contig(second_no).alias("chromosome2"), second_no.alias("chrom_no2"), second.alias("bin2"),
+        F.col("pos").alias("start"), F.col("sv_end").alias("end"), F.col("strand_orientation").alias("pe_orientation"), "sv_type", "sv_sub_type", payload.alias("payload"),
+    )

@@ -14,6 +14,8 @@ from varspark.sources import sinks, tables, vcf
 from varspark.sources.scratch import new_path, text_of
 from varspark.streaming import counts as stream
 
+CHROM = "CASE chrom_no WHEN 22 THEN 'X' WHEN 23 THEN 'Y' WHEN 24 THEN 'MT' ELSE cast(chrom_no + 1 AS string) END"
+
 # structural variants: wide intervals, filters
 
 
@@ -124,24 +126,64 @@ def sv_disease(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sv_id", "genes_any_disease", "genes").select("sv_id", F.col("genes_any_disease").alias("any_disease"), F.coalesce(F.size("genes"), F.lit(0)).cast("long").alias("genes")).withColumn("genes", F.greatest("genes", F.lit(0).cast("long")))
 
 
-@query(R.HITS + f""", {MASKED} SELECT sv_id, chrom_no AS chrom_no2, CASE WHEN sv_type IN ('INS', 'BND') THEN NULL ELSE sv_end - pos + 1 END AS sv_length, count_dgv AS dgv, segdup, CASE WHEN sv_type IN ('INS', 'BND') THEN NULL ELSE sv_id % 7 END AS rcvs, sv_type FROM fx_sv JOIN tally USING (sv_id) JOIN masked USING (sv_id)""", "fx_sv", "fx_bg", "fx_region")
+GENE_SQL = "concat(gene_id, ' ', 'SYM', cast(g AS varchar), ' ENSG', lpad(cast(g + 100000 AS varchar), 11, '0'), ' ', cast(g + 5000 AS varchar), CASE WHEN g % 7 = 0 THEN ' acmg' ELSE '' END, CASE WHEN g % 3 = 0 THEN ' disease' ELSE '' END)"
+BIN_SQL = "CASE WHEN cast(floor(({0}) / 131072) AS bigint) = cast(floor(({1} - 1) / 131072) AS bigint) THEN 585 + cast(floor(({0}) / 131072) AS bigint) ELSE 73 + cast(floor(({0}) / 1048576) AS bigint) END"
+
+
+@query(R.EFFECTS + R.HITS + f""", {MASKED}, tx AS (SELECT tx_id, gene_id, chrom_no, min(exon_start) AS tb, max(exon_end) AS te, any_value(cast(split_part(gene_id, ':', 2) AS bigint)) AS g FROM fx_exon GROUP BY tx_id, gene_id, chrom_no),
+probed AS (SELECT sv_id, chrom_no, pos - 1 AS pb, CASE WHEN sv_type IN ('INS', 'BND') THEN pos ELSE sv_end END AS pe FROM fx_sv),
+direct AS (SELECT DISTINCT sv_id, gene_id, g FROM probed p JOIN tx ON p.chrom_no = tx.chrom_no AND pb < te AND pe > tb),
+wide AS (SELECT sv_id, chrom_no, CASE WHEN sv_type IN ('INS', 'BND') THEN pos - 51 ELSE pos - 1 END AS pb, CASE WHEN sv_type IN ('INS', 'BND') THEN pos + 50 ELSE sv_end END AS pe FROM fx_sv UNION SELECT sv_id, chrom_no, sv_end - 51, sv_end + 50 FROM fx_sv WHERE sv_type = 'BND'),
+doms AS (SELECT DISTINCT sv_id, r.chrom_no, r.b, r.e FROM wide w JOIN fx_region r ON w.chrom_no = r.chrom_no AND pb < e AND pe > b AND kind = 'tad'),
+around AS (SELECT DISTINCT sv_id, gene_id, g FROM doms d JOIN tx ON d.chrom_no = tx.chrom_no AND d.b < te AND d.e > tb WHERE (sv_id, gene_id) NOT IN (SELECT (sv_id, gene_id) FROM direct)),
+genes AS (SELECT sv_id, string_agg({GENE_SQL}, ',' ORDER BY gene_id) AS genes, bool_or(g % 3 = 0) AS disease FROM direct GROUP BY sv_id),
+tads AS (SELECT sv_id, string_agg({GENE_SQL}, ',' ORDER BY gene_id) AS genes, bool_or(g % 3 = 0) AS disease FROM around GROUP BY sv_id),
+edges AS (SELECT chrom_no, e AS spot FROM fx_region WHERE kind = 'tad' UNION SELECT chrom_no, min(b) FROM fx_region WHERE kind = 'tad' GROUP BY chrom_no),
+sides AS (SELECT sv_id, chrom_no, pos AS p FROM fx_sv UNION SELECT sv_id, chrom_no, CASE WHEN sv_type IN ('INS', 'BND') THEN pos ELSE sv_end END FROM fx_sv),
+far AS (SELECT sv_id, min(CASE WHEN abs(p - spot) <= 10000 THEN abs(p - spot) END) AS distance FROM sides LEFT JOIN edges USING (chrom_no) GROUP BY sv_id),
+patho AS (SELECT sv_id, count(DISTINCT region_id) AS n, cast(sum(DISTINCT region_id) AS bigint) AS ids FROM fx_sv s JOIN fx_region r ON s.chrom_no = r.chrom_no AND kind = 'segdup' AND sv_type NOT IN ('INS', 'BND') AND pos - 1 < e AND sv_end > b GROUP BY sv_id),
+named AS (SELECT DISTINCT tx_id, gene_id FROM fx_exon), by_gene AS (SELECT sv_id, gene_id, string_agg(effect, '+' ORDER BY effect) AS e FROM more WHERE gene_id IS NOT NULL GROUP BY sv_id, gene_id),
+told AS (SELECT sv_id, string_agg(concat(gene_id, '=', e), ',' ORDER BY gene_id) AS effects FROM by_gene GROUP BY sv_id)
+SELECT sv_id, case_id, 'GRCh37' AS release, {CHROM.replace("cast(chrom_no + 1 AS string)", "cast(chrom_no + 1 AS varchar)").replace("'MT'", "'M'")} AS chromosome, chrom_no AS chrom_no2, {BIN_SQL.format("CASE WHEN sv_type IN ('INS', 'BND') THEN pos - 2 ELSE pos - 1 END", "CASE WHEN sv_type IN ('INS', 'BND') THEN pos - 1 ELSE sv_end END")} AS bin,
+  CASE WHEN sv_type = 'BND' THEN {BIN_SQL.format("sv_end - 1", "sv_end")} ELSE 0 END AS bin2, pos AS start, sv_end AS "end", CASE sv_type WHEN 'DEL' THEN '3to5' WHEN 'DUP' THEN '5to3' ELSE 'NA' END AS pe_orientation, sv_type, sv_type AS sv_sub_type,
+  CASE sv_id % 2 WHEN 0 THEN 'Delly,Manta' ELSE 'Manta' END AS callers, CASE WHEN sv_type IN ('INS', 'BND') THEN 0 ELSE sv_id % 7 + 1 END AS rcvs, coalesce(genes.genes, '') AS ovl_genes, coalesce(tads.genes, '') AS tad_genes, coalesce(patho.n, 0) AS known, patho.ids AS known_ids,
+  concat(gt, ' ', cast(sv_id % 99 AS varchar), ' ', CASE WHEN sv_id % 99 >= 50 THEN 'hom het,hom' ELSE 'het het' END) AS call, coalesce(genes.disease, false) AS ovl_disease_gene, coalesce(tads.disease, false) AS tad_disease_gene, CASE WHEN sv_type IN ('INS', 'BND') THEN NULL ELSE sv_end - pos + 1 END AS sv_length,
+  count_dgv, count_gnomad, count_inhouse, segdup, repeats, distance, coalesce(effects, '') AS effects
+FROM fx_sv JOIN tally USING (sv_id) JOIN masked USING (sv_id) LEFT JOIN genes USING (sv_id) LEFT JOIN tads USING (sv_id) LEFT JOIN far USING (sv_id) LEFT JOIN patho USING (sv_id) LEFT JOIN told USING (sv_id)""", "fx_exon", "fx_sv", "fx_bg", "fx_region")
 def sv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of structural variants, written as tab-separated text, read back and taken apart."""
-    svs = R.sv_table(spark, sf_dir)
+    """Result rows of structural variants with their whole payload, written as tab-separated text, read back and compared part by part."""
+    svs = R.sv_table(spark, sf_dir).drop("gt").withColumns({"callers": F.when(F.col("sv_id") % 2 == 0, F.array(F.lit("Delly"), F.lit("Manta"))).otherwise(F.array(F.lit("Manta"))), "strand_orientation": reshape.strand_orientation(F.lit("<X>"), F.col("sv_type"))})
+    all_types = ["DEL", "DUP", "INV", "INS", "BND"]
+    asked = {"genotype": {"index": "any"}, "genotype_criteria": [{"genotype": "het", "select_sv_sub_type": all_types}, {"genotype": "hom", "select_sv_sub_type": all_types, "min_gq": 50}]}
+    svs = strucvars.match_criteria(svs.withColumns({"masked_segdup": F.lit(0), "masked_repeat": F.lit(0)}), asked).drop("masked_segdup", "masked_repeat", "pass_all")
     counted = intervals.overlap_counts(svs, view(spark, sf_dir, "fx_bg"), R.SOURCES, 0.75)
     masked = intervals.masked_breakpoints(svs, view(spark, sf_dir, "fx_region"), ["segdup", "repeat"])
     effects = annotate.tx_effects(svs, annotate.tx_regions(view(spark, sf_dir, "fx_exon")))
     distances = annotate.nearest_boundary(svs, annotate.tad_boundaries(R.domains(spark, sf_dir)))
     rcvs = svs.where("sv_type NOT IN ('INS', 'BND')").select("sv_id", F.transform(F.sequence(F.lit(0), (F.col("sv_id") % 7).cast("int")), S.rcv_id).alias("rcvs"))
     known = annotate.pathogenic_overlaps(svs, view(spark, sf_dir, "fx_region").where("kind = 'segdup'").select("chrom_no", "b", "e", F.col("region_id").alias("id")))
-    rows = annotate.sv_payload(svs, counted, masked, effects, distances, rcvs, known)
+    transcripts = R.transcripts(spark, sf_dir)
+    links = R.xlink(spark, sf_dir)
+    no = F.col("entrez_id") - 5000
+    details = annotate.gene_details(links.select(F.col("hgnc_id").alias("gene_id")), links, links.where(no % 7 == 0), links.where(no % 3 == 0))
+    rows = annotate.sv_payload(svs, "grch37", counted, masked, effects, distances, rcvs, known, annotate.gene_pairs(svs, transcripts), annotate.tad_genes(svs, R.domains(spark, sf_dir), transcripts), details)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     path = new_path(spark, "sv-results")
-    sinks.write_sv_results(rows, path, ["sv_type", "payload"])
-    back = spark.read.csv(path, sep="\t", header=True, quote="", escape="\\", schema="sv_id long, case_id long, chrom_no int, chrom_no2 long, start long, `end` long, bin long, payload string")
-    outer = F.from_json("payload", "sv_type string, payload string")
-    body = F.from_json(outer["payload"], "sv_length long, overlap_counts struct<count_dgv: long>, masked_breakpoints struct<masked_segdup: long>, clinvar_ovl_rcvs array<string>")
-    n = F.when(body["clinvar_ovl_rcvs"].isNotNull(), F.size(body["clinvar_ovl_rcvs"]).cast("long") - 1)
-    return back.select("sv_id", "chrom_no2", body["sv_length"].alias("sv_length"), body["overlap_counts"]["count_dgv"].alias("dgv"), body["masked_breakpoints"]["masked_segdup"].alias("segdup"), n.alias("rcvs"), outer["sv_type"].alias("sv_type"))
+    sinks.write_sv_results(rows, path)
+    back = spark.read.csv(path, sep="\t", header=True, quote="", escape="\\", schema=", ".join(f"`{c}` {'string' if c == 'payload' else k}" for c, k in kinds.items()))
+    p = F.from_json("payload", kinds["payload"])
+    gene = lambda g: F.concat_ws(" ", g["hgnc_id"], g["symbol"], g["ensembl_id"], g["entrez_id"].cast("string"), F.when(g["is_acmg"], "acmg"), F.when(g["is_disease_gene"], "disease"))
+    genes = lambda c: F.array_join(F.transform(c, gene), ",")
+    call = p["call_info"]["index"]
+    told = F.array_join(F.transform(p["tx_effects"], lambda t: F.concat(t["gene"]["hgnc_id"], F.lit("="), F.array_join(t["transcript_effects"], "+"))), ",")
+    ids = F.aggregate(p["known_pathogenic"], F.lit(0).cast("long"), lambda x, r: x + r["id"])
+    out = {
+        "callers": F.array_join(p["callers"], ","), "rcvs": F.size(p["clinvar_ovl_rcvs"]).cast("long"), "ovl_genes": genes(p["ovl_genes"]), "tad_genes": genes(p["tad_genes"]), "known": F.size(p["known_pathogenic"]).cast("long"), "known_ids": F.nullif(ids, F.lit(0)),
+        "call": F.concat_ws(" ", call["genotype"], call["quality"].cast("int").cast("string"), call["effective_genotype"], F.array_join(call["matched_gt_criteria"], ",")), "ovl_disease_gene": p["ovl_disease_gene"], "tad_disease_gene": p["tad_disease_gene"], "sv_length": p["sv_length"],
+        **{f"count_{s}": p["overlap_counts"][f"count_{s}"] for s in R.SOURCES}, "segdup": p["masked_breakpoints"]["masked_segdup"], "repeats": p["masked_breakpoints"]["masked_repeat"], "distance": p["tad_boundary_distance"], "effects": told,
+    }
+    back = back.where((F.length("row_id") == 64) & (F.col("chromosome") == F.col("chromosome2")))
+    return back.select("sv_id", "case_id", "release", "chromosome", "chrom_no2", "bin", "bin2", "start", "end", "pe_orientation", "sv_type", "sv_sub_type", *(c.alias(n) for n, c in out.items()))
 
 
 # readers
@@ -151,7 +193,6 @@ RAW = {  # the derived background rows as each source writes them; TYPE stands f
     "dbvar": ("b", "e", "cnt", "TYPE"), "dgv": ("b", "e", "TYPE", "cnt", "1"), "dgv_gs": ("b", "e", "TYPE", "cnt"), "exac": ("b", "e", "TYPE"), "g1k": ("b", "e", "TYPE", "cnt", "2"), "gnomad_sv2": ("b + 1", "e", "TYPE", "cnt", "3"),
     "gnomad_cnv4": ("b", "e", "TYPE", "100", "cnt"), "gnomad_sv4": ("b", "e", "TYPE", "9", "cnt", "1", "9", "1", "9", "1", "1", "9", "1"), "inhouse": ("b", "chrom", "e", "'NA'", "TYPE", "cnt", "1", "1", "0"),
 }
-CHROM = "CASE chrom_no WHEN 22 THEN 'X' WHEN 23 THEN 'Y' WHEN 24 THEN 'MT' ELSE cast(chrom_no + 1 AS string) END"
 #: Every type name of each published source, what it means (- : left out) and how a record counts, written out apart from the reader.
 PUBLISHED = {
     "dbvar": ("alu_insertion INS, herv_insertion INS, insertion INS, line1_insertion INS, mobile_element_insertion INS, novel_sequence_insertion INS, sva_insertion INS, copy_number_gain DUP, duplication DUP, tandem_duplication DUP, alu_deletion DEL, copy_number_loss DEL, deletion DEL, herv_deletion DEL, line1_deletion DEL, sva_deletion DEL, copy_number_variation CNV, deletion;insertion DEL, insertion;deletion;x INS", "1"),
@@ -555,34 +596,66 @@ def first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqvars.order_results(rows, 1000).groupBy("chrom", "pos", "case_id").agg(F.sum("calls").cast("long").alias("n"))
 
 
-@query("""
-SELECT chrom_no, count(*) AS n, cast(sum(CASE WHEN site_id % 2 = 0 THEN site_id END) AS bigint) AS rs, count(CASE WHEN site_id % 3 = 0 THEN 1 END) AS in_clinvar, cast(sum(CASE WHEN site_id % 5 = 0 THEN site_id % 40 END) AS double) AS cadd, cast(sum(het) AS bigint) AS inhouse_het, cast(0 AS double) AS inhouse_af, cast(sum(hom + het) AS bigint) AS mt_carried,
-  cast(sum(CASE WHEN cast(split_part(gene_id, ':', 2) AS bigint) % 2 = 0 THEN 0.5 ELSE 0 END) AS double) AS pli, concat('CONSEQUENCE_', upper(csq)) AS term, CASE csq WHEN 'intron_variant' THEN 'Intron' ELSE 'Exon' END AS location, 2 AS rank_ord, 5 AS rank_total FROM fx_calls GROUP BY chrom_no, csq""", "fx_calls")
+@query(""", own AS (SELECT *, cast(split_part(gene_id, ':', 2) AS bigint) AS g, site_id % 11 <> 0 AS named, site_id % 7 AS gain, site_id % 5 AS loss FROM fx_calls)
+SELECT chrom_no, CASE WHEN named THEN concat('CONSEQUENCE_', upper(csq), CASE site_id % 5 WHEN 0 THEN ',CONSEQUENCE_UPSTREAM_GENE_VARIANT' WHEN 1 THEN ',CONSEQUENCE_DOWNSTREAM_GENE_VARIANT' ELSE '' END) END AS term,
+  CASE WHEN NOT named THEN NULL WHEN site_id % 3 = 0 THEN 'Exon' WHEN site_id % 5 = 0 THEN 'Upstream' WHEN site_id % 5 = 1 THEN 'Downstream' ELSE 'Intron' END AS location, CASE WHEN named THEN concat('SYM', cast(g % 2 AS varchar), ' NM_1 2 c.1 p.1 2 5') END AS tx,
+  count(*) AS n, cast(sum(CASE WHEN site_id % 2 = 0 THEN site_id END) AS bigint) AS rs, count(CASE WHEN site_id % 3 = 0 AND site_id % 9 <> 0 THEN 1 END) AS in_clinvar, max(CASE WHEN site_id % 3 = 0 AND site_id % 9 <> 0 THEN concat('VCV', lpad(cast(site_id AS varchar), 9, '0'), '.3 Benign practice guideline') END) AS clinvar,
+  cast(sum(CASE WHEN site_id % 2 = 1 THEN site_id % 40 END) AS double) AS phred, cast(sum(CASE WHEN site_id % 2 = 1 THEN greatest(gain, loss) END) AS double) AS spliceai, count(CASE WHEN site_id % 2 = 1 AND gain >= loss THEN 1 END) AS by_gain, count(CASE WHEN site_id % 2 = 1 AND gain < loss THEN 1 END) AS by_loss,
+  cast(sum(CASE WHEN site_id % 4 = 0 THEN site_id % 9 + 0.25 END) AS double) AS fathmm, cast(sum(CASE WHEN site_id % 2 = 1 THEN 3 ELSE 0 END + CASE WHEN site_id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN site_id % 8 = 0 THEN 1 ELSE 0 END) AS bigint) AS score_entries,
+  cast(sum(het) AS bigint) AS inhouse_het, cast(0 AS double) AS inhouse_af, cast(sum(hom + het) AS bigint) AS mt_carried, cast(sum(dp) AS bigint) AS depth, count(CASE WHEN gt_father LIKE '%|%' THEN 1 END) AS phased,
+  count(CASE WHEN named AND g % 3 <> 0 THEN 1 END) AS records, count(CASE WHEN named AND g % 3 <> 0 AND g % 7 = 0 THEN 1 END) AS acmg, count(CASE WHEN named AND g % 3 <> 0 AND (g % 2 = 0 OR g % 5 = 0) THEN 1 END) AS disease, cast(sum(CASE WHEN named AND g % 3 <> 0 AND g % 4 = 0 THEN 2 ELSE 0 END) AS bigint) AS modes,
+  cast(sum(CASE WHEN named AND g % 3 <> 0 AND g % 2 = 0 THEN CASE WHEN g % 4 = 0 THEN 0.5 ELSE 0 END + 1.5 END) AS double) AS gnomad, cast(sum(CASE WHEN named AND g % 3 <> 0 AND g % 5 = 0 THEN 0.25 + 2 END) AS double) AS decipher, count(CASE WHEN named AND g % 3 <> 0 AND g % 5 <> 0 THEN 1 END) AS no_decipher, cast(sum(CASE WHEN named AND g % 3 <> 0 AND g % 4 = 1 THEN 30 + 1 END) AS bigint) AS clingen
+FROM own GROUP BY 1, 2, 3, 4""", "fx_calls")
 def annotation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variant, gene and call blocks of the output from point tables that are written and read back."""
+    """Variant, gene and call blocks of the output, every part of them, from point tables that are written in buckets and read back."""
     key = ["chrom", "pos", "ref", "alt"]
-    ann = F.transform("ann", lambda a: F.struct(a["gene_id"].alias("gene_id"), F.array_append(a["consequences"], F.lit("gene_variant")).alias("consequences"), a["distance"].alias("distance"), F.lit("2/5").alias("rank"), F.lit("NM_1.2").alias("feature_id")))
+    k = F.col("site_id")
+    more = F.when(k % 5 == 0, F.array(F.lit("upstream_gene_variant"))).when(k % 5 == 1, F.array(F.lit("downstream_gene_variant"))).otherwise(F.array().cast("array<string>"))
+    number = lambda c: F.split_part(c, F.lit(":"), F.lit(2)).cast("long")
+    symbol = lambda a: F.when(k % 11 != 0, F.concat(F.lit("SYM"), (number(a["gene_id"]) % 2).cast("string"))).otherwise("")
+    texts = {"rank": "2/5", "feature_id": "NM_1.2", "hgvs_c": "c.1", "hgvs_p": "p.1"}
+    ann = F.transform("ann", lambda a: F.struct(a["gene_id"].alias("gene_id"), symbol(a).alias("gene_symbol"), F.concat(a["consequences"], F.array(F.lit("gene_variant")), more).alias("consequences"), F.when(k % 3 != 0, a["distance"]).alias("distance"), *(F.lit(x).alias(n) for n, x in texts.items())))
     rows = R.trio_variants(spark, sf_dir).withColumns({"chrom": F.expr(CHROM), "ann": ann})
     sites = rows.select("site_id", *key).distinct()
 
     def table(kind: str, df: DataFrame) -> DataFrame:
         path = new_path(spark, kind)
-        df.write.parquet(path)
+        tables.write_point_table(df, kind, path, 8)
         return tables.load_point_table(spark, kind, path)
 
-    snp = table("dbsnp", sites.where("site_id % 2 = 0").select(*key, F.col("site_id").alias("rs")))
-    known = table("clinvar", sites.where("site_id % 3 = 0").select(*key, F.lit(1).alias("record_no"), F.lit("VCV1.1").alias("vcv"), F.lit("benign").alias("significance")))
-    scores = table("scores", sites.where("site_id % 5 = 0").select(*key, (F.col("site_id") % 40).cast("double").alias("cadd")))
-    number = F.split_part("hgnc_id", F.lit(":"), F.lit(2)).cast("long")
-    genes = table("genes", rows.select(F.col("ann")[0]["gene_id"].alias("hgnc_id")).distinct().select("hgnc_id", F.when(number % 2 == 0, 0.5).alias("pli"), F.lit("name").alias("symbol")))
-    out = annotate.annotate_calls(annotate.annotate_genes(annotate.annotate_variants(rows, snp, known, scores), genes))
-    f, g = F.col("frequency"), F.col("gene")
-    grouped = out.where((F.size("call_block") == 3) & (g["tx_accession"] == "NM_1.2")).groupBy(F.col("chrom_no").cast("long").alias("chrom_no"), F.array_join(g["consequences"], ",").alias("term"), g["location"].alias("location"))
-    return grouped.agg(F.count("*").alias("n"), F.sum(F.regexp_replace("rs_id", "rs", "").cast("long")).cast("long").alias("rs"), F.count("clinvar").alias("in_clinvar"), F.sum("scores.cadd").alias("cadd"), F.sum(f["inhouse"]["het"]).cast("long").alias("inhouse_het"), F.max(f["inhouse"]["af"]).cast("double").alias("inhouse_af"), F.sum(f["mtdna"]["hom"] + f["mtdna"]["het"]).cast("long").alias("mt_carried"), F.sum(g["pli"]).alias("pli"), F.max(g["rank"]["ord"]).alias("rank_ord"), F.max(g["rank"]["total"]).alias("rank_total"))
+    snp = table("dbsnp", sites.where(k % 2 == 0).select(*key, k.alias("rs")))
+    records = F.explode(F.array(*(F.struct(F.lit(n).alias("record_no"), F.lit(v).alias("version"), F.lit(s).alias("sig"), F.lit("practice guideline").alias("review_status")) for n, v, s in ((2, 9, "Pathogenic"), (1, 3, "Benign")))))
+    known = table("clinvar", sites.where(k % 3 == 0).select("*", records.alias("r")).select(*key, "r.record_no", F.format_string("VCV%09d", k).alias("vcv"), "r.version", F.when(k % 9 != 0, F.col("r.sig")).alias("significance"), "r.review_status"))
+    n = lambda c: c.cast("double")
+    cadd = table("cadd", sites.where(k % 2 == 1).select(*key, n(k % 40).alias("PHRED"), F.lit(None).cast("double").alias("SIFTval"), n(k % 7).alias("SpliceAI-acc-gain"), n(k % 5).alias("SpliceAI-acc-loss"), n(k % 7).alias("SpliceAI-don-gain"), F.lit("99").alias("MMSp_exon"), F.lit("x").alias("Other")))
+    nsfp = table("dbnsfp", sites.where(k % 4 == 0).select(*key, F.concat(F.lit(".;-1.5;"), (k % 9).cast("string"), F.lit(".25;x")).alias("FATHMM_score"), F.lit(".").alias("REVEL_score"), F.when(k % 8 == 0, n(k % 3)).alias("LRT_score")))
+    ids = rows.select(F.col("ann")[0]["gene_id"].alias("hgnc_id")).distinct()
+    g = number(F.col("hgnc_id"))
+    only = lambda test, kind, **fields: F.when(test, F.struct(*(c.alias(f) for f, c in fields.items()))).cast(kind)
+    scores = F.struct(F.lit(1.5).alias("mis_z"), *(F.lit(None).cast("double").alias(x) for x in ("oe_lof", "oe_lof_lower", "oe_lof_upper", "oe_mis", "oe_mis_lower", "oe_mis_upper")), F.when(g % 4 == 0, 0.5).alias("pli"), F.lit(None).cast("double").alias("syn_z"))
+    some = F.array(F.lit("x"))
+    genes = table("genes", ids.where(g % 3 != 0).select("hgnc_id", only(g % 7 == 0, "struct<version:string>", version=F.lit("3")).alias("acmg_sf"), only(g % 2 == 0, "struct<diseases:array<string>>", diseases=some).alias("omim"), only(g % 5 == 0, "struct<diseases:array<string>>", diseases=some).alias("orpha"), F.when(g % 2 == 0, scores).alias("gnomad_constraints"), only(g % 5 == 0, "struct<p_hi:double,hi_index:double>", p_hi=F.lit(0.25), hi_index=F.lit(2.0)).alias("decipher_hi"), F.lit(None).alias("rcnv"), F.lit(None).alias("shet"), only(g % 4 == 1, "struct<haploinsufficiency_score:int,triplosensitivity_score:int>", haploinsufficiency_score=F.lit(30), triplosensitivity_score=F.lit(1)).alias("clingen")))
+    modes = ids.where(g % 4 == 0).select("hgnc_id", F.array(F.lit("AutosomalDominant"), F.lit("XLinkedRecessive")).alias("modes"))
+    out = annotate.annotate_calls(annotate.annotate_genes(annotate.annotate_variants(rows, snp, known, cadd, nsfp), genes, modes))
+    f, c, calls, s = F.col("frequency"), F.col("gene.consequences"), F.col("call_block"), lambda name: F.try_element_at("scores", F.lit(name))
+    tx = F.concat_ws(" ", F.col("gene.identity.gene_symbol"), c["tx_accession"], c["tx_version"].cast("string"), c["hgvs_t"], c["hgvs_p"], c["rank_ord"].cast("string"), c["rank_total"].cast("string"))
+    which = s("spliceai_argmax")
+    about, limits = F.col("gene.phenotypes"), F.col("gene.constraints")
+    sums = {
+        "rs": F.sum(F.regexp_replace("rs_id", "rs", "").cast("long")).cast("long"), "in_clinvar": F.count("clinvar"), "clinvar": F.max(F.concat_ws(" ", F.col("clinvar.vcv_accession"), F.col("clinvar.effective_significance"), F.col("clinvar.review_status"))), "phred": F.sum(s("cadd_phred").cast("double")), "spliceai": F.sum(s("spliceai").cast("double")),
+        "by_gain": F.count_if(which == "SpliceAI-acc-gain"), "by_loss": F.count_if(which == "SpliceAI-acc-loss"), "fathmm": F.sum(s("fathmm").cast("double")), "score_entries": F.sum(F.size("scores")).cast("long"), "inhouse_het": F.sum(f["inhouse"]["het"]).cast("long"), "inhouse_af": F.max(f["inhouse"]["af"]).cast("double"),
+        "mt_carried": F.sum(f["mtdna"]["hom"] + f["mtdna"]["het"]).cast("long"), "depth": F.sum(calls[2]["dp"]).cast("long"), "phased": F.count_if(calls[1]["genotype"].contains("|")), "records": F.count("gene.phenotypes"), "acmg": F.count_if(about["is_acmg_sf"]), "disease": F.count_if(about["is_disease_gene"]),
+        "modes": F.sum(F.coalesce(F.size(about["mode_of_inheritances"]), F.lit(0))).cast("long"), "gnomad": F.sum(limits["gnomad"]["pli"].cast("double") + limits["gnomad"]["mis_z"] + limits["gnomad"]["syn_z"]), "decipher": F.sum(limits["decipher"]["p_hi"].cast("double") + limits["decipher"]["hi_index"]),
+        "no_decipher": F.count_if(limits.isNotNull() & limits["decipher"].isNull()), "clingen": F.sum(limits["clingen"]["haplo"] + limits["clingen"]["triplo"]).cast("long"),
+    }
+    by = [F.col("chrom_no").cast("long").alias("chrom_no"), F.array_join(c["consequences"], ",").alias("term"), c["location"].alias("location"), F.when(F.col("gene").isNotNull(), tx).alias("tx")]
+    got = out.groupBy(*by).agg(F.count("*").alias("n"), *(x.alias(name) for name, x in sums.items()))
+    return got.withColumns({"clinvar": F.nullif("clinvar", F.lit("")), "modes": F.greatest("modes", F.lit(0).cast("long"))})
 
 
 @query("""SELECT chrom_no, count(*) AS n, count(CASE WHEN gt_mother LIKE '%.%' THEN 1 END) AS no_calls, count(CASE WHEN chrom_no = 22 AND (pos BETWEEN 10001 AND 2781479) OR chrom_no = 23 AND (pos BETWEEN 10001 AND 2781479) THEN 1 END) AS par38, CASE WHEN chrom_no < 22 THEN 'Auto' WHEN chrom_no = 22 THEN 'X' WHEN chrom_no = 23 THEN 'Y' ELSE 'MT' END AS class,
-  cast(sum(site_id) AS bigint) AS gene_numbers, cast(sum(pos) AS bigint) AS starts, count(CASE WHEN pos < 50000 AND pos + 100 > 40000 THEN 1 END) AS half_open, count(CASE WHEN pos <= 50000 AND pos + 100 >= 40000 THEN 1 END) AS closed, cast(sum(dp) AS bigint) AS versions, CASE chrom_no WHEN 24 THEN 16569 WHEN 23 THEN 59373566 END AS contig_length, count(DISTINCT (site_id, case_id)) AS row_ids, count(*) AS located
+  cast(sum(site_id) AS bigint) AS gene_numbers, cast(sum(pos) AS bigint) AS starts, count(CASE WHEN pos < 50000 AND pos + 100 > 40000 THEN 1 END) AS half_open, count(CASE WHEN pos <= 50000 AND pos + 100 >= 40000 THEN 1 END) AS closed, cast(sum(dp) AS bigint) AS versions, CASE chrom_no WHEN 24 THEN 16569 WHEN 23 THEN 59373566 END AS contig_length, count(DISTINCT (site_id, case_id)) AS row_ids,
+  count(CASE WHEN site_id % 4 = 0 THEN 1 END) AS exon, count(CASE WHEN site_id % 4 = 1 THEN 1 END) AS upstream, count(CASE WHEN site_id % 4 = 2 THEN 1 END) AS downstream, count(CASE WHEN site_id % 4 = 3 THEN 1 END) AS intron
 FROM fx_calls GROUP BY chrom_no""", "fx_calls")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions on chromosomes, identifiers, intervals and genotypes over every row."""
@@ -590,10 +663,10 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = S.chrom_no(F.col("text"))
     place = S.parse_region(F.concat("text", F.lit(":"), F.format_number("pos", 0), F.lit("-"), F.format_number(F.col("pos") + 9, 0)))
     parts = S.accession_parts(F.concat(F.lit("NM_7."), F.col("dp").cast("string")))
-    own = rows.select(no.alias("no"), "pos", "gt_mother", place.alias("place"), parts.alias("parts"), S.numeric_gene_id(F.format_string("ENSG%011d", F.col("site_id"))).alias("gene"), S.row_id(F.col("site_id"), F.col("case_id")).alias("row_id"), S.location_of(F.array("csq")).alias("location"), S.genotype_kind(F.col("gt_mother")).alias("kind"))
+    own = rows.select(no.alias("no"), "pos", "gt_mother", place.alias("place"), parts.alias("parts"), S.numeric_gene_id(F.format_string("ENSG%011d", F.col("site_id"))).alias("gene"), S.row_id(F.col("site_id"), F.col("case_id")).alias("row_id"), S.location_of(F.array("csq", F.get(F.array(*map(F.lit, ("upstream_gene_variant", "upstream_gene_variant", "downstream_gene_variant", "other"))), (F.col("site_id") % 4).cast("int"))), F.when(F.col("site_id") % 4 != 0, F.col("exon_dist"))).alias("location"), S.genotype_kind(F.col("gt_mother")).alias("kind"))
     lengths = S.contig_lengths(spark, "grch37").select(F.col("chrom_no").alias("no"), "length").where("no >= 23")
     end = F.col("pos") + 100
-    sums = own.groupBy("no").agg(F.count("*").alias("n"), F.count_if(S.is_no_call(F.col("gt_mother")) & (F.col("kind") == "WithNoCall")).alias("no_calls"), F.count_if(S.is_par(F.col("no"), F.col("pos"), "grch38")).alias("par38"), F.max(S.contig_class(F.col("no"))).alias("class"), F.sum("gene").cast("long").alias("gene_numbers"), F.sum(F.when(F.col("place.stop") == F.col("pos") + 9, F.col("place.start"))).cast("long").alias("starts"), F.count_if(S.overlaps(F.col("pos"), end, F.lit(40000), F.lit(50000))).alias("half_open"), F.count_if(S.overlaps_closed(F.col("pos"), end, F.lit(40000), F.lit(50000))).alias("closed"), F.sum("parts.version").cast("long").alias("versions"), F.count_distinct("row_id").alias("row_ids"), F.count_if(F.col("location").isin("Intron", "Exon")).alias("located"))
+    sums = own.groupBy("no").agg(F.count("*").alias("n"), F.count_if(S.is_no_call(F.col("gt_mother")) & (F.col("kind") == "WithNoCall")).alias("no_calls"), F.count_if(S.is_par(F.col("no"), F.col("pos"), "grch38")).alias("par38"), F.max(S.contig_class(F.col("no"))).alias("class"), F.sum("gene").cast("long").alias("gene_numbers"), F.sum(F.when(F.col("place.stop") == F.col("pos") + 9, F.col("place.start"))).cast("long").alias("starts"), F.count_if(S.overlaps(F.col("pos"), end, F.lit(40000), F.lit(50000))).alias("half_open"), F.count_if(S.overlaps_closed(F.col("pos"), end, F.lit(40000), F.lit(50000))).alias("closed"), F.sum("parts.version").cast("long").alias("versions"), F.count_distinct("row_id").alias("row_ids"), *(F.count_if(F.col("location") == x).alias(x.lower()) for x in ("Exon", "Upstream", "Downstream", "Intron")))
     return sums.join(lengths, "no", "left").select(F.col("no").cast("long").alias("chrom_no"), *(c for c in sums.columns if c != "no"), F.col("length").alias("contig_length"))
 
 
