@@ -98,12 +98,6 @@ def rcv_id(number: Column) -> Column:
     return F.format_string("RCV%09d", number)
 
 
-def plain_genotype(gt: Column) -> Column:
-    """Without a leading separator, phase dropped, the lower allele first."""
-    gt = F.regexp_replace(F.regexp_replace(gt, r"^[/|]", ""), r"\|", "/")
-    return F.when(gt == "1/0", "0/1").otherwise(gt)
-
-
 def spelled(plain: tuple[str, ...]) -> list[str]:
     """All ways to write the plain genotypes: with phase, either allele first, with a leading separator."""
     own = {"".join(x) for g in plain for a, sep, b in [g.partition("/")] for x in ([(a,)] if not sep else [(u, s, v) for s in "/|" for u, v in ((a, b), (b, a))])}

@@ -17,7 +17,7 @@ def _probes(svs: DataFrame, slack: int = 0) -> DataFrame:
     return svs.select("sv_id", F.col("sv_type").alias("own_type"), F.col("chrom_no").alias("own_chrom"), begin.alias("pb"), end.alias("pe"))
 
 
-def _ends(svs: DataFrame, slack: int) -> DataFrame:
+def probe_ends(svs: DataFrame, slack: int) -> DataFrame:
     """The span of a variant; of INS the point and of BND both ends, each on its own contig, with slack around."""
     around = lambda no, at: F.struct(no.alias("own_chrom"), (at - 1 - slack).alias("pb"), (at + slack).alias("pe"))
     span = F.array(F.struct(F.col("chrom_no").alias("own_chrom"), (F.col("pos") - 1).alias("pb"), F.col("sv_end").alias("pe")))
@@ -41,7 +41,7 @@ def overlapping_genes(svs: DataFrame, transcripts: DataFrame) -> DataFrame:
 def overlapping_tads(svs: DataFrame, tads: DataFrame, slack: int = 50) -> DataFrame:
     """(sv_id, tad_id, tad_chrom, tad_b, tad_e), each once. tads: region_id, chrom_no, b, e."""
     known = tads.select(F.col("region_id").alias("tad_id"), F.col("chrom_no").alias("tad_chrom"), F.col("b").alias("tad_b"), F.col("e").alias("tad_e"))
-    return range_join(_ends(svs, slack), known, {"own_chrom": "tad_chrom"}, ("pb", "pe"), ("tad_b", "tad_e")).select("sv_id", "tad_id", "tad_chrom", "tad_b", "tad_e").distinct()
+    return range_join(probe_ends(svs, slack), known, {"own_chrom": "tad_chrom"}, ("pb", "pe"), ("tad_b", "tad_e")).select("sv_id", "tad_id", "tad_chrom", "tad_b", "tad_e").distinct()
 
 
 def tad_genes(svs: DataFrame, tads: DataFrame, transcripts: DataFrame, slack: int = 50) -> DataFrame:
@@ -113,7 +113,7 @@ def tx_effects(svs: DataFrame, regions: DataFrame) -> DataFrame:
     """
     kinds = ("exon", "intron", "splice_region", "upstream", "downstream")
     known = regions.select("gene_id", F.col("chrom_no").alias("r_chrom"), "kind", F.col("b").alias("rb"), F.col("e").alias("re"))
-    hits = range_join(_ends(svs, 0), known, {"own_chrom": "r_chrom"}, ("pb", "pe"), ("rb", "re"))
+    hits = range_join(probe_ends(svs, 0), known, {"own_chrom": "r_chrom"}, ("pb", "pe"), ("rb", "re"))
     flags = hits.groupBy("sv_id", "gene_id").agg(F.max("point").alias("point"), *(F.max(F.col("kind") == k).alias(k) for k in kinds))
     names = {**{k: F.col(k) for k in kinds}, "transcript": ~F.col("point") & F.col("upstream") & F.col("downstream")}
     effects = F.array_sort(F.array_compact(F.array(*(F.when(test, f"{k}_variant") for k, test in names.items()))))
@@ -147,7 +147,7 @@ def annotate_genes(df: DataFrame, genes: DataFrame, modes: DataFrame) -> DataFra
     for a gene without a record. A score that is missing within a source is 0, a source that a gene doesn't have is null.
     genes: GENES of sources.tables, hgnc_id unique; modes: hgnc_id, modes.
     """
-    first = F.try_element_at("ann", F.lit(1))
+    first = F.get("ann", F.lit(0))
     fields = df.schema["ann"].dataType.elementType.fieldNames()
     own = lambda name: F.nullif(first[name], F.lit("")) if name in fields else F.lit(None).cast("string")
     rank = F.split(own("rank"), "/")

@@ -50,18 +50,18 @@ def dealt(a: DataFrame, b: DataFrame, cells: tuple[list[str], list[str]], most:
     """Both sides of a join by cells with the parts of crowded cells, and the conditions on these. A side's own crowded cell has its rows
     dealt by their hash and the other side's rows once in each part, so every pair still meets once."""
     on = []
-    for k, (own, other, at) in enumerate(((a, b, cells), (b, a, cells[::-1]))):
-        full = crowded(own, at[0], most)
-        if full is None:
+    full = crowded(a, cells[0], most), crowded(b, cells[1], most)
+    for k, (parts, at, other) in enumerate(((full[0], *cells), (full[1], *cells[::-1]))):
+        if parts is None:
             continue
-        part = f"_part{k}"
-        parts = F.broadcast(full.withColumnsRenamed(dict(zip(at[0], [f"_c{i}" for i in range(len(at[0]))], strict=True))))
-        meet = lambda names: [F.col(n).eqNullSafe(F.col(f"_c{i}")) for i, n in enumerate(names)]
-        drop = [f"_c{i}" for i in range(len(at[0]))] + ["_parts"]
-        mine = own.join(parts, meet(at[0]), "left").withColumn(f"{part}_own", F.coalesce(F.pmod(F.xxhash64(*own.columns), F.col("_parts")).cast("int"), F.lit(0))).drop(*drop)
-        theirs = other.join(parts, meet(at[1]), "left").withColumn(f"{part}_all", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop(*drop)
+        names = [f"_c{i}" for i in range(len(at))]
+        small = F.broadcast(parts.withColumnsRenamed(dict(zip(at, names, strict=True))))
+        meet = lambda columns, names=names: [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(columns, names, strict=True)]
+        mine, theirs = (a, b) if k == 0 else (b, a)
+        mine = mine.join(small, meet(at), "left").withColumn(f"_part{k}_own", F.coalesce(F.pmod(F.xxhash64(*mine.columns), F.col("_parts")).cast("int"), F.lit(0))).drop(*names, "_parts")
+        theirs = theirs.join(small, meet(other), "left").withColumn(f"_part{k}_all", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop(*names, "_parts")
         a, b = (mine, theirs) if k == 0 else (theirs, mine)
-        on.append(F.col(f"{part}_own") == F.col(f"{part}_all"))
+        on.append(F.col(f"_part{k}_own") == F.col(f"_part{k}_all"))
     return a, b, on
 
 
@@ -88,6 +88,22 @@ def range_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_ran
     return a.join(b, on, "inner").select(*left.columns, *right.columns)
 
 
+def range_semi_join(left: DataFrame, regions: DataFrame, keys: dict[str, str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
+    """The rows of left whose half-open interval overlaps any region with equal keys, each once.
+
+    Regions that overlap or touch become one, each with the end of the one before. Of the regions that an interval overlaps the first is
+    the one whose predecessor ends before the interval begins; only that pair is taken, so nothing needs a distinct.
+    """
+    (b1, _), (b2, e2) = left_range, right_range
+    own = list(keys.values())
+    plain = regions.select(*own, F.col(b2).cast("long").alias("_s_begin"), (F.col(e2).cast("long") + 1).alias("_s_touch")).where("_s_touch > _s_begin + 1").distinct()
+    merged = islands(plain, own, "_s_begin", "_s_touch").groupBy(*own, "island").agg(F.min("_s_begin").alias("_s_begin"), (F.max("_s_touch") - 1).alias("_s_end"))
+    before = Window.partitionBy(*own).orderBy("_s_begin")
+    merged = merged.select(*(F.col(k).alias(f"_s_{k}") for k in own), "_s_begin", "_s_end", F.lag("_s_end").over(before).alias("_s_before"))
+    hits = range_join(left, merged, {x: f"_s_{y}" for x, y in keys.items()}, left_range, ("_s_begin", "_s_end"))
+    return hits.where(F.col("_s_before").isNull() | (F.col("_s_before") <= F.col(b1))).select(*left.columns)
+
+
 def laid_out(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df in range partitions by keys and order, written to the shared folder, with the number of a row's partition as `_part`. Rows of a
     hot key stand in as many partitions as they fill."""

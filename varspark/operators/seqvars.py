@@ -39,8 +39,10 @@ def has(gt: Column, kind: tuple[str, ...]) -> Column:
 
 
 def kind_codes(gts: list[Column]) -> Column:
-    """One letter per genotype, in order: r ref, h het, H hom, - anything else or none. No lambda, so that it compiles."""
-    return F.concat(*(F.when(has(g, HET), "h").when(has(g, REF), "r").when(has(g, HOM), "H").otherwise("-") for g in gts))
+    """One letter per genotype, in order: r ref, h het, H hom, - anything else or none. A look-up in a literal map, so that it compiles."""
+    letters = {gt: letter for letter, kind in (("r", REF), ("h", HET), ("H", HOM)) for gt in spelled(kind)}
+    table = F.create_map(*(F.lit(x) for kv in letters.items() for x in kv))
+    return F.concat(*(F.coalesce(F.try_element_at(table, g), F.lit("-")) for g in gts))
 
 
 def within(settings: dict, counts: Column, nuclear: bool = True, with_af: bool = True) -> Column:
@@ -75,35 +77,46 @@ def pass_consequence(query: dict) -> Column:
     return F.coalesce(F.col("chrom_no") == 24, F.lit(False)) | F.coalesce(F.exists("ann", lambda a: F.arrays_overlap(a["consequences"], wanted)), F.lit(False))
 
 
+def quality_ok(s: Column | dict, call: Column) -> Column:
+    """Whether a call meets the limits of s: a dict of literals, or a struct of the row in which null is none."""
+    is_het, is_hom, is_ref = (F.coalesce(has(call["gt"], kind), F.lit(False)) for kind in (HET, HOM, REF))
+    ab = F.try_divide(call["ad"].cast("double"), call["dp"].cast("double"))
+    fails = {
+        "min_dp_het": lambda x: is_het & (call["dp"] < x),
+        "min_dp_hom": lambda x: is_hom & (call["dp"] < x),
+        "min_ab": lambda x: is_het & ((F.least(ab, 1 - ab) + F.lit(1e-6) < x) | ((call["dp"] == 0) & (call["ad"] > 0))),
+        "min_gq": lambda x: call["gq"] < x,
+        "min_ad": lambda x: ~is_ref & (call["ad"] < x),
+        "max_ad": lambda x: ~is_ref & (call["ad"] > x),
+    }
+    if isinstance(s, dict):
+        tests = [~F.coalesce(fail(F.lit(s[name])), F.lit(False)) for name, fail in fails.items() if s.get(name) is not None]
+    else:
+        tests = [s[name].isNull() | ~F.coalesce(fail(s[name]), F.lit(False)) for name, fail in fails.items()]
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
 def pass_quality(query: dict) -> Column:
     """Each sample with filter_active: depth of het and hom calls, allele balance of het ones (folded at one half), quality, and alternate
     depth of all but ref calls.
 
-    A missing metric passes; a sample without a call is an error.
+    A missing metric passes; a sample without a call is an error. Every call is looked at once, by the limits of its sample.
     """
-    tests = []
-    for sample, s in (query.get("sample_qualities") or {}).items():
-        if not s.get("filter_active"):
-            continue
-        call, gt = call_of(sample), genotype_of(sample)
-        is_het, is_hom = F.coalesce(has(gt, HET), F.lit(False)), F.coalesce(has(gt, HOM), F.lit(False))
-        is_ref = F.coalesce(has(gt, REF), F.lit(False))
-        fails = [F.when(call.isNull(), F.raise_error(F.lit(f"sample {sample} not found in call info")).cast("boolean")).otherwise(F.lit(False))]
-        if s.get("min_dp_het") is not None:
-            fails.append(is_het & (call["dp"] < s["min_dp_het"]))
-        if s.get("min_dp_hom") is not None:
-            fails.append(is_hom & (call["dp"] < s["min_dp_hom"]))
-        if s.get("min_ab") is not None:
-            ab = F.try_divide(call["ad"].cast("double"), call["dp"].cast("double"))
-            fails.append(is_het & ((F.least(ab, 1 - ab) + F.lit(1e-6) < s["min_ab"]) | ((call["dp"] == 0) & (call["ad"] > 0))))
-        if s.get("min_gq") is not None:
-            fails.append(call["gq"] < s["min_gq"])
-        if s.get("min_ad") is not None:
-            fails.append(~is_ref & (call["ad"] < s["min_ad"]))
-        if s.get("max_ad") is not None:
-            fails.append(~is_ref & (call["ad"] > s["max_ad"]))
-        tests += [~F.coalesce(f, F.lit(False)) for f in fails]
-    return every(tests)
+    active = {sample: s for sample, s in (query.get("sample_qualities") or {}).items() if s.get("filter_active")}
+    if not active:
+        return F.lit(True)
+    names = F.array(*map(F.lit, active))
+    missing = F.array_except(names, F.col("calls.sample"))
+    found = F.when(F.size(missing) == 0, True).otherwise(F.raise_error(F.concat(F.lit("sample "), F.array_join(missing, ", "), F.lit(" not found in call info"))).cast("boolean"))
+
+    def ok(c: Column) -> Column:
+        out = None
+        for sample, s in active.items():
+            test = c["sample"] == sample
+            out = F.when(test, quality_ok(s, c)) if out is None else out.when(test, quality_ok(s, c))
+        return out.otherwise(True)
+
+    return found & F.forall("calls", ok)
 
 
 def pass_genes(query: dict) -> Column:
@@ -200,21 +213,27 @@ def filter_gene_recessive(df: DataFrame, query: dict, gene: Column | None = None
     """
     if query.get("recessive_mode", "disabled") == "disabled":
         return df
-    gene = F.coalesce(F.try_element_at("ann", F.lit(1))["gene_id"], F.lit("")) if gene is None else gene
+    gene = F.coalesce(F.get("ann", F.lit(0))["gene_id"], F.lit("")) if gene is None else gene
     found = roles(query)
     members = members_of(found)
-    rules = trio_rules(members, query["recessive_mode"])
+    rules = trio_table(df.sparkSession).where((F.col("mode") == query["recessive_mode"]) & (F.col("members") == "".join(m[0] for m in members))).drop("mode", "members")
     df = df.withColumn("_gene", gene)
-    # nothing of the variants but case, gene and code goes into the shuffle
-    coded = df.select("case_id", "_gene", (F.col("chrom_no") == 22).alias("on_x"), kind_codes([genotype_of(found[m]) for m in members]).alias("code"))
-    among = lambda codes: F.col("code").isin(sorted(codes))
-    hom = F.when(F.col("on_x"), among(rules["gene_x"])).otherwise(among(rules["gene_auto"]))
-    seen = [F.bool_or(among({c for c in rules["gene_het"] if c[k] == letter})) for k in range(1, len(members)) for letter in "hr"]
-    both = reduce(Column.__and__, seen, F.count_if(among(rules["gene_het"])) >= 2)
-    genes = coded.groupBy("case_id", "_gene").agg((F.bool_or(hom) | both).alias("_pass")).where("_pass").select("case_id", "_gene")
+    # nothing of the variants but case, gene and what their code shows goes into the shuffle
+    coded = df.select("case_id", "_gene", "chrom_no", kind_codes([genotype_of(found[m]) for m in members]).alias("code")).join(F.broadcast(rules), "code")
+    genes = passing_genes(coded, ["case_id", "_gene"], [m[0] for m in members[1:]])
     return df.join(genes, ["case_id", "_gene"], "left_semi").drop("_gene")
 
 
+def passing_genes(coded: DataFrame, by: list[str], parents: list[str]) -> DataFrame:
+    """The groups of variants with the flags of trio_table that have a hom recessive variant, or two or more het ones with each parent
+    (f, m) that is given seen het and ref. A column `members`, where there is one, says which parents of a group are given."""
+    hom = F.bool_or(F.when(F.col("chrom_no") == 22, F.col("gene_x")).otherwise(F.col("gene_auto")))
+    groups = coded.groupBy(*by).agg(hom.alias("hom"), F.count_if("gene_het").alias("het"), *(F.bool_or(f"{p}_{k}").alias(f"{p}_{k}") for p in parents for k in ("het", "ref")))
+    absent = lambda p: ~F.contains("members", F.lit(p)) if "members" in by else F.lit(False)
+    seen = [absent(p) | (F.col(f"{p}_het") & F.col(f"{p}_ref")) for p in parents]
+    return groups.where(F.col("hom") | reduce(Column.__and__, seen, F.col("het") >= 2)).select(*(c for c in by if c != "members"))
+
+
 def filter_clinvar(df: DataFrame, clinvar: DataFrame, query: dict) -> DataFrame:
     """Keep variants with a record of the wanted classes (benign, likely-benign, ...; the first record of a variant counts).
 
@@ -232,9 +251,40 @@ def filter_clinvar(df: DataFrame, clinvar: DataFrame, query: dict) -> DataFrame:
     return df.join(first.where(F.coalesce(fits, F.lit(False))).select(*key), key, "left_semi")
 
 
+#: Lists of genes and regions of more entries than this are joined as tables, not compiled into the plan.
+MANY = 200
+
+
+def keep_genes(rows: DataFrame, allowed: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with an annotation of a gene on the list: allowed has gene_id and the columns `by`, which rows have too.
+
+    What is joined with the list are the distinct sets of genes that annotations name; rows then meet the sets that have a hit.
+    """
+    rows = rows.withColumn("_genes", F.array_sort(F.array_distinct(F.transform("ann", lambda a: a["gene_id"]))))
+    sets = rows.select(*by, "_genes").distinct()
+    hits = sets.select("*", F.explode("_genes").alias("gene_id")).join(allowed.select(*by, "gene_id").distinct(), [*by, "gene_id"], "left_semi").select(*by, "_genes").distinct()
+    return rows.join(hits, [*by, "_genes"], "left_semi").drop("_genes")
+
+
+def keep_regions(rows: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
+    """The rows that overlap a region (closed, as pass_regions): chrom_no, start (null: the whole contig), stop and the columns `by`."""
+    from varspark.operators.intervals import range_semi_join
+
+    half_open = regions.select(*(F.col(c).alias(f"_r_{c}") for c in ("chrom_no", *by)), F.coalesce("start", F.lit(0)).cast("long").alias("_b"), F.when(F.col("start").isNull(), 1 << 31).otherwise(F.col("stop").cast("long") + 1).alias("_e"))
+    own = rows.withColumns({"_from": F.col("pos").cast("long"), "_to": F.col("pos").cast("long") + F.length("ref")})
+    return range_semi_join(own, half_open, {c: f"_r_{c}" for c in ("chrom_no", *by)}, ("_from", "_to"), ("_b", "_e")).drop("_from", "_to")
+
+
 def filter_seqvars(df: DataFrame, query: dict, clinvar: DataFrame | None = None) -> DataFrame:
-    """All predicates, then the gene rule of recessive queries, then the join with ClinVar."""
-    passed = df.where(every([pass_frequency(query), pass_consequence(query), pass_quality(query), pass_genes(query), pass_regions(query), pass_genotype(query)]))
+    """All predicates, then long lists of genes and regions as joins, the gene rule of recessive queries and the join with ClinVar."""
+    spark = df.sparkSession
+    genes, regions = query.get("gene_allowlist") or [], query.get("region_allowlist") or []
+    short = {k: v for k, v in query.items() if not (k == "gene_allowlist" and len(genes) > MANY or k == "region_allowlist" and len(regions) > MANY)}
+    passed = df.where(every([pass_frequency(query), pass_consequence(query), pass_quality(query), pass_genes(short), pass_regions(short), pass_genotype(query)]))
+    if len(genes) > MANY:
+        passed = keep_genes(passed, spark.createDataFrame([(g,) for g in genes], "gene_id string"), [])
+    if len(regions) > MANY:
+        passed = keep_regions(passed, spark.createDataFrame(regions, "chrom_no int, start long, stop long"), [])
     passed = filter_gene_recessive(passed, query)
     return passed if clinvar is None else filter_clinvar(passed, clinvar, query.get("clinvar") or {})
 
@@ -280,14 +330,11 @@ def keep_recessive(rows: DataFrame) -> DataFrame:
         parts.append(F.when(given, role[0]).otherwise(""))
         code.append(F.when(given, kind_codes([call(F.get(of_role(role), F.lit(0))["sample"])])).otherwise(""))
     checked = F.when(F.coalesce(faults, F.lit(True)), F.raise_error(F.lit("a recessive query needs one index, and each parent once at most"))).otherwise(F.concat(*parts))
-    gene = F.coalesce(F.try_element_at("ann", F.lit(1))["gene_id"], F.lit(""))
+    gene = F.coalesce(F.get("ann", F.lit(0))["gene_id"], F.lit(""))
     coded = rows.withColumns({"mode": F.col("q.recessive_mode"), "members": checked, "code": F.concat(*code), "_gene": gene})
     fits = coded.join(F.broadcast(trio_table(rows.sparkSession)), ["mode", "members", "code"])
     fits = fits.where(((F.col("chrom_no") < 22) & F.col("auto")) | ((F.col("chrom_no") == 22) & F.col("x")))
-    hom = F.bool_or(F.when(F.col("chrom_no") == 22, F.col("gene_x")).otherwise(F.col("gene_auto")))
-    seen = [~F.contains("members", F.lit(p)) | (F.col(f"{p}_het") & F.col(f"{p}_ref")) for p in "fm"]
-    by_gene = fits.groupBy("query_id", "case_id", "_gene", "members").agg(hom.alias("hom"), F.count_if("gene_het").alias("het"), *(F.bool_or(f"{p}_{k}").alias(f"{p}_{k}") for p in "fm" for k in ("het", "ref")))
-    genes = by_gene.where(F.col("hom") | reduce(Column.__and__, seen, F.col("het") >= 2)).select("query_id", "case_id", "_gene")
+    genes = passing_genes(fits, ["query_id", "case_id", "_gene", "members"], ["f", "m"])
     return fits.join(genes, ["query_id", "case_id", "_gene"], "left_semi").select(*names)
 
 
@@ -295,15 +342,8 @@ def joined_quality(qualities: Column) -> Column:
     """pass_quality with the settings of a row's own query: an array of structs, each looked up among the calls once."""
 
     def ok(p: Column) -> Column:
-        s, call = p["s"], p["call"]
-        gt = call["gt"]
-        is_het, is_hom, is_ref = (F.coalesce(has(gt, kind), F.lit(False)) for kind in (HET, HOM, REF))
-        ab = F.try_divide(call["ad"].cast("double"), call["dp"].cast("double"))
-        fails = [is_het & (call["dp"] < s["min_dp_het"]), is_hom & (call["dp"] < s["min_dp_hom"]), call["gq"] < s["min_gq"], ~is_ref & (call["ad"] < s["min_ad"]), ~is_ref & (call["ad"] > s["max_ad"])]
-        fails.append(is_het & s["min_ab"].isNotNull() & ((F.least(ab, 1 - ab) + F.lit(1e-6) < s["min_ab"]) | ((call["dp"] == 0) & (call["ad"] > 0))))
-        good = reduce(Column.__and__, (~F.coalesce(f, F.lit(False)) for f in fails))
-        missing = F.raise_error(F.concat(F.lit("sample not found in call info: "), s["sample"])).cast("boolean")
-        return F.when(~F.coalesce(s["filter_active"], F.lit(False)), True).when(call.isNull(), missing).otherwise(good)
+        missing = F.raise_error(F.concat(F.lit("sample "), p["s"]["sample"], F.lit(" not found in call info"))).cast("boolean")
+        return F.when(~F.coalesce(p["s"]["filter_active"], F.lit(False)), True).when(p["call"].isNull(), missing).otherwise(quality_ok(p["s"], p["call"]))
 
     paired = F.transform(qualities, lambda s: F.struct(s.alias("s"), F.get(F.filter("calls", lambda c: c["sample"] == s["sample"]), F.lit(0)).alias("call")))
     return qualities.isNull() | F.forall(paired, ok)
@@ -324,6 +364,7 @@ def keep_clinvar(rows: DataFrame, clinvar: DataFrame) -> DataFrame:
 def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | None = None) -> DataFrame:
     """Every variant once per query (query_id) of its case that it passes: one job for all cases and queries, settings as columns of
     load_queries(). All settings are covered; one that is null passes. query_id must be unique within a case.
+    Lists of more than MANY genes or regions become tables and joins.
 
     queries is joined by case_id; it is a few rows a case, so Spark broadcasts it while that is small and shuffles beyond. Recessive
     queries and those that require ClinVar (clinvar: as for filter_clinvar) go on to further joins, the others are done.
@@ -346,17 +387,25 @@ def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | No
     frequency = F.when(F.col("chrom_no") == 24, every(mito)).otherwise(every(nuclear))
     terms = F.coalesce(setting("consequences"), F.array().cast("array<string>"))
     consequence = (F.size(terms) == 0) | (F.col("chrom_no") == 24) | F.exists("ann", lambda a: F.arrays_overlap(a["consequences"], setting("consequences")))
-    genes = setting("gene_allowlist").isNull() | F.exists("ann", lambda a: F.array_contains(setting("gene_allowlist"), a["gene_id"]))
+    listed = lambda name: F.coalesce(F.size(setting(name)), F.lit(0)) > MANY  # noqa: E731  these go on to joins
+    genes = setting("gene_allowlist").isNull() | listed("gene_allowlist") | F.exists("ann", lambda a: F.array_contains(setting("gene_allowlist"), a["gene_id"]))
     stop = F.col("pos") + F.length("ref") - 1
     near = lambda r: (r["chrom_no"] == F.col("chrom_no")) & (r["start"].isNull() | ((r["start"] <= stop) & (r["stop"] >= F.col("pos"))))
-    regions = (F.size(F.coalesce(setting("region_allowlist"), F.array())) <= 0) | F.exists(setting("region_allowlist"), near)
+    regions = (F.size(F.coalesce(setting("region_allowlist"), F.array())) <= 0) | listed("region_allowlist") | F.exists(setting("region_allowlist"), near)
     fits = lambda s, gt: reduce(lambda c, kv: c.when(s["genotype"] == kv[0], has(gt, kv[1])), list(CHOICES.items())[1:], F.when(s["genotype"] == "ref", has(gt, REF))).otherwise(F.lit(True))
     of_sample = lambda s: F.get(F.filter("calls", lambda c: c["sample"] == s["sample"]), F.lit(0))["gt"]
     ok = lambda s: F.coalesce(fits(s, of_sample(s)) | (F.coalesce(s["include_no_call"], F.lit(False)) & of_sample(s).contains(".")), F.lit(False))
     recessive = F.coalesce(setting("recessive_mode"), F.lit("disabled")) != "disabled"
     genotype = recessive | setting("sample_genotypes").isNull() | F.forall(setting("sample_genotypes"), ok)
     passed = rows.where(every([frequency, consequence, genes, regions, joined_quality(setting("sample_qualities")), genotype]))
-    asked = queries.agg(F.bool_or(F.coalesce("recessive_mode", F.lit("disabled")) != "disabled").alias("recessive"), F.bool_or("clinvar.presence_required").alias("clinvar")).first()
+    asked = queries.agg(F.bool_or(F.coalesce("recessive_mode", F.lit("disabled")) != "disabled").alias("recessive"), F.bool_or("clinvar.presence_required").alias("clinvar"), F.max(F.size("gene_allowlist")).alias("genes"), F.max(F.size("region_allowlist")).alias("regions")).first()
+    by = ["case_id", "query_id"]
+    if (asked.genes or 0) > MANY:
+        long = listed("gene_allowlist")
+        passed = passed.where(~long).unionByName(keep_genes(passed.where(long), queries.select(*by, F.explode("gene_allowlist").alias("gene_id")), by))
+    if (asked.regions or 0) > MANY:
+        long = listed("region_allowlist")
+        passed = passed.where(~long).unionByName(keep_regions(passed.where(long), queries.select(*by, F.explode("region_allowlist").alias("r")).select(*by, "r.*"), by))
     if asked.recessive:
         passed = passed.where(~recessive).unionByName(keep_recessive(passed.where(recessive)))
     if asked.clinvar:
@@ -372,7 +421,7 @@ def freq_and_distance(df: DataFrame) -> DataFrame:
     af = lambda c: allele_frequency(F.coalesce(c["an"], F.lit(0)), F.coalesce(c["hom"], F.lit(0)), F.coalesce(c["het"], F.lit(0)), F.coalesce(c["hemi"], F.lit(0)))
     mito = F.col("chrom_no") == 24
     freq = F.when(mito, F.lit(0.0).cast("float")).otherwise(F.greatest(af(F.col("gnomad_exomes")), af(F.col("gnomad_genomes"))))
-    return df.withColumns({"freq": freq, "exon_dist": F.when(mito, 0).otherwise(F.abs(F.try_element_at("ann", F.lit(1))["distance"]))})
+    return df.withColumns({"freq": freq, "exon_dist": F.when(mito, 0).otherwise(F.abs(F.get("ann", F.lit(0))["distance"]))})
 
 
 def prefilter(df: DataFrame, params: DataFrame) -> DataFrame:
