@@ -35,7 +35,7 @@ LONG = 100
 GRAM = 24
 WINDOW = LONG - GRAM + 1
 BATCHES, FIRST_BYTES = 4, 1 << 29
-SLICE = 4 << 20
+SLICE = 1 << 20
 SIZES = (32, 8, 1)
 TURN_H, TURN_C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
