@@ -16,8 +16,10 @@ Any order gives the same links; this one keeps what many texts share at the end
    a dense group that fall short of the limit end here, in the join's own condition, not as rows. Sets of over SKETCH / 2 n-grams also have
    a wide sketch of twice their size in bits, which doesn't saturate; it ends what is left of the pairs that can't be linked before their
    texts are fetched.
-4. Overlap of a pair: the global order is cut into FRAGMENTS by hash; every fragment of one set meets the same fragment of the other,
-   the partial overlaps are counted separately and summed per pair; the sum decides exactly. The pair is one row while that happens.
+4. Overlap of a pair: the same global order is cut into FRAGMENTS of about as many n-grams each. The sets of candidates are stored by
+   fragment; a fragment of one set is joined with the same fragment of the other, which counts their partial overlap, and the partial
+   counts are summed per pair. The first half of the fragments is counted first: a pair ends if all that is left can't reach the limit.
+   The sum over all fragments decides exactly.
 5. Components of the links, by minima.
 """
 
@@ -35,6 +37,8 @@ from varspark.llm.common import as_bytes, connected_components, discard, in_bloc
 
 BUCKETS = 18
 FRAGMENTS = 8
+#: Holders of an n-gram that meet in one place; more are dealt into blocks, each of which meets every block.
+BLOCK = 4096
 SKETCH = 512
 PIECE = 1 << 20
 TURN = 0x9E3779B97F4A7C15
@@ -173,36 +177,72 @@ def sets_of(docs: DataFrame, key: str, text: str, gram: int, percent: int, table
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(block, f"id {kind}, n long, signature binary, sketch array<long>, wide array<long>, prefix array<long>")
 
 
-def fragments_of(texts: DataFrame, gram: int) -> DataFrame:
-    """(x, y, text) to (x, y, parts): the set of the text cut into FRAGMENTS ranges of hashes."""
-    bounds = np.linspace(-(1 << 63), (1 << 63) - 1, FRAGMENTS + 1)[1:-1].astype(np.int64)
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches, "text", PIECE):
-            h, n = sets_in(as_bytes(batch.column(2)), gram)
-            # hashes stand in order of text and value, so a fragment of a text is a run of them
-            cell = np.repeat(np.arange(len(n)), n) * FRAGMENTS + np.searchsorted(bounds, h, side="right")
-            parts = lists(lists(h, np.bincount(cell, minlength=len(n) * FRAGMENTS)), np.full(len(n), FRAGMENTS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["x", "y", "parts"])
+def fragment_bounds(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, hash) where each fragment but the first begins in the global order: equal shares of all n-grams, within one count by hash,
+    as hashes are uniform."""
+    counts, buckets = np.unique(table[table > 0], return_counts=True)
+    mass = np.concatenate([[0], np.cumsum((counts * buckets).astype(np.float64))])
+    if not len(counts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    wanted = mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+    at = np.clip(np.searchsorted(mass, wanted, side="right") - 1, 0, len(counts) - 1)
+    share = (wanted - mass[at]) / (mass[at + 1] - mass[at])
+    return counts[at], np.clip((share - 0.5) * 2.0**64, -(2.0**63), 2.0**63 - 1025).astype(np.int64)
+
+
+def fragment_of(counts: np.ndarray, hashes: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The fragment of each n-gram, given how many n-grams its bucket has."""
+    out = np.zeros(len(hashes), np.int64)
+    for count, begin in zip(*bounds, strict=True):
+        out += (counts > count) | ((counts == count) & (hashes >= begin))
+    return out
 
-    kind = texts.schema["x"].dataType.simpleString()
-    return texts.mapInArrow(block, f"x {kind}, y {kind}, parts array<array<long>>")
 
+def fragments_of(texts: DataFrame, gram: int, table) -> DataFrame:
+    """(own, text) to (own, version, n, head, fragment, part): the set's n-grams in each fragment that it has any in. version tells apart
+    unlike texts of one key; n is the set's size, head how much of it stands in the first half of the fragments."""
+    bounds = fragment_bounds(table.value)
 
-def linked(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_blocks(batches, "text", PIECE):
+            h, n = sets_in(as_bytes(batch.column(1)), gram)
+            of = np.repeat(np.arange(len(n)), n)
+            fragment = fragment_of(table.value[bucket_of(h)], h, bounds)
+            order = np.lexsort((h, fragment, of))
+            cell = (of * FRAGMENTS + fragment)[order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            row, sizes = cell[first] // FRAGMENTS, np.diff(np.append(first, len(cell)))
+            head = np.bincount(of[fragment < FRAGMENTS // 2], minlength=len(n))
+            raw, begin = memoryview(h).cast("B"), np.cumsum(n) - n
+            version = np.array([xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + k)]) for a, k in zip(begin.tolist(), n.tolist(), strict=True)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(version[row]), pa.array(n[row], pa.int64()), pa.array(head[row], pa.int64()), pa.array((cell[first] % FRAGMENTS).astype(np.int32)), lists(h[order], sizes)], ["own", "version", "n", "head", "fragment", "part"])
+
+    kind = texts.schema["own"].dataType.simpleString()
+    return texts.mapInArrow(block, f"own {kind}, version long, n long, head long, fragment int, part array<long>")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, gram: int, percent: int, table) -> DataFrame:
     """Of the candidate pairs (x, y) those that are links: overlaps counted fragment by fragment, summed per pair. texts: (own, text).
 
-    A pair is one row that holds both sets by fragments; a fragment of one set meets the same fragment of the other only. A y with many
-    partners is a hot key of an ordinary join, which Spark splits."""
-    one = fragments_of(pairs.join(texts, pairs.x == texts.own).select("x", "y", "text"), gram)
-    two = pairs.select("y").distinct().join(texts, F.col("y") == texts.own).select(F.col("y").alias("x"), "y", "text")
-    two = fragments_of(two, gram).select("y", F.col("parts").alias("others"))
-    mine, theirs = ([F.col(name)[k] for k in range(FRAGMENTS)] for name in ("parts", "others"))
-    total = lambda counts: sum(counts, F.lit(0))
-    common = total(F.size(F.array_intersect(a, b)) for a, b in zip(mine, theirs, strict=True))
-    sizes = total(F.size(c) for c in (*mine, *theirs))
-    counted = one.join(two, "y").select("x", "y", common.alias("common"), sizes.alias("sizes"))
-    return counted.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    A set is cut once, however many pairs it is in. Pairs meet their fragments by (set, fragment), so a set with many partners is
+    as many keys as it has fragments, of an ordinary join that Spark splits."""
+    wanted = pairs.select(F.col("x").alias("own")).union(pairs.select("y")).distinct()
+    parts = saved(fragments_of(texts.join(wanted, "own", "left_semi").select("own", "text"), gram, table))
+    heads = parts.select("own", "version", "n", "head").distinct()
+    of = lambda df, v, names: df.select(*(F.col(c).alias(v if c == "own" else c if c == "fragment" else f"{c[0]}{v}") for c in names))
+    key = ["x", "vx", "y", "vy"]
+    left = pairs.select("x", "y").join(of(heads, "x", heads.columns).withColumnRenamed("hx", "headx"), "x").join(of(heads, "y", heads.columns).withColumnRenamed("hy", "heady"), "y").withColumn("c", F.lit(0).cast("long"))
+    rest = F.expr("least(nx - headx, ny - heady)")
+    for wave in ("fragment < %d", "fragment >= %d"):
+        own = parts.where(wave % (FRAGMENTS // 2))
+        met = left.select(*key).join(of(own, "x", ("own", "version", "fragment", "part")), ["x", "vx"]).join(of(own, "y", ("own", "version", "fragment", "part")), ["y", "vy", "fragment"])
+        counts = met.groupBy(*key).agg(F.sum(F.size(F.array_intersect("px", "py"))).alias("more"))
+        left = left.join(counts, key, "left").withColumn("c", F.col("c") + F.coalesce("more", F.lit(0))).drop("more")
+        left = left.where(F.col("c") + rest >= F.expr(needed(percent)))
+        rest = F.lit(0)
+    links = saved(left.where(f"100 * c >= {percent} * (nx + ny - c)").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct())
+    discard(parts)
+    return links
 
 
 def needed(percent: int) -> str:
@@ -280,7 +320,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         held = index.withColumn("c", F.col("x")) if component is None else index.join(component, index.x == component.id, "left").select("x", "nx", "h", "ax", F.coalesce("component_id", "x").alias("c"))
         held = saved(held)
         leader = F.min_by(F.struct("x", "nx", "ax", "c"), F.xxhash64("x", F.lit(turn)))
-        mixed = held.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), leader.alias("l")).where("c0 != c1")
+        mixed = held.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k"), leader.alias("l")).where("c0 != c1")
         if turn < 2:
             met = held.join(mixed.select("h", "l"), "h").where("c != l.c")
             own, other = F.struct("nx", "x", "ax"), F.struct(F.col("l.nx").alias("nx"), F.col("l.x").alias("x"), F.col("l.ax").alias("ax"))
@@ -292,16 +332,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             best = met.groupBy("f").agg(F.max_by(F.struct("x", "y", "nx", "ny"), F.struct("c", "l")).alias("p"))
             pairs = best.select("p.*").distinct()
         else:
-            one = saved(held.join(mixed.select("h"), "h").join(of_x, ["x", "nx"]))
-            two = one.select(F.col("h").alias("h2"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("c").alias("cy"), F.col("sx").alias("sy"))
+            one = saved(held.join(mixed.select("h", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "h").join(of_x, ["x", "nx"]))
+            block, blocks = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            two = one.select(F.col("h").alias("h2"), block.alias("j2"), blocks.alias("i2"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("c").alias("cy"), F.col("sx").alias("sy"))
             near = f"(nx < ny OR nx = ny AND x < y) AND 100 * nx >= {percent} * ny"
-            met = one.join(two, F.expr(f"h = h2 AND c != cy AND {near} AND {alike(percent)}")).withColumn("first", F.expr(possible(percent)))
+            dealt = one.withColumn("i", block).withColumn("j", blocks)
+            met = dealt.join(two, F.expr(f"h = h2 AND i = i2 AND j = j2 AND c != cy AND {near} AND {alike(percent)}")).withColumn("first", F.expr(possible(percent)))
             pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("first").alias("first")).where(f"first AND {enough(percent)}").select("x", "y", "nx", "ny")
         pairs = saved(still_alike(saved(pairs), wide, percent))
         # the components so far are stars, which stand for all links that made them
-        edges, stars = linked(pairs, texts, gram, percent), component
+        edges, stars = linked(pairs, texts, gram, percent, counts), component
         component = connected_components(edges if stars is None else edges.union(stars))
-        for spent in (held, pairs) if stars is None else (held, pairs, stars):
+        for spent in (held, pairs, edges) if stars is None else (held, pairs, edges, stars):
             discard(spent)
         release(spark)
 
