@@ -368,6 +368,100 @@ def test_gradient():
             assert (up - down) / 2e-6 == pytest.approx(g[name][at], abs=1e-6)
 
 
+def test_attention_is_what_a_loop_gives():
+    """The forward pass and score of the gated attention, passage by passage, without arrays of bags."""
+    draw = np.random.default_rng(5)
+    model = quality.Attention(4)
+    model.mean, model.spread = draw.normal(size=4), draw.uniform(0.5, 2, 4)
+    x, first = draw.normal(size=(9, 4)), np.array([0, 1, 5])
+    p, got = model.p, model.score(x, first)
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    for bag, (a, b) in enumerate(zip(first, [*first[1:], len(x)], strict=True)):
+        attention, encoded = [], []
+        for row in x[a:b]:
+            h = [(row[k] - model.mean[k]) / model.spread[k] for k in range(4)]
+            dot = lambda m, j, h=h: sum(h[k] * m[k, j] for k in range(4))
+            gate = [np.tanh(dot(p["V"], j)) * logistic(dot(p["U"], j)) for j in range(quality.HIDDEN)]
+            attention.append(np.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+            encoded.append([np.tanh(dot(p["E"], j) + p["e"][j]) for j in range(quality.HIDDEN)])
+        mean = [sum(w * e[j] for w, e in zip(attention, encoded, strict=True)) / sum(attention) for j in range(quality.HIDDEN)]
+        assert got[bag] == pytest.approx(logistic(sum(m * c for m, c in zip(mean, p["c"], strict=True)) + p["b"][0]))
+
+
+def test_scores_are_of_whole_bags(spark, odd, labels):
+    """What score_quality writes is the score of the trained model over the encodings of a text's own passages."""
+    own = labels.select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(odd, own, "doc_id", "text")
+    for r in quality.score_quality(odd, own).collect():
+        assert r.score == pytest.approx(float(model.score(*quality.encode([(r.text or "").encode()]))[0]))
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_risk_is_what_a_loop_gives(prior):
+    """The non-negative risk, its gradient by differences, and that it turns round where the second term is below zero."""
+    draw = random.Random(9)
+    positive, unlabelled = ([sorted(draw.sample(range(6), draw.randrange(4))) for _ in range(n)] for n in (7, 11))
+    theta = np.array([draw.gauss(0, 1) for _ in range(7)])
+    p, u = np.arange(7), np.array([3, 0, 10, 4, 4])
+    loss = lambda hits, sign, theta: 1 / (1 + np.exp(sign * (sum(theta[k] for k in hits) + theta[-1])))
+    mean = lambda rows, sign, theta: sum(loss(h, sign, theta) for h in rows) / len(rows)
+    some = [unlabelled[k] for k in u]
+
+    def parts(theta):
+        return prior * mean(positive, 1, theta), mean(some, -1, theta) - prior * mean(positive, -1, theta)
+
+    value, slope = toxicity.risk(toxicity.Rows(positive), p, toxicity.Rows(unlabelled), u, theta, prior)
+    plus, rest = parts(theta)
+    assert value == pytest.approx(plus + max(0, rest))
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        (up, up_rest), (down, down_rest) = parts(theta + step), parts(theta - step)
+        turned = -(up_rest - down_rest) if rest < 0 else up + up_rest - down - down_rest
+        assert slope[k] == pytest.approx(turned / 2e-6, abs=1e-6)
+
+
+def test_toxicity_counts_unlike_words_of_one_beginning():
+    found = toxicity.features_of(b"achlichein achlichpf, ACHLICHEIN other")
+    assert {b"^achlich", b"2^achlich", b"achlichpf"} <= found and b"3^achlich" not in found
+    model = toxicity.Linear(sorted({b"2^achlich", b"other", b"3^achlich"}))
+    assert model.hits(b"achlichein achlichpf other") == [model.index[b"2^achlich"], model.index[b"other"]] and model.hits(b"achlichein achlichein") == []
+
+
+def test_fragments_are_ranges_of_the_order():
+    draw = np.random.default_rng(2)
+    table = np.zeros(1 << jaccard.BUCKETS, np.int64)
+    hashes = draw.integers(-(1 << 63), 1 << 63, 20_000)
+    np.add.at(table, jaccard.bucket_of(hashes), 1)
+    counts = table[jaccard.bucket_of(hashes)]
+    fragment = jaccard.fragment_of(counts, hashes, jaccard.fragment_bounds(table))
+    order = np.lexsort((hashes, counts))
+    assert (np.diff(fragment[order]) >= 0).all() and np.bincount(fragment, minlength=jaccard.FRAGMENTS).min() > 2000
+    assert (jaccard.fragment_of(counts, hashes, jaccard.fragment_bounds(np.zeros(4, np.int64))) == 0).all()
+
+
+@pytest.mark.parametrize("block", [2, jaccard.BLOCK])
+def test_jaccard_between_the_limits(spark, monkeypatch, block):
+    """Texts of one family at similarities around the limit, in a group whose holders meet in blocks, against all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    draw = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for k in draw.sample(range(120), draw.randrange(1, 5)):
+            own[k] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    component = list(range(70))
+    for _ in range(70):
+        component = [min(component[j] for j in range(70) if near(sets[i], sets[j])) for i in range(70)]
+    shares = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(70) for j in range(i)]
+    assert sum(0.6 < s < 0.8 for s in shares) > 100 and len(set(component)) > 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == dict(enumerate(component))
+
+
 def test_toxicity(spark, odd):
     draw = random.Random(4)
     rows = [(k, prose(draw, 60) + (" you vilest " if k % 5 == 0 else " ") + prose(draw, 60), int(k % 5 == 0)) for k in range(400)]
@@ -545,14 +639,14 @@ def test_pipeline_keeps_a_repeated_row_once(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 14))
 
 
 def test_vectors_of_another_width(spark):
-    """The usual width is the table's, not a block's: one longer vector takes no other's links, however rows are dealt."""
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [0.0, 1.0])]
+    """Each width is a space of its own, however rows are dealt."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [0.0, 1.0]), (6, [1.0, 0.01, 0.0]), (7, [0.0, 0.0, 1.0]), (8, [1.0]), (9, []), (10, [0.0, 0.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()}
-    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (0, 5), 6: (1, 3), 7: (0, 7), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
 
 
 def test_short_items_at_every_place(spark):

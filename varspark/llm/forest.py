@@ -41,11 +41,10 @@ BLOCK = 4096
 STRIP = 512
 
 
-def usual_width(vectors: DataFrame, column: str) -> int:
-    """The width that most vectors of the whole table have, of several the least; 0 without any. Other vectors link with nothing."""
-    widths = vectors.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("width")).agg(F.count("*").alias("n"))
-    most = widths.agg(F.max_by("width", F.struct("n", -F.col("width"))).alias("width")).first().width
-    return most or 0
+def widths(vectors: DataFrame, column: str) -> list[int]:
+    """The widths that two or more vectors of the table have; each is a space of its own."""
+    counts = vectors.where(F.size(column) > 0).groupBy(F.size(column).alias("width")).agg(F.count("*").alias("n")).where("n > 1")
+    return sorted(r.width for r in counts.collect())
 
 
 def usable(x: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +103,15 @@ def direction(seed: int, node: int, width: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum())
 
 
-def as_points(vectors: DataFrame, key: str, column: str, kind: str) -> DataFrame:
-    """(id, v): usable vectors as the bytes of their components."""
-    width = usual_width(vectors, column)
+def as_points(vectors: DataFrame, key: str, column: str, kind: str, width: int) -> DataFrame:
+    """(id, v): usable vectors of a width as the bytes of their components."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, good = usable(batch.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.astype(kind).tobytes() for v in x[good]], pa.binary())], ["id", "v"])
 
-    return vectors.select(F.col(key).alias("id"), F.col(column).alias("v")).where("id IS NOT NULL").mapInArrow(block, "id long, v binary")
+    return vectors.select(F.col(key).alias("id"), F.col(column).alias("v")).where((F.col("id").isNotNull()) & (F.size("v") == width)).mapInArrow(block, "id long, v binary")
 
 
 def in_leaves(points: DataFrame, trees: list[Tree], kind: str) -> DataFrame:
@@ -255,13 +253,25 @@ def dense(leaf: DataFrame, limit: float, kind: str) -> DataFrame:
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", limit: float = 0.9) -> DataFrame:
     """(key, n_links, component_id, kept): rows linked by a cosine of `limit` or more that the forest finds; never one below it.
 
-    key: an integer column. Vectors that are null, zero, or hold a null or non-finite component, or of another width than most of their
-    block, link with nothing and are components of their own, as rows with a null key are. Equal directions always link. Repeated rows
-    each give a row; other columns are left out. An empty table gives an empty one.
+    key: an integer column. Vectors are compared with those of their own width. Those that are null, zero, or hold a null or non-finite
+    component link with nothing and are components of their own, as rows with a null key are. Equal directions always link. Repeated rows
+    each give a row; other columns are left out. An empty table gives an empty one. Ties: of equal vectors the least key speaks for all;
+    a point as near to two leaders goes to the first in the order of the sample's components, which is the same in every run.
     """
+    ids = vectors.select(F.col(key).alias("key"), F.size(column).alias("size"))
+    every = vectors.sparkSession.createDataFrame([], "id long, n_links long, component_id long, width int")
+    for width in widths(vectors, column):
+        every = every.union(of_width(vectors, key, column, limit, width).withColumn("width", F.lit(width)))
+    out = ids.join(every, (ids.key == every.id) & (ids.size == every.width), "left")
+    component = F.coalesce("component_id", "key")
+    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
+
+
+def of_width(vectors: DataFrame, key: str, column: str, limit: float, width: int) -> DataFrame:
+    """(id, n_links, component_id) of the usable vectors of a width."""
     spark = vectors.sparkSession
     kind = "<f4" if "float" in vectors.schema[column].dataType.simpleString() else "<f8"
-    rows = saved(as_points(vectors, key, column, kind))
+    rows = saved(as_points(vectors, key, column, kind, width))
     points = saved(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
     n = points.count()
     sample = points.select("id", "v").where(F.shiftrightunsigned(F.xxhash64("v"), 11) / F.lit(float(1 << 53)) < F.lit(SAMPLE / max(n, 1))).toArrow()
@@ -317,6 +327,4 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
         near = near.union(cores.select("id", "near")).groupBy("rep").agg(F.sum("near").alias("near"))
     each = own.join(near, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     each = each.select("rep", (F.coalesce("near", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    of_row = rows.join(points.select("v", F.col("id").alias("rep")), "v").join(each, "rep").select(F.col("id"), "n_links", "component_id").distinct()
-    ids = vectors.select(F.col(key).alias("key"))
-    return ids.join(of_row, ids.key == of_row.id, "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce(F.coalesce("component_id", "key") == F.col("key"), F.lit(True)).alias("kept"))
+    return rows.join(points.select("v", F.col("id").alias("rep")), "v").join(each, "rep").select(F.col("id"), "n_links", "component_id").distinct()
