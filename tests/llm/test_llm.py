@@ -564,6 +564,14 @@ def test_round_trip(spark, odd, texts):
 # vectors
 
 
+def test_long_texts_come_back(spark):
+    draw = random.Random(8)
+    long = [prose(draw, 60_000), "x" * 50_000, " ".join(["漢字 🙂"] * 20_000)]
+    df = spark.createDataFrame([(k, t, "more") for k, t in enumerate([*long, None, *["a b"] * 40])], "doc_id long, text string, decoded string")
+    rows = pieces.decode(pieces.encode(df)).collect()
+    assert len(rows) == 44 and all(r.decoded == (r.text or "") for r in rows)
+
+
 def test_forest(spark, odd):
     draw = np.random.default_rng(9)
     x = draw.normal(size=(400, 16))
@@ -631,6 +639,16 @@ def test_pipeline(spark, odd, labels, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_pieces", "ids"]
 
 
+def test_pipeline_of_nothing(spark, odd, labels, tmp_path):
+    """Every stage on an empty table, the others as they are."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    nothing = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, str(tmp_path))
+        assert out.count() == 0 and (name == "pieces" or out.columns == list(corpus_pipeline.COLUMNS))
+
+
 def test_pipeline_keeps_a_repeated_row_once(spark):
     text = prose(random.Random(13), 30)
     rows = [(1, text, "en", "b", 9), (1, text, "en", "a", 9), (2, text, "en", "a", 9), (3, None, None, None, None), (3, None, None, None, None), (4, "", "en", "a", 0)]

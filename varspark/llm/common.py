@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -15,18 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where it is unset and the master is local (tests), a temporary one;
-    on a cluster that is an error, for no local folder is seen by all executors."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
+from varspark.sources.scratch import shared_dir
 
 
 def saved(df: DataFrame) -> DataFrame:

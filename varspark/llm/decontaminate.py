@@ -164,7 +164,8 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     """One row per passage of a text within the edit budget of an item: key, item key, start, end (code points of the plain text), edits, item_bytes.
 
     Null and empty texts and items match nothing. Rows and items alike are each compared; an item twice in a text is found twice if the
-    places don't overlap. Without items the result is empty. Other columns are left out.
+    places don't overlap. Without items the result is empty. Texts of any length are searched as wholes, with arrays of eight bytes for each
+    byte of the text. item_key must be an integer column. Other columns are left out.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, start long, end long, edits int, item_bytes int"

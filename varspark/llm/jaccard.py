@@ -288,7 +288,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     key must be an integer column that tells documents apart: rows of one key with unlike texts count as one document with links of
     any of them. A text with fewer than `gram` words is one n-gram as a whole; a null text or one without words has an empty set, links
-    with nothing and is its own component. Repeated rows each give a row. A null key takes no part and has null as component. Other
+    with nothing and is its own component. Texts of any length give their whole set. Repeated rows each give a row. A null key takes no part and has null as component. Other
     columns are left out.
     """
     spark = docs.sparkSession

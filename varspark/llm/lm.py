@@ -154,7 +154,7 @@ def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", te
     """Per row of docs: id, n_tokens, n_known, train_tokens, base_score, score. training: which rows to learn from.
 
     Null and empty texts have one token, the end. Rows alike are scored alike, and each counts in training as often as it is there.
-    With nothing to learn from, every token is unknown. Ids may repeat or be null: rows are told apart by numbers of their own. Other
+    With nothing to learn from, every token is unknown. Texts of any length are scored as wholes. Ids may repeat or be null: rows are told apart by numbers of their own. Other
     columns of docs are left out.
     """
     spark = docs.sparkSession

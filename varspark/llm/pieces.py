@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -25,6 +26,7 @@ from varspark.llm.common import as_bytes, in_blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MEMO = 600_000
+DECODED = 1 << 18
 UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -105,7 +107,8 @@ class Encoder:
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """docs with the piece ids of each text as array<int>. A column named as `ids` is replaced. Null and empty texts have no ids."""
+    """docs with the piece ids of each text as array<int>. A column named as `ids` is replaced. Null and empty texts have no ids.
+    Texts of any length are encoded as wholes; rows alike get the same ids."""
     docs = docs.drop(ids)
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model))
     at = docs.columns.index(text)
@@ -123,7 +126,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
 def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """docs with the text of the ids. A column named as `text` is replaced. Null or no ids give an empty text.
 
-    A text with the mark itself comes back with a space in its place; every other text comes back as it was.
+    Rows are taken DECODED ids at a time, a longer one alone. A text with the mark itself comes back with a space in its place; every other text comes back as it was.
     """
     docs = docs.drop(text)
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model))
@@ -131,10 +134,13 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(at)
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                texts = [shared.value.decode(x or []).decode("utf-8", "replace") for x in lists.slice(first, 1000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            lists, first = batch.column(at), 0
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            for last in [*(np.flatnonzero(np.diff(np.cumsum(sizes) // DECODED)) + 1), batch.num_rows]:
+                if last > first:
+                    part = batch.slice(first, last - first)
+                    texts = [shared.value.decode(x or []).decode("utf-8", "replace") for x in part.column(at).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+                first = last
 
     return docs.mapInArrow(block, StructType([*docs.schema, StructField(text, StringType())]))

@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """docs with a column `score`, 0 to 1: how likely label 1 is. labels: (key, label), the rows to learn from.
 
     A column named as `score` is replaced. Null texts count as empty; an empty text is a bag of one empty passage and gets a score
-    like any. Rows alike get the same score.
+    like any. Rows alike get the same score. Texts of any length are encoded as wholes, all passages of one in one bag.
     """
     model = train(docs, labels, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)

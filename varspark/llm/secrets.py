@@ -146,7 +146,7 @@ def least_bins(docs: DataFrame, text: str, rate: float) -> dict[int, int]:
 def scan_secrets(docs: DataFrame, text: str = "text", rate: float = 0.001) -> DataFrame:
     """docs with `base` and `spans`: arrays of (start, kind, end) in code points, ordered by start, then kind as in KINDS.
 
-    Null and empty texts have empty arrays. Columns named base or spans in docs are replaced. Rows that are alike get the same spans.
+    Null and empty texts have empty arrays. Texts of any length are scanned as wholes. Columns named base or spans in docs are replaced. Rows that are alike get the same spans.
     A random token that overlaps a base span adds nothing and is left out.
     """
     plain = F.coalesce(F.col(text), F.lit(""))

@@ -1,15 +1,16 @@
-"""Suffix-array dedup with a logarithmic family of indexes.
+"""Removal of repeated bytes with a logarithmic family of indexes.
 
 What is removed: each byte covered by a string of LONG bytes that also starts earlier (a smaller key, or the same text further left).
 
-The suffix array is sparse: of every LONG-byte window one suffix is indexed, the one that begins with the window's least hash of GRAM
-bytes (leftmost of equals), about one suffix in 39. Equal windows pick the same suffix at the same offset, so nothing is lost. A suffix
-stands in the index by the hash of its first GRAM bytes, and then by the hash of all bytes that its own windows cover; texts alike there
-are one class, of which only the first place is kept.
+The method named is a family of suffix arrays. Here the levels hold selected suffixes by hashes, and no suffixes are ordered: of every
+LONG-byte window one suffix is indexed, the one that begins with the window's least hash of GRAM bytes (leftmost of equals), about one
+suffix in 39. Equal windows pick the same suffix at the same offset, so nothing is lost. A suffix stands in a level by the hash of its first
+GRAM bytes, and then by the hash of all bytes that its own windows cover; texts alike there are one class, of which only the first place is
+kept. Hashes can be dealt out and combined before a shuffle, which the order of suffixes can't, and a window needs its left side too.
 
-* Batches come in the order of their keys. A batch's suffixes are sorted (h, c) and merge-scanned with the levels of the family, a
-  sort-merge join; a suffix whose class stands in a level, or earlier in the batch, has all its windows marked. New classes become
-  a level. Before the next batch, levels of equal size merge, so there are no more than the logarithm of the number of batches.
+* Batches come in the order of their keys. A batch's suffixes are looked up by (h, c) in all levels of the family, an equi-join; a suffix
+  whose class stands in a level, or earlier in the batch, has all its windows marked. New classes become a level. Before the next batch,
+  levels of equal size merge, so there are no more than the logarithm of the number of batches.
 * Classes that share h but differ in c agree in some windows only. The bytes around their first places are fetched from the texts, and their
   windows are halved in, by SIZES: in cells of 32 windows, equal parts leave but the first, and parts whose core (the bytes that all windows of
   the cell have in common) nobody shares end; what is left goes on in cells of 8, then window by window. Every step is a least place by hash.
@@ -106,7 +107,7 @@ def index_of(docs: DataFrame) -> DataFrame:
 
 
 class Family:
-    """Levels (h, c, id, at) of first places, sorted by (h, c); classes are distinct over all levels."""
+    """Levels (h, c, id, at) of first places, dealt out by h; classes are distinct over all levels."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
@@ -228,7 +229,7 @@ def cut_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int | None = None) -> DataFrame:
     """(key, n_bytes, kept, n_removed, n_spans): kept is the text's bytes without what repeats earlier ones.
 
-    Null and empty texts, and those under LONG bytes, stay whole; texts of any length are handled, in slices. Rows with a null key stay whole
+    Null and empty texts, and those under LONG bytes, stay whole; texts of any length are handled, in slices. key: a numeric column. Rows with a null key stay whole
     and mark nothing. Of repeated texts the one of least key stays. Rows that have a key in common: equal texts count as one text, and each of
     the rows gets its result; unlike texts of one key come in the order of their bytes. Other columns are left out.
     """

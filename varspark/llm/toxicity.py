@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Linear:
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
     """docs with a column `score`, 0 to 1: how likely the text is toxic. labels: (key, label), the rows to learn from; 1 is toxic.
 
-    A column named as `score` is replaced. Null texts count as empty and get a score as any text without a feature. Rows alike get
+    A column named as `score` is replaced. Null texts count as empty and get a score as any text without a feature. Texts of any length are looked at as wholes. Rows alike get
     the same score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text))
