@@ -235,6 +235,22 @@ def test_long_lists_in_a_query(spark):
     assert sorted(r.pos for r in seqvars.filter_seqvars(df, {"region_allowlist": regions}).collect()) == [0, 10, 20]
 
 
+def test_long_lists_in_many_queries(spark, tmp_path):
+    df = trio(spark, [["0/1", "0/0", "0/0"]] * 30)
+    genes, regions = [f"HGNC:{k}" for k in range(1000)], [{"chrom": "1", "start": 10 * k, "stop": 10 * k} for k in range(1000)]
+    queries = settings_of(spark, tmp_path, {"query_id": "genes", "case_id": "c", "gene_allowlist": ["G", *genes]}, {"query_id": "other", "case_id": "c", "gene_allowlist": genes}, {"query_id": "regions", "case_id": "c", "region_allowlist": regions}, {"query_id": "short", "case_id": "c", "gene_allowlist": ["G"], "region_allowlist": regions[:2]})
+    got = seqvars.filter_by_queries(df, queries).collect()
+    want = {"genes": list(range(30)), "regions": [0, 10, 20], "short": [0, 10]}
+    assert {q: sorted(r.pos for r in got if r.query_id == q) for q in {r.query_id for r in got}} == want
+
+
+def test_long_lists_of_places_by_query(spark):
+    svs = spark.createDataFrame([(k, q, 0, 0, 100 * k, 100 * k + 50, "DEL") for k in range(20) for q in "ab"], "sv_id int, query_id string, chrom_no int, chrom_no2 int, pos int, sv_end int, sv_type string")
+    places = spark.createDataFrame([("a", 0, 0, 250), ("b", 0, 1000, 1010), ("b", 1, None, None)], "query_id string, chrom_no int, begin long, end long")
+    got = {(r.query_id, r.sv_id) for r in strucvars.keep_places(svs, places, by=("query_id",)).collect()}
+    assert got == {("a", 0), ("a", 1), ("a", 2), ("b", 10)}
+
+
 def test_long_lists_of_places(spark):
     draw = random.Random(4)
     rows = [(k, k % 2, 1 - k % 2, p := draw.randrange(10**6), p + draw.randrange(2000), draw.choice(["DEL", "INS", "BND"])) for k in range(300)]

@@ -17,14 +17,14 @@ def _probes(svs: DataFrame, slack: int = 0) -> DataFrame:
     return svs.select("sv_id", F.col("sv_type").alias("own_type"), F.col("chrom_no").alias("own_chrom"), begin.alias("pb"), end.alias("pe"))
 
 
-def probe_ends(svs: DataFrame, slack: int) -> DataFrame:
+def probe_ends(svs: DataFrame, slack: int, more: tuple[str, ...] = ()) -> DataFrame:
     """The span of a variant; of INS the point and of BND both ends, each on its own contig, with slack around."""
     around = lambda no, at: F.struct(no.alias("own_chrom"), (at - 1 - slack).alias("pb"), (at + slack).alias("pe"))
     span = F.array(F.struct(F.col("chrom_no").alias("own_chrom"), (F.col("pos") - 1).alias("pb"), F.col("sv_end").alias("pe")))
     second = F.coalesce("chrom_no2", "chrom_no") if "chrom_no2" in svs.columns else F.col("chrom_no")
     point = around(F.col("chrom_no"), F.col("pos"))
     probes = F.when(F.col("sv_type") == "BND", F.array(point, around(second, F.col("sv_end")))).when(F.col("sv_type") == "INS", F.array(point)).otherwise(span)
-    return svs.select("sv_id", F.col("sv_type").isin("INS", "BND").alias("point"), F.explode(probes).alias("p")).select("sv_id", "point", "p.*")
+    return svs.select("sv_id", *more, F.col("sv_type").isin("INS", "BND").alias("point"), F.explode(probes).alias("p")).select("sv_id", *more, "point", "p.*")
 
 
 def gene_pairs(svs: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -369,7 +369,11 @@ def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | No
     queries is joined by case_id; it is a few rows a case, so Spark broadcasts it while that is small and shuffles beyond. Recessive
     queries and those that require ClinVar (clinvar: as for filter_clinvar) go on to further joins, the others are done.
     """
-    q = queries.select("case_id", "query_id", F.struct(*(c for c in queries.columns if c not in ("case_id", "query_id"))).alias("q"))
+    lists = ("gene_allowlist", "region_allowlist")
+    size = lambda name: F.coalesce(F.size(name), F.lit(0))
+    # long lists don't go along with the rows
+    own = [F.when(size(c) <= MANY, F.col(c)).alias(c) if c in lists else F.col(c) for c in queries.columns if c not in ("case_id", "query_id")]
+    q = queries.select("case_id", "query_id", F.struct(*own, *((size(c) > MANY).alias(f"long_{c}") for c in lists)).alias("q"))
     rows = df.join(q, "case_id")
     setting = lambda *path: reduce(lambda c, name: c[name], path, F.col("q"))
 
@@ -387,8 +391,8 @@ def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | No
     frequency = F.when(F.col("chrom_no") == 24, every(mito)).otherwise(every(nuclear))
     terms = F.coalesce(setting("consequences"), F.array().cast("array<string>"))
     consequence = (F.size(terms) == 0) | (F.col("chrom_no") == 24) | F.exists("ann", lambda a: F.arrays_overlap(a["consequences"], setting("consequences")))
-    listed = lambda name: F.coalesce(F.size(setting(name)), F.lit(0)) > MANY  # noqa: E731  these go on to joins
-    genes = setting("gene_allowlist").isNull() | listed("gene_allowlist") | F.exists("ann", lambda a: F.array_contains(setting("gene_allowlist"), a["gene_id"]))
+    listed = lambda name: setting(f"long_{name}")  # noqa: E731  these go on to joins
+    genes = setting("gene_allowlist").isNull() | F.exists("ann", lambda a: F.array_contains(setting("gene_allowlist"), a["gene_id"]))
     stop = F.col("pos") + F.length("ref") - 1
     near = lambda r: (r["chrom_no"] == F.col("chrom_no")) & (r["start"].isNull() | ((r["start"] <= stop) & (r["stop"] >= F.col("pos"))))
     regions = (F.size(F.coalesce(setting("region_allowlist"), F.array())) <= 0) | listed("region_allowlist") | F.exists(setting("region_allowlist"), near)
@@ -402,10 +406,10 @@ def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | No
     by = ["case_id", "query_id"]
     if (asked.genes or 0) > MANY:
         long = listed("gene_allowlist")
-        passed = passed.where(~long).unionByName(keep_genes(passed.where(long), queries.select(*by, F.explode("gene_allowlist").alias("gene_id")), by))
+        passed = passed.where(~long).unionByName(keep_genes(passed.where(long), queries.where(size("gene_allowlist") > MANY).select(*by, F.explode("gene_allowlist").alias("gene_id")), by))
     if (asked.regions or 0) > MANY:
         long = listed("region_allowlist")
-        passed = passed.where(~long).unionByName(keep_regions(passed.where(long), queries.select(*by, F.explode("region_allowlist").alias("r")).select(*by, "r.*"), by))
+        passed = passed.where(~long).unionByName(keep_regions(passed.where(long), queries.where(size("region_allowlist") > MANY).select(*by, F.explode("region_allowlist").alias("r")).select(*by, "r.*"), by))
     if asked.recessive:
         passed = passed.where(~recessive).unionByName(keep_recessive(passed.where(recessive)))
     if asked.clinvar:
