@@ -99,6 +99,14 @@ def test_prefilter_params(spark, tmp_path):
     assert {(r.max_freq, r.max_exon_dist) for r in rows} == {(0.2, 7), (0.5, 3), (0.1, 4)} and {"a", "b"} < {r.param_id for r in rows}
 
 
+def test_tokens_of_genes(spark):
+    """By each kind of name; one that names nothing is reported, one that names several genes gives them all."""
+    links = spark.createDataFrame([("HGNC:5", 121, 7, "ONE"), ("HGNC:6", 122, 8, "TWO"), ("HGNC:9", 122, 8, "TWO")], "hgnc_id string, ensembl_id long, entrez_id long, symbol string")
+    found, unknown = seqvars.translate_genes(spark.createDataFrame([(x,) for x in ("HGNC:5", "7", "ENSG00000000122", "TWO", "8", "what", "TWO")], "token string"), links)
+    want = {("HGNC:5", "HGNC:5"), ("7", "HGNC:5"), *((x, g) for x in ("ENSG00000000122", "TWO", "8") for g in ("HGNC:6", "HGNC:9"))}
+    assert {tuple(r) for r in found.collect()} == want and [r.token for r in unknown.collect()] == ["what"]
+
+
 # a whole run over a small family, by hand
 
 
@@ -326,6 +334,7 @@ def test_streamed_state_follows_its_batches(spark, tmp_path):
     def read():
         return {tuple(r) for r in stream.count_stream(spark, table).collect()}
 
+    assert read() == set()
     for k, rows in enumerate(batches):
         batch = spark.createDataFrame(rows, stream.CALLS)
         whole += rows

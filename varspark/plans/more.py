@@ -457,12 +457,14 @@ def sv_settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", F.substring_index("query_id", ":", -1).alias("query_id"), "sv_id", F.get("matched", F.lit(0))["effective"].alias("effective"))
 
 
-@query("SELECT 'a' AS param_id, cast(0.004 AS double) AS max_freq, 50 AS max_exon_dist, (SELECT count(*) FROM lineitem) AS n UNION ALL SELECT 'b', cast(0.008 AS double), 200, (SELECT count(*) FROM lineitem)")
+@query(""", p AS (SELECT 'a' AS param_id, cast(0.004 AS double) AS max_freq, 50 AS max_exon_dist UNION ALL SELECT 'b', cast(0.008 AS double), 200 UNION ALL SELECT 'none', cast(0 AS double), 1000)
+SELECT param_id, max_freq, max_exon_dist, count(site_id) AS n, count(DISTINCT case_id) AS cases FROM p LEFT JOIN fx_calls ON CASE WHEN chrom_no = 24 THEN true ELSE cast((2 * hom + het + hemi) / 1000.0 AS float) <= cast(max_freq AS float) AND exon_dist <= max_exon_dist END GROUP BY ALL""", "fx_calls")
 def prefilter_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameter sets from a text and from a file, beside the number of rows they are for."""
-    path = text_of(spark.createDataFrame([('{"prefilter_path": "b", "max_freq": 0.008, "max_exon_dist": 200}',)], "value string"), "params")
-    rows = tables.load_prefilter_params(spark, ['{"prefilter_path": "a", "max_freq": 0.004, "max_exon_dist": 50}', f"@{path}"])
-    return rows.join(view(spark, sf_dir, "fx_calls").agg(F.count("*").alias("n")))
+    """Parameter sets from a text and from a file of JSON lines, and how many variants of how many cases pass each."""
+    path = text_of(spark.createDataFrame([('{"prefilter_path": "b", "max_freq": 0.008, "max_exon_dist": 200}',), ('{"prefilter_path": "none", "max_freq": 0.0, "max_exon_dist": 1000}',)], "value string"), "params")
+    params = tables.load_prefilter_params(spark, ['{"prefilter_path": "a", "max_freq": 0.004, "max_exon_dist": 50}', f"@{path}"])
+    passed = seqvars.prefilter(R.trio_variants(spark, sf_dir), params).groupBy("param_id").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("cases"))
+    return params.join(passed, "param_id", "left").select("param_id", "max_freq", "max_exon_dist", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("cases", F.lit(0)).cast("long").alias("cases"))
 
 
 # writers

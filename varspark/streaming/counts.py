@@ -17,6 +17,7 @@ from varspark.operators.counts import CLASSES, KEY, classified
 
 CALLS = "case_id long, sample string, chrom_no int, pos int, ref string, alt string, gt string"
 STATE = "case_id long, sample string, chrom_no int, pos int, ref string, alt string, class string, batch long"
+COUNTS = ", ".join(["chrom_no int, pos int, ref string, alt string", *(f"{c} long" for c in CLASSES), "batch long, part string"])
 #: Bases of a range of variants, as a power of 2.
 RANGE = 20
 
@@ -69,7 +70,7 @@ def store_batch(batch: DataFrame, number: int, pedigree: DataFrame, table: str,
     change = changed.groupBy(*KEY).agg(*sums, F.min("n").alias("n")).where(" OR ".join(["n > 0", *(f"{c} != 0" for c in CLASSES)])).drop("n")
     change = change.withColumn("part", range_of())
     touched = log(change, "range", "part")
-    known = read_or_none(spark, f"{table}/counts", ", ".join(["chrom_no int, pos int, ref string, alt string", *(f"{c} long" for c in CLASSES), "batch long, part string"])).where(F.col("batch") < number)
+    known = read_or_none(spark, f"{table}/counts", COUNTS).where(F.col("batch") < number)
     before = latest(spark, table, "range", "part", number).join(touched, "part", "left_semi")
     counts = known.join(F.broadcast(before), ["part", "batch"], "left_semi").select(*KEY, *CLASSES, "part")
     put(counts.unionByName(change).groupBy(*KEY, "part").agg(*(F.sum(c).cast("long").alias(c) for c in CLASSES)), "counts")
@@ -87,4 +88,4 @@ def stream_counts(spark: SparkSession, calls_dir: str, pedigree: DataFrame, tabl
 def count_stream(spark: SparkSession, table: str) -> DataFrame:
     """The counts of everything streamed so far, as count_classes() gives them: the last state of each range, without any grouping."""
     now = latest(spark, table, "range", "part")
-    return spark.read.parquet(f"{table}/counts").join(F.broadcast(now), ["part", "batch"], "left_semi").select(*KEY, *CLASSES)
+    return read_or_none(spark, f"{table}/counts", COUNTS).join(F.broadcast(now), ["part", "batch"], "left_semi").select(*KEY, *CLASSES)
