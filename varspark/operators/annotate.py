@@ -66,11 +66,13 @@ def nearest_boundary(svs: DataFrame, boundaries: DataFrame, most: int = 10_000)
     return nearest(points, boundaries, {"own_chrom": "chrom_no"}, "at", "boundary", most, ["sv_id"])
 
 
-def clinvar_overlaps(svs: DataFrame, clinvar: DataFrame, min_overlap: float = 0.75, least: int = 4) -> DataFrame:
-    """(sv_id, rcvs) for all but INS and BND. clinvar: chrom_no, b, e, significance (1 to 5), rcv (number)."""
+def clinvar_overlaps(svs: DataFrame, clinvar: DataFrame, min_overlap: float | None = None, least: int = 1) -> DataFrame:
+    """(sv_id, rcvs) for all but INS and BND: records of at least that significance, which a variant meets by the reciprocal overlap, or
+    anyhow if that is None. clinvar: chrom_no, b, e, significance (1 to 5), rcv (number)."""
     known = clinvar.where(F.col("significance") >= least).select(F.col("chrom_no").alias("c_chrom"), "b", "e", "rcv")
     hits = range_join(_probes(svs.where(~F.col("sv_type").isin("INS", "BND"))), known, {"own_chrom": "c_chrom"}, ("pb", "pe"), ("b", "e"))
-    hits = hits.where(reciprocal_overlap(F.col("pb"), F.col("pe"), F.col("b"), F.col("e")) >= min_overlap)
+    if min_overlap is not None:
+        hits = hits.where(reciprocal_overlap(F.col("pb"), F.col("pe"), F.col("b"), F.col("e")) >= min_overlap)
     return hits.groupBy("sv_id").agg(F.array_sort(F.collect_set(rcv_id(F.col("rcv")))).alias("rcvs"))
 
 
@@ -215,11 +217,15 @@ def assemble_sv_results(svs: DataFrame, **parts: DataFrame) -> DataFrame:
     return out
 
 
+def gene_block() -> Column:
+    """A gene as results show it, from the columns of gene_details."""
+    return F.struct(F.col("gene_id").alias("hgnc_id"), "symbol", F.col("ensembl").alias("ensembl_id"), "entrez_id", F.coalesce("is_acmg", F.lit(False)).alias("is_acmg"), F.coalesce("is_disease_gene", F.lit(False)).alias("is_disease_gene"))
+
+
 def resolved_genes(pairs: DataFrame, details: DataFrame, name: str) -> DataFrame:
     """(sv_id, <name>, <name>_disease) of (sv_id, gene_id): the details of a variant's genes (one or more each) in order of their ids."""
     rows = pairs.select("sv_id", "gene_id").distinct().join(details, "gene_id", "left")
-    gene = F.struct(F.col("gene_id").alias("hgnc_id"), "symbol", F.col("ensembl").alias("ensembl_id"), "entrez_id", F.coalesce("is_acmg", F.lit(False)).alias("is_acmg"), F.coalesce("is_disease_gene", F.lit(False)).alias("is_disease_gene"))
-    out = rows.groupBy("sv_id").agg(F.array_sort(F.collect_list(gene)).alias(name))
+    out = rows.groupBy("sv_id").agg(F.array_sort(F.collect_list(gene_block())).alias(name))
     return out.withColumn(f"{name}_disease", any_disease_gene(F.col(name)))
 
 
@@ -239,8 +245,7 @@ def sv_payload(svs: DataFrame, release: str, counts: DataFrame, masked: DataFram
     and `matched` of match_criteria where genotypes were asked; the other parts are joined by sv_id. genes, domain_genes: (sv_id, gene_id).
     """
     by_gene = effects.where("gene_id IS NOT NULL").join(details, "gene_id", "left")
-    gene = F.struct(F.col("gene_id").alias("hgnc_id"), "symbol", F.col("ensembl").alias("ensembl_id"), "entrez_id", F.coalesce("is_acmg", F.lit(False)).alias("is_acmg"), F.coalesce("is_disease_gene", F.lit(False)).alias("is_disease_gene"))
-    by_gene = by_gene.groupBy("sv_id").agg(F.array_sort(F.collect_list(F.struct(gene.alias("gene"), F.col("effects").alias("transcript_effects")))).alias("tx_effects"))
+    by_gene = by_gene.groupBy("sv_id").agg(F.array_sort(F.collect_list(F.struct(gene_block().alias("gene"), F.col("effects").alias("transcript_effects")))).alias("tx_effects"))
     block = lambda df, name: df.select("sv_id", F.struct(*(c for c in df.columns if c != "sv_id")).alias(name))
     parts = [block(counts, "overlap_counts"), block(masked, "masked_breakpoints"), by_gene, distances.withColumnRenamed("distance", "tad_boundary_distance"), clinvar.withColumnRenamed("rcvs", "clinvar_ovl_rcvs")]
     parts += [pathogenic.withColumnRenamed("pathogenic", "known_pathogenic"), resolved_genes(genes, details, "ovl_genes"), resolved_genes(domain_genes, details, "tad_genes")]

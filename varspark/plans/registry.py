@@ -471,5 +471,5 @@ hits AS (SELECT sv_id, region_id FROM fx_sv s JOIN cv ON s.chrom_no = cv.chrom_n
 SELECT sv_id, string_agg(DISTINCT concat('RCV', lpad(cast(region_id AS varchar), 9, '0')), ',' ORDER BY concat('RCV', lpad(cast(region_id AS varchar), 9, '0'))) AS rcvs FROM hits GROUP BY sv_id""", "fx_sv", "fx_region")
 def clinvar_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = view(spark, sf_dir, "fx_region").select("chrom_no", "b", "e", (F.col("region_id") % 5 + 1).alias("significance"), F.col("region_id").alias("rcv"))
-    rows = annotate.clinvar_overlaps(view(spark, sf_dir, "fx_sv"), known, 0.5)
+    rows = annotate.clinvar_overlaps(view(spark, sf_dir, "fx_sv"), known, 0.5, 4)
     return rows.select("sv_id", F.array_join("rcvs", ",").alias("rcvs"))
