@@ -24,6 +24,8 @@ from varspark.llm.common import as_bytes, in_blocks, labelled_sample, mix64
 
 PASSAGE = 512
 SAMPLE = 3000
+#: Bytes of text that are encoded at once; a longer text is alone.
+SLICE = 1 << 20
 PASSAGES = 40_000
 HIDDEN = 16
 EPOCHS = 60
@@ -154,7 +156,7 @@ class Attention:
 
 def encode_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) to (label, n, x): the passages of a text, all n of them, and their encodings as float32 bytes."""
-    for batch in in_blocks(batches, "text"):
+    for batch in in_blocks(batches, "text", SLICE):
         x, first = encode(as_bytes(batch.column(1)))
         n = np.diff(np.append(first, len(x)))
         out = [x[at : at + m].astype(np.float32).tobytes() for at, m in zip(first, n, strict=True)]
@@ -192,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     schema = StructType([*docs.schema, StructField(score, DoubleType())])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches, text):
+        for batch in in_blocks(batches, text, SLICE):
             x, first = encode(as_bytes(batch.column(batch.schema.get_field_index(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x, first))], [*batch.schema.names, score])
 
