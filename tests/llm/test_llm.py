@@ -439,10 +439,8 @@ def test_fragments_are_ranges_of_the_order():
     assert (jaccard.fragment_of(counts, hashes, jaccard.fragment_bounds(np.zeros(4, np.int64))) == 0).all()
 
 
-@pytest.mark.parametrize("block", [2, jaccard.BLOCK])
-def test_jaccard_between_the_limits(spark, monkeypatch, block):
-    """Texts of one family at similarities around the limit, in a group whose holders meet in blocks, against all pairs."""
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+def test_jaccard_between_the_limits(spark):
+    """Texts of one family at similarities around the limit, against all pairs."""
     draw = random.Random(12)
     base = [f"w{k}" for k in range(120)]
     texts = []
