@@ -427,18 +427,6 @@ def test_toxicity_counts_unlike_words_of_one_beginning():
     assert model.hits(b"achlichein achlichpf other") == [model.index[b"2^achlich"], model.index[b"other"]] and model.hits(b"achlichein achlichein") == []
 
 
-def test_fragments_are_ranges_of_the_order():
-    draw = np.random.default_rng(2)
-    table = np.zeros(1 << jaccard.BUCKETS, np.int64)
-    hashes = draw.integers(-(1 << 63), 1 << 63, 20_000)
-    np.add.at(table, jaccard.bucket_of(hashes), 1)
-    counts = table[jaccard.bucket_of(hashes)]
-    fragment = jaccard.fragment_of(counts, hashes, jaccard.fragment_bounds(table))
-    order = np.lexsort((hashes, counts))
-    assert (np.diff(fragment[order]) >= 0).all() and np.bincount(fragment, minlength=jaccard.FRAGMENTS).min() > 2000
-    assert (jaccard.fragment_of(counts, hashes, jaccard.fragment_bounds(np.zeros(4, np.int64))) == 0).all()
-
-
 def test_jaccard_between_the_limits(spark):
     """Texts of one family at similarities around the limit, against all pairs."""
     draw = random.Random(12)
