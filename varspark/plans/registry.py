@@ -47,6 +47,12 @@ def trio_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_calls").select("case_id", "site_id", F.col("chrom_no").cast("int").alias("chrom_no"), "pos", F.lit("A").alias("ref"), F.lit("T").alias("alt"), calls.alias("calls"), ann.alias("ann"), nuclear.alias("gnomad_exomes"), nuclear.alias("gnomad_genomes"), nuclear.alias("inhouse"), mito.alias("gnomad_mtdna"), mito.alias("helixmtdb"))
 
 
+def own_alleles(rows: DataFrame) -> DataFrame:
+    """rows with an alternative allele for each site: sites whose numbers are 200000 apart share contig and position, and would else be one variant."""
+    turn = F.conv(F.floor(F.col("site_id") / 200000).cast("string"), 10, 4)
+    return rows.withColumn("alt", F.concat(F.lit("T"), F.translate(turn, "0123", "ACGT")))
+
+
 def by_site(df: DataFrame) -> DataFrame:
     return df.groupBy("case_id", "site_id").agg(F.count("*").alias("n"))
 
