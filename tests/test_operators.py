@@ -223,3 +223,15 @@ def test_sv_criteria(spark, values, criteria, expected):
     names = ("gq", "pr_cov", "pr_var", "sr_cov", "sr_var", "cn", "anc", "pc", "amq")
     row = spark.createDataFrame([("0/1", *(values.get(n) for n in names))], "gt string, " + ", ".join(f"{n} double" for n in names))
     assert row.select(strucvars.criteria_pass(F.struct("*"), criteria).alias("v")).first().v is expected
+
+
+def test_a_region_is_parsed_by_one_run_of_its_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from varspark.functions import scalars as S
+
+    texts = ["chr1", " CHRX:1,000 \n", "2:1,000-2,000", "2:-5", "chr1:5-", "MT:7-8", "01:1-2", "contig:1", "", "1\x1f2\x1f3", "chr1:5\x1f", "chr3:,", "4:99999999999999999999-7", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("r", S.parse_region(F.col("t")))
+    got = [tuple(r.r) if r.r else None for r in df.collect()]
+    assert got == [(0, None, None), (22, 1000, 1000), (1, 1000, 2000), None, None, (24, 7, 8), None, None, None, None, None, (2, None, None), (3, None, 7), None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(t#") == 1

@@ -120,10 +120,13 @@ def is_no_call(gt: Column) -> Column:
 def parse_region(text: Column) -> Column:
     """chr1, chr1:1,000 or chr1:1,000-2,000 to (chrom_no, start, stop), 1-based; null where it is none of these."""
     pattern = r"^\s*((?:chr)?[0-9A-Za-z]+)(?::([0-9,]+)(?:-([0-9,]+))?)?\s*$"
-    number = lambda k: F.regexp_replace(F.regexp_extract(text, pattern, k), ",", "").try_cast("long")
-    no = chrom_no(F.regexp_extract(text, pattern, 1))
-    start = number(2)
-    return F.when(no.isNotNull(), F.struct(no.alias("chrom_no"), start.alias("start"), F.coalesce(number(3), start).alias("stop")))
+    mark = "\x1f"  # no region holds one, so what has one after the replacement has matched; the pattern is run once for a text
+    parts = F.when(~text.contains(mark), F.regexp_replace(text, pattern, f"$1{mark}$2{mark}$3"))
+    part = lambda p, k: F.split_part(p, F.lit(mark), F.lit(k))
+    number = lambda p, k: F.replace(part(p, k), F.lit(","), F.lit("")).try_cast("long")
+    matched = F.filter(F.array(parts), lambda p: p.contains(mark))
+    rows = F.transform(matched, lambda p: F.struct(chrom_no(part(p, 1)).alias("chrom_no"), number(p, 2).alias("start"), F.coalesce(number(p, 3), number(p, 2)).alias("stop")))
+    return F.get(F.filter(rows, lambda r: r["chrom_no"].isNotNull()), F.lit(0))
 
 
 def accession_parts(text: Column) -> Column:
