@@ -235,3 +235,14 @@ def test_a_region_is_parsed_by_one_run_of_its_pattern(spark):
     got = [tuple(r.r) if r.r else None for r in df.collect()]
     assert got == [(0, None, None), (22, 1000, 1000), (1, 1000, 2000), None, None, (24, 7, 8), None, None, None, None, None, (2, None, None), (3, None, 7), None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(t#") == 1
+
+
+def test_marks_of_missing_numbers_are_not_cast(spark):
+    from pyspark.sql import functions as F
+
+    from varspark.operators import stats
+
+    df = spark.createDataFrame([(".; 2 ;-1",), (".;-; ;NA",), ("x;-1e2;3.",), ("NaN",), ("-.5;.",), (None,)], "t string")
+    out = df.select(stats.max_of_list(F.col("t")).alias("most"), stats.max_of_list(F.col("t"), least=True).alias("least"))
+    assert [tuple(map(str, r)) for r in out.collect()] == [("2.0", "-1.0"), ("None", "None"), ("3.0", "-100.0"), ("nan", "nan"), ("-0.5", "-0.5"), ("None", "None")]
+    assert "IN (.,,-,NA)" in out._jdf.queryExecution().optimizedPlan().toString()
