@@ -346,3 +346,20 @@ def test_streamed_state_follows_its_batches(spark, tmp_path):
     ranges = lambda k: [x for x in written(k) if x.startswith("part=")]
     assert ranges(0) == ["part=1-0", "part=1-5"] and ranges(1) == ["part=1-5"] and ranges(2) == [] and ranges(3) == ["part=1-0"]
     assert {x for x in os.listdir(f"{table}/calls/batch=1") if x.startswith("part=")} == {"part=1"}
+
+
+def test_reference_rows_are_worked_out_once_before_their_ranges_are_found(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from varspark.sources import sinks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(40).select((F.col("id") % 2).cast("int").alias("chrom_no"), (50 - F.col("id")).alias("b")).mapInArrow(passing, "chrom_no int, b long")
+    sinks.write_background(rows, str(tmp_path / "t"), "grch37")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 40 and seen.value == 40
