@@ -7,10 +7,14 @@ Any order gives the same links; this one keeps what many texts share at the end
 1. Texts with equal sets form a class; only one text of each, its representative, goes on.
 2. Prefixes: two sets linked at T share an n-gram among the first |x| - ceil(T |x|) + 1 of each in the global order. Prefix n-grams
    that two or more representatives hold make the candidates; sizes and positions (the most that can still follow) cut them down.
+   N-grams with the same holders, as those of one passage, are one from here on: the first of them in the global order, which stands
+   first in each holder, and their number. (Were two sets of holders taken for one, they would only make more candidates.)
 3. Dense groups would make the square of their size in pairs. So first every n-gram's holders are compared with one of them only, the
    leader, twice with different leaders; those linked are joined into components. Then the pairs that are left are those of holders
    in different components; pairs within one can't change the result. This loses no link between components. A pair of these goes on
-   if its shared prefix n-grams, and all that can follow, still reach the limit.
+   from those n-grams only that can be its first common one, as what can follow still reaches the limit.
+   A crowded n-gram makes no row of a pair that an earlier crowded one, which the two rows name, makes already; so rows grow with the holders
+   and with the pairs that may be links, not with each n-gram's holders squared.
    Before a pair is verified, the sketches of its two sets are compared: SKETCH bits, each the parity of the n-grams that fall on it.
    Bits that differ are at most the n-grams in one set only, so a pair goes only if it can't reach the limit. Pairs at random places of
    a dense group that fall short of the limit end here, in the join's own condition, not as rows. Sets of over SKETCH / 2 n-grams also have
@@ -28,15 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varspark.llm.common import as_bytes, connected_components, discard, in_blocks, mix64, release, saved
 
 BUCKETS = 18
 FRAGMENTS = 8
-SKETCH = 512
+SKETCH = 1024
 PIECE = 1 << 20
+#: An n-gram of that many holders is crowded; its rows carry up to EARLIER crowded ones before it.
+CROWD = 16
+EARLIER = 32
 TURN = 0x9E3779B97F4A7C15
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -210,15 +217,14 @@ def needed(percent: int) -> str:
     return f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
 
 
-def possible(percent: int) -> str:
-    """Whether holders x (the smaller or equal) and y of one prefix n-gram can be linked, by sizes, positions and prefix kinds."""
-    index = f"(nx - (({2 * percent} * nx + {99 + percent}) div {100 + percent}) + 1)"
-    return f"100 * nx >= {percent} * ny AND ax < {index} AND 1 + least(nx - ax - 1, ny - ay - 1) >= {needed(percent)}"
+def index_length(percent: int) -> str:
+    """The start of x that must hold an n-gram of the prefix of a y of its size or larger, if they are linked."""
+    return f"(nx - (({2 * percent} * nx + {99 + percent}) div {100 + percent}) + 1)"
 
 
-def enough(percent: int) -> str:
-    """Whether c shared n-grams of the two prefixes leave a link possible: what lies behind one of the prefixes is all that can be added."""
-    return f"c + greatest(({percent} * nx + 99) div 100, ({percent} * ny + 99) div 100) - 1 >= {needed(percent)}"
+def possible(percent: int) -> str:
+    """Whether holders x (the smaller or equal) and y of one prefix n-gram, their first common one, can be linked, by sizes and positions."""
+    return f"100 * nx >= {percent} * ny AND ax < {index_length(percent)} AND 1 + least(nx - ax - 1, ny - ay - 1) >= {needed(percent)}"
 
 
 def alike(percent: int) -> str:
@@ -265,10 +271,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wide = sketches.where("wide IS NOT NULL").groupBy("id").agg(F.count("*").alias("k"), F.first("wide").alias("bits")).where("k = 1").select(F.col("id").alias("own"), "bits")
     of_x, of_y = (sketches.select(F.col("id").alias(v), F.col("n").alias(f"n{v}"), F.col("sketch").alias(f"s{v}")) for v in "xy")
 
-    # 2. prefix n-grams that several representatives hold
-    index = firsts.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.posexplode("prefix").alias("ax", "h"))
-    several = index.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    index = saved(index.join(several, "h"))
+    # 2. prefix n-grams that several representatives hold; those with the same holders, known by the xor of these, go on as one
+    index = firsts.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.posexplode("prefix").alias("ax", "gram"))
+    several = index.groupBy("gram").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("x")).alias("h")).where("k > 1").select("gram", "h")
+    index = saved(index.join(several, "gram").groupBy("x", "nx", "h").agg(F.min("ax").alias("ax"), F.count("*").alias("w")))
     release(spark)
     holders = index.select(F.col("x").alias("own")).distinct()
     texts = saved(docs.select(F.col(key).alias("own"), F.col(text).alias("text")).join(holders, "own"))
@@ -277,26 +283,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # 3. two turns against leaders, then every pair of unlike components
     component = None
     for turn in range(3):
-        held = index.withColumn("c", F.col("x")) if component is None else index.join(component, index.x == component.id, "left").select("x", "nx", "h", "ax", F.coalesce("component_id", "x").alias("c"))
+        held = index.withColumn("c", F.col("x")) if component is None else index.join(component, index.x == component.id, "left").select("x", "nx", "h", "ax", "w", F.coalesce("component_id", "x").alias("c"))
         held = saved(held)
         leader = F.min_by(F.struct("x", "nx", "ax", "c"), F.xxhash64("x", F.lit(turn)))
-        mixed = held.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), leader.alias("l")).where("c0 != c1")
+        mixed = held.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), leader.alias("l"), F.count("*").alias("k")).where("c0 != c1")
         if turn < 2:
             met = held.join(mixed.select("h", "l"), "h").where("c != l.c")
             own, other = F.struct("nx", "x", "ax"), F.struct(F.col("l.nx").alias("nx"), F.col("l.x").alias("x"), F.col("l.ax").alias("ax"))
-            met = met.select("x", F.col("l.x").alias("l"), F.least(own, other).alias("a"), F.greatest(own, other).alias("b"))
-            met = met.select(F.col("x").alias("f"), "l", F.col("a.x").alias("x"), F.col("a.nx").alias("nx"), F.col("b.x").alias("y"), F.col("b.nx").alias("ny")).where(f"100 * nx >= {percent} * ny")
+            met = met.select("x", "w", F.col("l.x").alias("l"), F.least(own, other).alias("a"), F.greatest(own, other).alias("b"))
+            met = met.select(F.col("x").alias("f"), "w", "l", F.col("a.x").alias("x"), F.col("a.nx").alias("nx"), F.col("b.x").alias("y"), F.col("b.nx").alias("ny")).where(f"100 * nx >= {percent} * ny")
             # each holder is compared with the leader that shares most with it, of those whose sketch is like its own
-            met = met.groupBy("f", "l", "x", "y", "nx", "ny").agg(F.count("*").alias("c"))
+            met = met.groupBy("f", "l", "x", "y", "nx", "ny").agg(F.sum("w").alias("c"))
             met = met.join(of_x, ["x", "nx"]).join(of_y, ["y", "ny"]).where(alike(percent))
             best = met.groupBy("f").agg(F.max_by(F.struct("x", "y", "nx", "ny"), F.struct("c", "l")).alias("p"))
             pairs = best.select("p.*").distinct()
         else:
-            one = saved(held.join(mixed.select("h"), "h").join(of_x, ["x", "nx"]))
-            two = one.select(F.col("h").alias("h2"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("c").alias("cy"), F.col("sx").alias("sy"))
-            near = f"(nx < ny OR nx = ny AND x < y) AND 100 * nx >= {percent} * ny"
-            met = one.join(two, F.expr(f"h = h2 AND c != cy AND {near} AND {alike(percent)}")).withColumn("first", F.expr(possible(percent)))
-            pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("first").alias("first")).where(f"first AND {enough(percent)}").select("x", "y", "nx", "ny")
+            one = held.join(mixed.select("h", "k"), "h").join(of_x, ["x", "nx"])
+            crowded = F.col("k") >= CROWD
+            earlier = F.collect_list("h").over(Window.partitionBy("x", "nx", crowded).orderBy("ax").rowsBetween(-EARLIER, -1))
+            one = saved(one.withColumn("ex", F.when(crowded, earlier)).drop("w", "k"))
+            two = one.select(F.col("h").alias("h2"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ax").alias("ay"), F.col("c").alias("cy"), F.col("sx").alias("sy"), F.col("ex").alias("ey"))
+            near = f"(nx < ny OR nx = ny AND x < y) AND {possible(percent)}"
+            # a pair's first common n-gram always is at possible places, so rows of its others need not be made
+            new = "NOT coalesce(arrays_overlap(ex, ey), false)"
+            met = one.where(f"ax < {index_length(percent)}").join(two, F.expr(f"h = h2 AND c != cy AND {near} AND {new} AND {alike(percent)}"))
+            pairs = met.select("x", "y", "nx", "ny").distinct()
         pairs = saved(still_alike(saved(pairs), wide, percent))
         # the components so far are stars, which stand for all links that made them
         edges, stars = linked(pairs, texts, gram, percent), component
