@@ -4,6 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 quality drops what the classifier rejects, near_duplicates keeps the document of least doc_id of each group (rows of one doc_id and
 text are one document, of which the least other columns stay), decontaminate drops
 documents with a benchmark passage, secrets writes a mark over secrets and keeps the document, pieces adds the ids of its encoding.
+
+Stages that run Python set the session's batches to it to BATCH bytes, as what they return is run later, under what is set then.
 """
 
 from __future__ import annotations
@@ -19,14 +21,22 @@ from varspark.llm.common import saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_QUALITY = 0.7
+#: Bytes of text that Spark hands to Python at once. By its own default, 10000 rows or 64 MB, a task's JVM and Python hold several times that.
+BATCH = "2m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("label"))
     return classifier.score_quality(docs, labels, score="_score").where(F.col("_score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     groups = jaccard.jaccard_components(docs)
     rest = groups.where("doc_id != component_id").select("doc_id")
     kept = docs.join(rest, "doc_id", "left_anti")
@@ -35,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return benchmark.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -45,6 +56,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     encoded = pieces.encode(docs.select("doc_id", "text"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
