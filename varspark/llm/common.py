@@ -6,6 +6,7 @@ import gc
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str) -> Iterator[None]:
+    """What runs within hands Python at most about `most` bytes at once, not 10000 rows, which JVM and Python would hold several times."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo n: the held-out folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varspark.llm.common import as_bytes, connected_components, discard, in_blocks, mix64, release, saved
+from varspark.llm.common import as_bytes, connected_components, discard, in_blocks, mix64, release, saved, small_batches
 
 BUCKETS = 18
 FRAGMENTS = 8
 SKETCH = 1024
-PIECE = 1 << 20
+#: Bytes of text that are worked on at once (arrays over them are 8 bytes a byte), and that Spark hands to Python at once.
+PIECE = 1 << 18
+BATCH = "1m"
 #: An n-gram of that many holders is crowded; its rows carry up to EARLIER crowded ones before it.
 CROWD = 16
 EARLIER = 32
@@ -257,6 +259,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with nothing and is its own component. Texts of any length give their whole set. Repeated rows each give a row. A null key takes no part and has null as component. Other
     columns are left out.
     """
+    with small_batches(docs.sparkSession, BATCH):  # all Python runs in here; what is returned only reads tables
+        return _components(docs, key, text, gram, percent)
+
+
+def _components(docs: DataFrame, key: str, text: str, gram: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(bucket_counts(docs, text, gram))
     sets = saved(sets_of(docs, key, text, gram, percent, counts))
