@@ -24,12 +24,12 @@ def every(tests: list[Column]) -> Column:
     return reduce(Column.__and__, (F.coalesce(t, F.lit(False)) for t in tests), F.lit(True))
 
 
-def call_of(sample: str) -> Column:
+def call_of(sample: str | Column) -> Column:
     """The sample's call, null if it has none; no lambda over the calls, so that it compiles."""
     return F.get("calls", F.array_position(F.col("calls.sample"), sample).cast("int") - 1)
 
 
-def genotype_of(sample: str) -> Column:
+def genotype_of(sample: str | Column) -> Column:
     """As it is written; compare it with spelled() forms."""
     return call_of(sample)["gt"]
 
@@ -224,14 +224,16 @@ def filter_gene_recessive(df: DataFrame, query: dict, gene: Column | None = None
     return df.join(genes, ["case_id", "_gene"], "left_semi").drop("_gene")
 
 
-def passing_genes(coded: DataFrame, by: list[str], parents: list[str]) -> DataFrame:
+def passing_genes(coded: DataFrame, by: list[str], parents: list[str], members: str | None = None) -> DataFrame:
     """The groups of variants with the flags of trio_table that have a hom recessive variant, or two or more het ones with each parent
-    (f, m) that is given seen het and ref. A column `members`, where there is one, says which parents of a group are given."""
+    (f, m) that is given seen het and ref. The column `members`, if named, is the same within a group and says which parents are given."""
     hom = F.bool_or(F.when(F.col("chrom_no") == 22, F.col("gene_x")).otherwise(F.col("gene_auto")))
-    groups = coded.groupBy(*by).agg(hom.alias("hom"), F.count_if("gene_het").alias("het"), *(F.bool_or(f"{p}_{k}").alias(f"{p}_{k}") for p in parents for k in ("het", "ref")))
-    absent = lambda p: ~F.contains("members", F.lit(p)) if "members" in by else F.lit(False)
+    # as booleans, with which the aggregate needs no sort
+    given = [F.bool_or(F.contains(members, F.lit(p))).alias(f"{p}_given") for p in parents] if members else []
+    groups = coded.groupBy(*by).agg(*given, hom.alias("hom"), F.count_if("gene_het").alias("het"), *(F.bool_or(f"{p}_{k}").alias(f"{p}_{k}") for p in parents for k in ("het", "ref")))
+    absent = lambda p: ~F.col(f"{p}_given") if members else F.lit(False)
     seen = [absent(p) | (F.col(f"{p}_het") & F.col(f"{p}_ref")) for p in parents]
-    return groups.where(F.col("hom") | reduce(Column.__and__, seen, F.col("het") >= 2)).select(*(c for c in by if c != "members"))
+    return groups.where(F.col("hom") | reduce(Column.__and__, seen, F.col("het") >= 2)).select(*by)
 
 
 def filter_clinvar(df: DataFrame, clinvar: DataFrame, query: dict) -> DataFrame:
@@ -314,39 +316,68 @@ def trio_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, members string, code string, " + ", ".join(f"{n} boolean" for n in names))
 
 
+def family_of(genotypes: Column) -> Column:
+    """The samples that a recessive query's choices name as index, father and mother, and `members`: i, and f and m for those given; null
+    where there is more or fewer than one index, or a parent twice."""
+    all_as = lambda role: F.filter(genotypes, lambda s: s["genotype"] == f"recessive-{role}")
+    of_role = {role: all_as(role) for role in ("index", "father", "mother")}
+    fits = F.coalesce((F.size(of_role["index"]) == 1) & (F.size(of_role["father"]) <= 1) & (F.size(of_role["mother"]) <= 1), F.lit(False))
+    given = F.concat(F.lit("i"), *(F.when(F.size(of_role[role]) > 0, role[0]).otherwise("") for role in ("father", "mother")))
+    return F.struct(*(F.get(found, F.lit(0))["sample"].alias(role) for role, found in of_role.items()), F.when(fits, given).alias("members"))
+
+
 def keep_recessive(rows: DataFrame) -> DataFrame:
-    """Of variants with the settings of a recessive query as `q`, those that fit its mode alone and in their gene.
+    """Of variants with the settings of a recessive query as `q`, its family_of() in q.family, those that fit its mode alone and in their gene.
 
     Genotypes are coded by the query's roles and joined with the table of rules; the gene rule is an aggregate by query, case and gene that
-    combines before its shuffle, then a semi join. More or fewer than one index, or a parent twice, is an error.
+    combines before its shuffle. Its groups have one row each, so an inner join keeps each variant once (a semi join would be moved below
+    the join with the rules, and shuffle what doesn't fit). More or fewer than one index, or a parent twice, is an error.
     """
     names = rows.columns
-    of_role = lambda role: F.filter("q.sample_genotypes", lambda s: s["genotype"] == f"recessive-{role}")
-    call = lambda sample: F.get(F.filter("calls", lambda c: c["sample"] == sample), F.lit(0))["gt"]
-    parts, code, faults = [], [], F.size(of_role("index")) != 1
-    for role in ("index", "father", "mother"):
-        given = F.size(of_role(role)) > 0
-        faults = faults | (F.size(of_role(role)) > 1)
-        parts.append(F.when(given, role[0]).otherwise(""))
-        code.append(F.when(given, kind_codes([call(F.get(of_role(role), F.lit(0))["sample"])])).otherwise(""))
-    checked = F.when(F.coalesce(faults, F.lit(True)), F.raise_error(F.lit("a recessive query needs one index, and each parent once at most"))).otherwise(F.concat(*parts))
+    members = F.col("q.family.members")
+    code = lambda role: kind_codes([genotype_of(F.col(f"q.family.{role}"))])
+    parents = [F.when(F.contains(members, F.lit(role[0])), code(role)).otherwise("") for role in ("father", "mother")]
+    checked = F.when(members.isNull(), F.raise_error(F.lit("a recessive query needs one index, and each parent once at most"))).otherwise(members)
     gene = F.coalesce(F.get("ann", F.lit(0))["gene_id"], F.lit(""))
-    coded = rows.withColumns({"mode": F.col("q.recessive_mode"), "members": checked, "code": F.concat(*code), "_gene": gene})
+    coded = rows.withColumns({"mode": F.col("q.recessive_mode"), "members": checked, "code": F.concat(code("index"), *parents), "_gene": gene})
     fits = coded.join(F.broadcast(trio_table(rows.sparkSession)), ["mode", "members", "code"])
     fits = fits.where(((F.col("chrom_no") < 22) & F.col("auto")) | ((F.col("chrom_no") == 22) & F.col("x")))
-    genes = passing_genes(fits, ["query_id", "case_id", "_gene", "members"], ["f", "m"])
-    return fits.join(genes, ["query_id", "case_id", "_gene"], "left_semi").select(*names)
+    by = ["query_id", "case_id", "_gene"]
+    return fits.join(passing_genes(fits, by, ["f", "m"], "members"), by).select(*names)
+
+
+#: Settings of so many samples are written out one by one, which compiles; longer lists go through a lambda, which doesn't.
+WRITTEN_OUT = 8
+
+
+def all_of(items: Column, most: int, test) -> Column:
+    """Whether the test holds for each of an array of at most `most` items; a null one passes."""
+    if most > WRITTEN_OUT:
+        return items.isNull() | F.forall(items, test)
+    return every([(F.coalesce(F.size(items), F.lit(0)) <= k) | test(F.get(items, F.lit(k))) for k in range(most)])
 
 
-def joined_quality(qualities: Column) -> Column:
-    """pass_quality with the settings of a row's own query: an array of structs, each looked up among the calls once."""
+def choices_of(genotypes: Column) -> Column:
+    """The choices of a query as (sample, allowed, include_no_call): the genotypes as they are written, null for all."""
 
-    def ok(p: Column) -> Column:
-        missing = F.raise_error(F.concat(F.lit("sample "), p["s"]["sample"], F.lit(" not found in call info"))).cast("boolean")
-        return F.when(~F.coalesce(p["s"]["filter_active"], F.lit(False)), True).when(p["call"].isNull(), missing).otherwise(quality_ok(p["s"], p["call"]))
+    def one(s: Column) -> Column:
+        forms = [F.when(s["genotype"] == name, F.array(*map(F.lit, spelled(kind)))) for name, kind in CHOICES.items()]
+        return F.struct(s["sample"].alias("sample"), F.coalesce(*forms).alias("allowed"), F.coalesce(s["include_no_call"], F.lit(False)).alias("include_no_call"))
 
-    paired = F.transform(qualities, lambda s: F.struct(s.alias("s"), F.get(F.filter("calls", lambda c: c["sample"] == s["sample"]), F.lit(0)).alias("call")))
-    return qualities.isNull() | F.forall(paired, ok)
+    return F.transform(genotypes, one)
+
+
+def joined_choice(s: Column) -> Column:
+    """Whether the sample of one of choices_of() has an allowed genotype, or a no-call where these are included."""
+    gt = genotype_of(s["sample"])
+    return s["allowed"].isNull() | F.coalesce(F.array_contains(s["allowed"], gt) | (s["include_no_call"] & gt.contains(".")), F.lit(False))
+
+
+def joined_quality(s: Column) -> Column:
+    """pass_quality with the active settings for one sample of a row's own query."""
+    call = call_of(s["sample"])
+    missing = F.raise_error(F.concat(F.lit("sample "), s["sample"], F.lit(" not found in call info"))).cast("boolean")
+    return F.when(call.isNull(), missing).otherwise(quality_ok(s, call))
 
 
 def keep_clinvar(rows: DataFrame, clinvar: DataFrame) -> DataFrame:
@@ -367,17 +398,32 @@ def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | No
     Lists of more than MANY genes or regions become tables and joins.
 
     queries is joined by case_id; it is a few rows a case, so Spark broadcasts it while that is small and shuffles beyond. Recessive
-    queries and those that require ClinVar (clinvar: as for filter_clinvar) go on to further joins, the others are done.
+    queries and those that require ClinVar (clinvar: as for filter_clinvar) go on to further joins, the others are done. Recessive queries
+    and the others are joined apart, each with those tests only that one of them asks for: a test that all leave off would still read and
+    carry its columns for every variant and query.
     """
     lists = ("gene_allowlist", "region_allowlist")
     size = lambda name: F.coalesce(F.size(name), F.lit(0))
     # long lists don't go along with the rows
-    own = [F.when(size(c) <= MANY, F.col(c)).alias(c) if c in lists else F.col(c) for c in queries.columns if c not in ("case_id", "query_id")]
-    q = queries.select("case_id", "query_id", F.struct(*own, *((size(c) > MANY).alias(f"long_{c}") for c in lists)).alias("q"))
-    rows = df.join(q, "case_id")
+    active = F.filter("sample_qualities", lambda s: F.coalesce(s["filter_active"], F.lit(False)))
+    changed = {**{c: F.when(size(c) <= MANY, F.col(c)) for c in lists}, "sample_qualities": active}
+    own = [changed.get(c, F.col(c)).alias(c) for c in queries.columns if c not in ("case_id", "query_id")]
+    recessive = F.coalesce("recessive_mode", F.lit("disabled")) != "disabled"
+    of_samples = [F.when(recessive, family_of(F.col("sample_genotypes"))).alias("family"), choices_of(F.col("sample_genotypes")).alias("choices")]
+    q = queries.select("case_id", "query_id", F.struct(*own, *((size(c) > MANY).alias(f"long_{c}") for c in lists), *of_samples).alias("q"), recessive.alias("_recessive"))
     setting = lambda *path: reduce(lambda c, name: c[name], path, F.col("q"))
-
-    def limits(name: str, counts: Column, nuclear: bool) -> Column:
+    sources = ("gnomad_exomes", "gnomad_genomes", "inhouse", "helixmtdb", "gnomad_mtdna")
+    asks = {
+        **{name: F.col(name)["enabled"] for name in sources}, "consequences": size("consequences") > 0, "genes": F.col("gene_allowlist").isNotNull(), "regions": size("region_allowlist") > 0,
+        "qualities": F.size(active) > 0, "genotypes": ~recessive & (size("sample_genotypes") > 0), "clinvar": F.col("clinvar.presence_required"),
+    }
+    most = [F.max(size(c)).alias(f"most_{c}") for c in (*lists, "sample_qualities", "sample_genotypes")]
+    asked = {r.recessive: r for r in queries.groupBy(recessive.alias("recessive")).agg(*(F.coalesce(F.bool_or(test), F.lit(False)).alias(name) for name, test in asks.items()), *most).collect()}
+    if clinvar is None and any(r.clinvar for r in asked.values()):
+        raise ValueError("a query requires ClinVar, but its table isn't given")
+
+    def limits(name: str, nuclear: bool) -> Column:
+        counts = F.col(name)
         n = lambda k: F.coalesce(counts[k], F.lit(0))
         own = [("hom", n("hom")), ("het", n("het"))] + ([("hemi", n("hemi"))] if nuclear else [])
         if name != "inhouse":
@@ -386,38 +432,43 @@ def filter_by_queries(df: DataFrame, queries: DataFrame, clinvar: DataFrame | No
         tests = [F.coalesce(value <= setting(name, f"max_{k}"), F.lit(True)) for k, value in own if f"max_{k}" in fields]
         return ~F.coalesce(setting(name, "enabled"), F.lit(False)) | reduce(Column.__and__, tests)
 
-    nuclear = [limits("gnomad_exomes", F.col("gnomad_exomes"), True), limits("gnomad_genomes", F.col("gnomad_genomes"), True), limits("inhouse", F.col("inhouse"), True)]
-    mito = [limits("helixmtdb", F.col("helixmtdb"), False), limits("gnomad_mtdna", F.col("gnomad_mtdna"), False), limits("inhouse", F.col("inhouse"), False)]
-    frequency = F.when(F.col("chrom_no") == 24, every(mito)).otherwise(every(nuclear))
     terms = F.coalesce(setting("consequences"), F.array().cast("array<string>"))
-    consequence = (F.size(terms) == 0) | (F.col("chrom_no") == 24) | F.exists("ann", lambda a: F.arrays_overlap(a["consequences"], setting("consequences")))
     listed = lambda name: setting(f"long_{name}")  # noqa: E731  these go on to joins
-    genes = setting("gene_allowlist").isNull() | F.exists("ann", lambda a: F.array_contains(setting("gene_allowlist"), a["gene_id"]))
     stop = F.col("pos") + F.length("ref") - 1
     near = lambda r: (r["chrom_no"] == F.col("chrom_no")) & (r["start"].isNull() | ((r["start"] <= stop) & (r["stop"] >= F.col("pos"))))
-    regions = (F.size(F.coalesce(setting("region_allowlist"), F.array())) <= 0) | listed("region_allowlist") | F.exists(setting("region_allowlist"), near)
-    fits = lambda s, gt: reduce(lambda c, kv: c.when(s["genotype"] == kv[0], has(gt, kv[1])), list(CHOICES.items())[1:], F.when(s["genotype"] == "ref", has(gt, REF))).otherwise(F.lit(True))
-    of_sample = lambda s: F.get(F.filter("calls", lambda c: c["sample"] == s["sample"]), F.lit(0))["gt"]
-    ok = lambda s: F.coalesce(fits(s, of_sample(s)) | (F.coalesce(s["include_no_call"], F.lit(False)) & of_sample(s).contains(".")), F.lit(False))
-    recessive = F.coalesce(setting("recessive_mode"), F.lit("disabled")) != "disabled"
-    genotype = recessive | setting("sample_genotypes").isNull() | F.forall(setting("sample_genotypes"), ok)
-    passed = rows.where(every([frequency, consequence, genes, regions, joined_quality(setting("sample_qualities")), genotype]))
-    asked = queries.agg(F.bool_or(F.coalesce("recessive_mode", F.lit("disabled")) != "disabled").alias("recessive"), F.bool_or("clinvar.presence_required").alias("clinvar"), F.max(F.size("gene_allowlist")).alias("genes"), F.max(F.size("region_allowlist")).alias("regions")).first()
+    tests = {
+        "consequences": lambda _: (F.size(terms) == 0) | (F.col("chrom_no") == 24) | F.exists("ann", lambda a: F.arrays_overlap(a["consequences"], setting("consequences"))),
+        "genes": lambda _: setting("gene_allowlist").isNull() | F.exists("ann", lambda a: F.array_contains(setting("gene_allowlist"), a["gene_id"])),
+        "regions": lambda _: (F.size(F.coalesce(setting("region_allowlist"), F.array())) <= 0) | listed("region_allowlist") | F.exists(setting("region_allowlist"), near),
+        "qualities": lambda any_of: all_of(setting("sample_qualities"), any_of.most_sample_qualities, joined_quality),
+        "genotypes": lambda any_of: all_of(setting("choices"), any_of.most_sample_genotypes, joined_choice),
+    }
     by = ["case_id", "query_id"]
-    if (asked.genes or 0) > MANY:
-        long = listed("gene_allowlist")
-        passed = passed.where(~long).unionByName(keep_genes(passed.where(long), queries.where(size("gene_allowlist") > MANY).select(*by, F.explode("gene_allowlist").alias("gene_id")), by))
-    if (asked.regions or 0) > MANY:
-        long = listed("region_allowlist")
-        passed = passed.where(~long).unionByName(keep_regions(passed.where(long), queries.where(size("region_allowlist") > MANY).select(*by, F.explode("region_allowlist").alias("r")).select(*by, "r.*"), by))
-    if asked.recessive:
-        passed = passed.where(~recessive).unionByName(keep_recessive(passed.where(recessive)))
-    if asked.clinvar:
-        if clinvar is None:
-            raise ValueError("a query requires ClinVar, but its table isn't given")
-        required = F.coalesce(setting("clinvar", "presence_required"), F.lit(False))
-        passed = passed.where(~required).unionByName(keep_clinvar(passed.where(required), clinvar))
-    return passed.drop("q")
+
+    def of_group(group: bool) -> DataFrame:
+        """The variants that pass the recessive queries, or the others."""
+        any_of = asked[group]
+        nuclear, mito = ([limits(name, of == "nuclear") for name in names if any_of[name]] for of, names in (("nuclear", sources[:3]), ("mito", ("helixmtdb", "gnomad_mtdna", "inhouse"))))
+        frequency = [F.when(F.col("chrom_no") == 24, every(mito)).otherwise(every(nuclear))] if nuclear or mito else []
+        rows = df.join(q.where(F.col("_recessive") == group).drop("_recessive"), "case_id")
+        passed = rows.where(every([*frequency, *(test(any_of) for name, test in tests.items() if any_of[name])]))
+        own = queries.where(recessive == group)
+        if (any_of.most_gene_allowlist or 0) > MANY:
+            long = listed("gene_allowlist")
+            passed = passed.where(~long).unionByName(keep_genes(passed.where(long), own.where(size("gene_allowlist") > MANY).select(*by, F.explode("gene_allowlist").alias("gene_id")), by))
+        if (any_of.most_region_allowlist or 0) > MANY:
+            long = listed("region_allowlist")
+            passed = passed.where(~long).unionByName(keep_regions(passed.where(long), own.where(size("region_allowlist") > MANY).select(*by, F.explode("region_allowlist").alias("r")).select(*by, "r.*"), by))
+        if group:
+            passed = keep_recessive(passed)
+        if any_of.clinvar:
+            required = F.coalesce(setting("clinvar", "presence_required"), F.lit(False))
+            passed = passed.where(~required).unionByName(keep_clinvar(passed.where(required), clinvar))
+        return passed.drop("q")
+
+    if not asked:
+        return df.join(q, "case_id").drop("q", "_recessive")
+    return reduce(DataFrame.unionByName, map(of_group, sorted(asked)))
 
 
 def freq_and_distance(df: DataFrame) -> DataFrame:
