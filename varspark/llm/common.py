@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varspark.sources.scratch import shared_dir
+from varspark.sources.scratch import release, shared_dir  # noqa: F401  the operators take release from here
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -34,15 +32,6 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are done; it does so when the driver collects its garbage. Python's references reach
-    the JVM with a delay, hence the second round."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, most: str) -> Iterator[None]:
     """What runs within hands Python at most about `most` bytes at once, not 10000 rows, which JVM and Python would hold several times."""
